@@ -7,9 +7,11 @@ Jaccard similarity as for independent MinHash.
 
 Banding: ``bands`` keys of ``rows`` coordinates. At similarity 0.75 a pair misses all 40 bands of 5 with probability
 2e-5. Equal sets become one class before banding, so exact copies cost one row each. Within a bucket pairs are not
-enumerated: members are first verified against two anchors, verified links are contracted to components, and only
-members of *different* components that still share a bucket are then compared. No candidate is dropped: each pair that
-shares a bucket is either in one component or was verified to be no link.
+enumerated: members are first verified against two anchors and verified links are contracted to components. Members
+of buckets that still hold several components then go through prefix filtering: with shingles ordered by rising
+frequency, linked sets of n shingles must share one of their first ``n - ceil(0.75 n) + 1``, so passages that many
+documents share bring no pair together. No candidate is dropped: each pair that shares a bucket is in one component,
+was verified to be no link, or is ruled out by that bound.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from veilspark.llm import words
 from veilspark.llm.common import bitmap_of, components, cut, drop_ids, with_hit
@@ -147,6 +150,27 @@ def _linked(percent: int):
     return run
 
 
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, comp, shingles) to one row per shingle."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            x = np.frombuffer(batch.column(2)[i].as_buffer(), np.int64)
+            rep, comp = (np.full(len(x), batch.column(k)[i].as_py(), np.int64) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (rep, comp, np.full(len(x), len(x), np.int64), x)], ["rep", "comp", "n", "shingle"])
+
+
+def _prefix_pairs(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of ``mixed(rep, comp)`` in different components that share a shingle of their prefixes."""
+    rows = cut(sets.join(mixed, "rep").select("rep", "comp", "shingles").mapInArrow(_exploded, "rep long, comp long, n long, shingle long"), "shingles")
+    often = rows.groupBy("shingle").agg(F.count("*").alias("often"))
+    order = Window.partitionBy("rep").orderBy("often", "shingle")
+    prefix = rows.join(often, "shingle").withColumn("place", F.row_number().over(order))
+    prefix = cut(prefix.filter(f"often > 1 and place <= n - ceil(n * {percent} / 100) + 1").select("shingle", "rep", "comp", "n"), "prefix")
+    right = prefix.select("shingle", F.col("rep").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"))
+    left = prefix.select("shingle", F.col("rep").alias("a"), F.col("comp").alias("comp_a"), F.col("n").alias("n_a"))
+    return left.join(right, "shingle").filter((F.col("comp_a") < F.col("comp_b")) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)).select("a", "b")
+
+
 def _verified(pairs: DataFrame, cand: DataFrame, sets: DataFrame, percent: int, tag: str) -> DataFrame:
     """The links among ``pairs(a, b)``: sketch agreement first, then the sets of what is left."""
     sig_a = cand.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a"))
@@ -189,9 +213,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         known = members.join(labels, "rep").select("bucket", "rep", "comp")
         split = known.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("c0 < c1")
         if step == "rest":
-            mixed = cut(known.join(split.select("bucket"), "bucket", "left_semi"), "mixed")
-            right = mixed.select("bucket", F.col("rep").alias("b"), F.col("comp").alias("comp_b"))
-            pairs = mixed.select("bucket", F.col("rep").alias("a"), F.col("comp").alias("comp_a")).join(right, "bucket").filter("comp_a < comp_b")
+            mixed = cut(known.join(split.select("bucket"), "bucket", "left_semi").select("rep", "comp").distinct(), "mixed")
+            pairs = _prefix_pairs(mixed, sets, percent)
         else:
             anchor = split.select("bucket", F.col("lo" if step == "low" else "hi").alias("a"))
             pairs = known.select("bucket", F.col("rep").alias("b")).join(anchor, "bucket").filter("a <> b")

@@ -3,8 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from veilspark.llm import exact_dedup, minhash
+from veilspark.llm import bpe, exact_dedup, minhash, mixing
+
+
+def tokenizer_path() -> str:
+    """Where the public vocabulary lies, on the driver and on every executor alike."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,11 +23,21 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_documents(spark, sf_dir))
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(_documents(spark, sf_dir), tokenizer_path(), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf_dir), digest_all=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op6_exact_dedup)}
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.assign(_documents(spark, sf_dir)).select(
+        "doc_id", "source", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"), F.col("mix_shards").alias("shards")
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_bpe, op6_exact_dedup, op8_mixing)}
 
 ORACLES = {
     "op6_exact_dedup": r"""
