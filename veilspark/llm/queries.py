@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm import bpe, exact_dedup, minhash, mixing
+from veilspark.llm import bpe, exact_dedup, minhash, mixing, quality
 
 
 def tokenizer_path() -> str:
@@ -37,7 +37,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_bpe, op6_exact_dedup, op8_mixing)}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_bpe, op6_exact_dedup, op8_mixing, op10_quality)}
 
 ORACLES = {
     "op6_exact_dedup": r"""
