@@ -6,8 +6,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm import exact_dedup, minhash
+from veilspark.llm import bpe, exact_dedup, minhash, mixing, quality
 from veilspark.llm.common import shared_dir
+from veilspark.llm.queries import tokenizer_path
+
+
+def drop_junk(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weakly supervised quality classifier rejects go."""
+    return quality.keep_good(docs)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +26,17 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return minhash.keep_one(docs)
 
 
-STAGES = [("exact_dedup", drop_copies), ("near_dedup", drop_near_copies)]
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are brought to their target weights; a document taken twice is there twice."""
+    return mixing.mixed(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every whole text, and digests of the ids and of what they decode to."""
+    return bpe.encode(docs, tokenizer_path(), keep=("doc_id", "source"), outputs=("n_tokens", "ids", "ids_sha256", "decoded_sha256"))
+
+
+STAGES = [("quality_classifier", drop_junk), ("exact_dedup", drop_copies), ("minhash_near_dedup", drop_near_copies), ("mix_sources", mix), ("bpe_encode", encode)]
 
 #: Quality scoring and near-duplicate search are not SQL; tests compare with brute force.
 ORACLE_SQL = None
