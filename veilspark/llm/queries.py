@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm import bpe, exact_dedup, minhash, mixing, quality
+from veilspark.llm import bpe, exact_dedup, minhash, mixing, pii, quality, secrets
 
 
 def tokenizer_path() -> str:
@@ -27,6 +27,22 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_documents(spark, sf_dir), tokenizer_path(), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def _digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """Counts of the base kinds, the digest of the base spans and all spans, of ``(doc_id, spans)``."""
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    counts = [of(k).alias(f"n_{k}") for k in kinds]
+    return found.select("doc_id", *counts, F.sha2(told(F.filter("spans", lambda s: s["base"])), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digest(pii.find(_documents(spark, sf_dir)), pii.BASE)
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digest(secrets.find(_documents(spark, sf_dir)), secrets.BASE)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf_dir), digest_all=True)
 
@@ -41,7 +57,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_bpe, op6_exact_dedup, op8_mixing, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_bpe, op3_pii, op4_secrets, op6_exact_dedup, op8_mixing, op10_quality)}
 
 ORACLES = {
     "op6_exact_dedup": r"""
