@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm import bpe, exact_dedup, minhash, mixing, pii, quality, secrets
+from veilspark.llm import bpe, chat, exact_dedup, minhash, mixing, pii, quality, secrets
 
 
 def tokenizer_path() -> str:
@@ -47,6 +47,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf_dir), digest_all=True)
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.assign(_documents(spark, sf_dir)).select(
         "doc_id", "source", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"), F.col("mix_shards").alias("shards")
@@ -57,9 +61,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_bpe, op3_pii, op4_secrets, op6_exact_dedup, op8_mixing, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_bpe, op3_pii, op4_secrets, op6_exact_dedup, op7_chat, op8_mixing, op10_quality)}
 
 ORACLES = {
+    "op7_chat": """
+WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+c AS (
+    SELECT conv_id, count(*) AS n_turns, list('<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10) ORDER BY turn NULLS FIRST, md5(md5(role) || md5(text))) AS parts
+    FROM t GROUP BY conv_id
+),
+u AS (SELECT min(conv_id) AS conv_id, n_turns, count(*) AS copies, parts FROM c GROUP BY n_turns, parts)
+SELECT conv_id, n_turns, copies, array_to_string(parts, '') AS rendered FROM u
+WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.n_turns > u.n_turns AND c.parts[1] = u.parts[1] AND c.parts[1:u.n_turns] = u.parts)
+""",
     "op6_exact_dedup": r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
