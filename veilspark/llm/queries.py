@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm import bpe, chat, exact_dedup, minhash, mixing, pii, quality, secrets
+from veilspark.llm import bpe, chat, exact_dedup, lm, minhash, mixing, pii, quality, secrets
 
 
 def tokenizer_path() -> str:
@@ -57,11 +57,15 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_documents(spark, sf_dir))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_bpe, op3_pii, op4_secrets, op6_exact_dedup, op7_chat, op8_mixing, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_bpe, op3_pii, op4_secrets, op6_exact_dedup, op7_chat, op8_mixing, op9_lm_score, op10_quality)}
 
 ORACLES = {
     "op7_chat": """
