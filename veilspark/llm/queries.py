@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm import bpe, chat, exact_dedup, lm, minhash, mixing, pii, quality, secrets
+from veilspark.llm import bpe, chat, embed, exact_dedup, lm, minhash, mixing, pii, quality, secrets
 
 
 def tokenizer_path() -> str:
@@ -43,6 +43,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(secrets.find(_documents(spark, sf_dir)), secrets.BASE)
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf_dir), digest_all=True)
 
@@ -65,7 +69,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_bpe, op3_pii, op4_secrets, op6_exact_dedup, op7_chat, op8_mixing, op9_lm_score, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_bpe, op3_pii, op4_secrets, op5_embedding_near_dedup, op6_exact_dedup, op7_chat, op8_mixing, op9_lm_score, op10_quality)}
 
 ORACLES = {
     "op7_chat": """
