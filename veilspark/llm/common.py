@@ -84,4 +84,5 @@ def components(edges: DataFrame, tag: str, max_rounds: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).groupBy("node").agg(F.min("comp").alias("comp"))
+    ends = e.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(e.select(F.col("v").alias("node"), F.col("v").alias("comp")))
+    return ends.groupBy("node").agg(F.min("comp").alias("comp"))
