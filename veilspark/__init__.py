@@ -1,0 +1 @@
+"""Personal data detection and de-identification on Spark DataFrames."""
