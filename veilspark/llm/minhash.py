@@ -9,8 +9,9 @@ Banding: ``bands`` keys of ``rows`` coordinates. At similarity 0.75 a pair misse
 2e-5. Equal sets become one class before banding, so exact copies cost one row each. Within a bucket pairs are not
 enumerated: members are first verified against two anchors and verified links are contracted to components. Members
 of buckets that still hold several components then go through prefix filtering: with shingles ordered by rising
-frequency, linked sets of n shingles must share one of their first ``n - ceil(0.75 n) + 1``, so passages that many
-documents share bring no pair together. No candidate is dropped: each pair that shares a bucket is in one component,
+frequency, linked sets of n shingles must share one of their first ``n - ceil(0.75 n) + 1``, and what follows the first
+shared one must suffice, so passages that many documents share bring no pair together. The first anchor of a bucket is
+its member with the most company over all buckets, as an original among its copies has. No candidate is dropped: each pair that shares a bucket is in one component,
 was verified to be no link, or is ruled out by that bound.
 """
 
@@ -165,10 +166,14 @@ def _prefix_pairs(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     often = rows.groupBy("shingle").agg(F.count("*").alias("often"))
     order = Window.partitionBy("rep").orderBy("often", "shingle")
     prefix = rows.join(often, "shingle").withColumn("place", F.row_number().over(order))
-    prefix = cut(prefix.filter(f"often > 1 and place <= n - ceil(n * {percent} / 100) + 1").select("shingle", "rep", "comp", "n"), "prefix")
-    right = prefix.select("shingle", F.col("rep").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"))
-    left = prefix.select("shingle", F.col("rep").alias("a"), F.col("comp").alias("comp_a"), F.col("n").alias("n_a"))
-    return left.join(right, "shingle").filter((F.col("comp_a") < F.col("comp_b")) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)).select("a", "b")
+    prefix = prefix.filter(f"often > 1 and place <= n - ceil(n * {percent} / 100) + 1").select("shingle", "rep", "comp", "n", (F.col("n") - F.col("place") + 1).alias("rest"))
+    prefix = cut(prefix, "prefix")
+    right = prefix.select("shingle", F.col("rep").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"), F.col("rest").alias("rest_b"))
+    left = prefix.select("shingle", F.col("rep").alias("a"), F.col("comp").alias("comp_a"), F.col("n").alias("n_a"), F.col("rest").alias("rest_a"))
+    sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    # at a pair's first shared shingle no more than what is left of the smaller remainder can be shared
+    enough = F.least("rest_a", "rest_b") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
+    return left.join(right, "shingle").filter((F.col("comp_a") < F.col("comp_b")) & sizes & enough).select("a", "b")
 
 
 def _verified(pairs: DataFrame, cand: DataFrame, sets: DataFrame, percent: int, tag: str) -> DataFrame:
@@ -196,10 +201,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = cut(real.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
     reps = real.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     by_band = reps.select(F.col("doc_id").alias("rep"), F.explode("band_keys").alias("bucket"))
-    crowded = by_band.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("bucket")
-    members = cut(by_band.join(crowded, "bucket", "left_semi").distinct(), "buckets")
+    crowded = by_band.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("size")).filter("lo < hi").select("bucket", "size")
+    members = cut(by_band.join(crowded, "bucket").distinct(), "buckets")
 
-    wanted = cut(members.select("rep").distinct(), "reps")
+    company = cut(members.groupBy("rep").agg(F.sum("size").alias("company")), "reps")
+    wanted, members = company.select("rep"), members.select("bucket", "rep")
     cand = cut(reps.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "sigs")
     bitmap = bitmap_of(wanted, F.xxhash64("rep"))
     again = with_hit(source, bitmap, F.xxhash64("doc_id"), "hit").filter("hit").select("doc_id", "text")
@@ -209,14 +215,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     size_a, size_b = cand.select(F.col("rep").alias("a"), F.col("n").alias("n_a")), cand.select(F.col("rep").alias("b"), F.col("n").alias("n_b"))
     labels = wanted.select("rep", F.col("rep").alias("comp"))
     links = None
-    for step in ("low", "high", "rest"):
-        known = members.join(labels, "rep").select("bucket", "rep", "comp")
-        split = known.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("c0 < c1")
+    for step in ("central", "low", "rest"):
+        known = members.join(labels.join(company, "rep"), "rep").select("bucket", "rep", "comp", "company")
+        central = F.max_by("rep", F.struct("company", "rep")).alias("central")
+        split = known.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("rep").alias("low"), central).filter("c0 < c1")
         if step == "rest":
             mixed = cut(known.join(split.select("bucket"), "bucket", "left_semi").select("rep", "comp").distinct(), "mixed")
             pairs = _prefix_pairs(mixed, sets, percent)
         else:
-            anchor = split.select("bucket", F.col("lo" if step == "low" else "hi").alias("a"))
+            anchor = split.select("bucket", F.col(step).alias("a"))
             pairs = known.select("bucket", F.col("rep").alias("b")).join(anchor, "bucket").filter("a <> b")
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(size_a, "a").join(size_b, "b").filter(close).select("a", "b")
         found = _verified(pairs, cand, sets, percent, f"links-{step}")
