@@ -4,11 +4,14 @@ A first neighbour graph comes from groups of vectors that share a sign hash (a g
 hash of the id, so no task meets an unbounded one). Rounds of neighbours-of-neighbours joins refine it: at each vector
 meet its neighbours and those that hold it as one, again in bounded groups. Pairs at the threshold make components.
 
+Equal vectors become one class before anything is compared: a class is its smallest id and a weight, so copies cost one
+row and can't fill the lists of their neighbours. Links are counted by weight.
+
 A list that is full of links is saturated. It is enlarged without listing pairs: components with saturated members send
 one pivot each through the same graph at a lower threshold, components whose pivots are near are put together, and
 then all members of what belongs together are compared in blocks of BLOCK in double precision. Blocks emit counts and
 linked components, never pairs. An audit compares a bounded number of vectors with all rows; when fewer than LEAST_RECALL
-of their links were found, the graph is built again with twice as many hash tables.
+of their links were found, the graph is refined from twice as many further hash tables.
 """
 
 from __future__ import annotations
@@ -118,12 +121,13 @@ def _merged(lists: DataFrame, k: int, tag: str) -> DataFrame:
     return cut(lists.groupBy("vec_id").agg(F.collect_list(F.struct("near", "sims")).alias("parts")).mapInArrow(_merge(k), _LIST), tag)
 
 
-def neighbour_graph(vectors: DataFrame, n: int, cosine: float, k: int = K, rounds: int = ROUNDS, more: int = 1, seed: int = 7) -> DataFrame:
-    """``(vec_id, near, sims)``: about the ``k`` nearest of each of ``n`` unit vectors ``(vec_id, x)``."""
+def neighbour_graph(vectors: DataFrame, n: int, cosine: float, k: int = K, rounds: int = ROUNDS, more: int = 1, before: DataFrame | None = None) -> DataFrame:
+    """``(vec_id, near, sims)``: about the ``k`` nearest of each of ``n`` unit vectors ``(vec_id, x)``. ``before``: a graph to start from besides."""
     bits = min(24, max(3, round(math.log2(max(n, 2) / 48))))
     tables = more * math.ceil(5 / (1 - math.acos(cosine) / math.pi) ** bits)
-    codes = cut(vectors.mapInArrow(_codes(bits, tables, seed), "vec_id long, bucket long"), "codes").withColumnRenamed("bucket", "place")
-    graph = _merged(_met(codes, vectors, k, cosine - 0.4, GROUP), k, "graph")
+    codes = cut(vectors.mapInArrow(_codes(bits, tables, more), "vec_id long, bucket long"), "codes").withColumnRenamed("bucket", "place")
+    first = _met(codes, vectors, k, cosine - 0.4, GROUP)
+    graph = _merged(first if before is None else first.unionByName(before), k, "graph")
     for _ in range(rounds):
         links = graph.select("vec_id", F.explode("near").alias("near"))
         pairs = links.select(F.col("vec_id").alias("place"), F.col("near").alias("vec_id")).union(links.select(F.col("near").alias("place"), "vec_id")).union(graph.select(F.col("vec_id").alias("place"), "vec_id")).distinct()
@@ -148,10 +152,10 @@ def _blocks(least: float):
                     continue
                 link = _matrix([m["x"] for m in left]) @ _matrix([m["x"] for m in right]).T >= least
                 for a, b, hit in ((left, right, link), (right, left, link.T)):
-                    comp = np.array([m["comp"] for m in b])
+                    comp, weight = np.array([m["comp"] for m in b]), np.array([m["w"] for m in b], np.int64)
                     for m, h in zip(a, hit, strict=True):
                         ids.append(m["vec_id"])
-                        counts.append(int(h.sum()) - (a is b))
+                        counts.append(int(weight[h].sum()) - (m["w"] if a is b else 0))
                         comps.append(np.unique(comp[h]).tolist())
                     if left is right:
                         break
@@ -161,7 +165,7 @@ def _blocks(least: float):
 
 
 def _settled(vectors: DataFrame, graph: DataFrame, cosine: float, k: int) -> DataFrame:
-    """``(vec_id, n_links, component_id)`` of the vectors that have links."""
+    """``(vec_id, n_links, component_id)`` of the classes ``vectors(vec_id, x, w)`` that have links to others; ``n_links`` sums their weights."""
     edges = cut(graph.select(F.col("vec_id").alias("a"), F.explode(F.arrays_zip("near", "sims")).alias("e")).filter(F.col("e.sims") >= cosine - 1e-5).select("a", F.col("e.near").alias("b")), "edges")
     comp = cut(components(edges, "vec-comp"), "comp")
     full = graph.filter((F.size("sims") >= k) & (F.element_at("sims", F.lit(-1)) >= cosine - 1e-5)).select(F.col("vec_id").alias("node"))
@@ -178,7 +182,7 @@ def _settled(vectors: DataFrame, graph: DataFrame, cosine: float, k: int) -> Dat
         comp = comp.withColumn("super", F.col("comp"))
     sizes = comp.groupBy("super").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = comp.join(sizes, "super").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(vectors.withColumnRenamed("vec_id", "node"), "node")
-    met = placed.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("super", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), F.struct(F.col("node").alias("vec_id"), "comp", "block", "x").alias("m"))
+    met = placed.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("super", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), F.struct(F.col("node").alias("vec_id"), "comp", "block", "x", "w").alias("m"))
     counted = cut(met.groupBy("super", "i", "j").agg(F.collect_list("m").alias("members")).select("i", "j", "members").mapInArrow(_blocks(cosine), "vec_id long, n long, comps array<long>"), "counts")
     links = counted.groupBy("vec_id").agg(F.sum("n").alias("n_links"))
     own = comp.select(F.col("node").alias("vec_id"), "comp")
@@ -196,13 +200,13 @@ def _compare(sample: list[tuple[int, bytes]], least: float):
             if batch.num_rows:
                 link = x @ _matrix(batch.column(1).to_pylist()).T >= least
                 link &= ids[:, None] != batch.column(0).to_numpy()[None, :]
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(link.sum(axis=1))], ["vec_id", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(link @ batch.column(2).to_numpy())], ["vec_id", "n"])
 
     return run
 
 
 def audit(vectors: DataFrame, found: DataFrame, cosine: float, size: int = AUDITED) -> float:
-    """Share of the links of ``size`` hash-chosen vectors, taken from those with links and from all, that were found."""
+    """Share of the links of ``size`` hash-chosen classes, taken from those with links and from all, that were found."""
     draw = F.xxhash64(F.lit("audit"), F.col("vec_id"))
     some = vectors.orderBy(draw).limit(size).unionByName(vectors.join(found.select("vec_id"), "vec_id", "left_semi").orderBy(draw).limit(size)).collect()
     if not some:
@@ -221,10 +225,18 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vec_col: str = "em
     """
     rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
     units = cut(rows.mapInArrow(_unit, "vec_id long, x binary").filter("x is not null and vec_id is not null").dropDuplicates(["vec_id"]), "units")
-    n, more = units.count(), 1
-    found = _settled(units, neighbour_graph(units, n, cosine, k, rounds), cosine, k)
-    while more < 4 and audit(units, found, cosine) < LEAST_RECALL:
+    keyed = units.select("vec_id", F.unhex(F.md5("x")).alias("key"))
+    classes = cut(keyed.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("w")), "classes")
+    vectors = cut(units.join(classes.select(F.col("rep").alias("vec_id"), "w"), "vec_id"), "class-vectors")
+    n, more = classes.count(), 1
+    graph = neighbour_graph(vectors, n, cosine, k, rounds)
+    found = _settled(vectors, graph, cosine, k)
+    while more < 4 and audit(vectors, found, cosine) < LEAST_RECALL:
         more *= 2
-        found = _settled(units, neighbour_graph(units, n, cosine, k, rounds, more), cosine, k)
+        graph = neighbour_graph(vectors, n, cosine, k, rounds, more, graph)
+        found = _settled(vectors, graph, cosine, k)
+    by_class = classes.join(found.withColumnRenamed("vec_id", "rep"), "rep", "left")
+    by_class = by_class.select("key", (F.coalesce("n_links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
+    of_unit = keyed.join(by_class, "key").drop("key")
     own = F.col("vec_id")
-    return rows.select("vec_id").join(found, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", own).alias("component_id"), own.eqNullSafe(F.coalesce("component_id", own)).alias("kept"))
+    return rows.select("vec_id").join(of_unit, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", own).alias("component_id"), own.eqNullSafe(F.coalesce("component_id", own)).alias("kept"))
