@@ -10,8 +10,8 @@ Banding: ``bands`` keys of ``rows`` coordinates. At similarity 0.75 a pair misse
 enumerated: members are first verified against two anchors and verified links are contracted to components. Members
 of buckets that still hold several components then go through prefix filtering: with shingles ordered by rising
 frequency, linked sets of n shingles must share one of their first ``n - ceil(0.75 n) + 1``, and what follows the first
-shared one must suffice, so passages that many documents share bring no pair together. The first anchor of a bucket is
-its member with the most company over all buckets, as an original among its copies has. No candidate is dropped: each pair that shares a bucket is in one component,
+shared one must suffice, so passages that many documents share bring no pair together. The anchors of a bucket are
+its smallest id and its member with the most company over all buckets, as an original among its copies has. No candidate is dropped: each pair that shares a bucket is in one component,
 was verified to be no link, or is ruled out by that bound.
 """
 
@@ -177,10 +177,12 @@ def _prefix_pairs(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, cand: DataFrame, sets: DataFrame, percent: int, tag: str) -> DataFrame:
-    """The links among ``pairs(a, b)``: sketch agreement first, then the sets of what is left."""
-    sig_a = cand.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a"))
-    sig_b = cand.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"))
-    likely = pairs.join(sig_a, "a").join(sig_b, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_agree(LEAST_AGREEMENT), "a long, b long")
+    """The links among ``pairs(a, b)``: sizes and sketch agreement first, then the sets of what is left."""
+    side_a = cand.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
+    side_b = cand.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
+    close = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    once = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    likely = once.join(side_a, "a").join(side_b, "b").filter(close).select("a", "b", "sig_a", "sig_b").mapInArrow(_agree(LEAST_AGREEMENT), "a long, b long")
     set_a = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("set_a"))
     set_b = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("set_b"))
     both = likely.join(set_b, "b").join(set_a, "a").select("a", "b", "set_a", "set_b")
@@ -205,31 +207,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = cut(by_band.join(crowded, "bucket").distinct(), "buckets")
 
     company = cut(members.groupBy("rep").agg(F.sum("size").alias("company")), "reps")
-    wanted, members = company.select("rep"), members.select("bucket", "rep")
+    wanted = company.select("rep")
+    members = cut(members.select("bucket", "rep").join(company, "rep"), "members")
     cand = cut(reps.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "sigs")
     bitmap = bitmap_of(wanted, F.xxhash64("rep"))
     again = with_hit(source, bitmap, F.xxhash64("doc_id"), "hit").filter("hit").select("doc_id", "text")
     sets = cut(again.mapInArrow(_sets(width), "rep long, shingles binary").join(wanted, "rep", "left_semi").dropDuplicates(["rep"]), "sets")
 
-    close = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    size_a, size_b = cand.select(F.col("rep").alias("a"), F.col("n").alias("n_a")), cand.select(F.col("rep").alias("b"), F.col("n").alias("n_b"))
-    labels = wanted.select("rep", F.col("rep").alias("comp"))
-    links = None
-    for step in ("central", "low", "rest"):
-        known = members.join(labels.join(company, "rep"), "rep").select("bucket", "rep", "comp", "company")
-        central = F.max_by("rep", F.struct("company", "rep")).alias("central")
-        split = known.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("rep").alias("low"), central).filter("c0 < c1")
-        if step == "rest":
-            mixed = cut(known.join(split.select("bucket"), "bucket", "left_semi").select("rep", "comp").distinct(), "mixed")
-            pairs = _prefix_pairs(mixed, sets, percent)
-        else:
-            anchor = split.select("bucket", F.col(step).alias("a"))
-            pairs = known.select("bucket", F.col("rep").alias("b")).join(anchor, "bucket").filter("a <> b")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(size_a, "a").join(size_b, "b").filter(close).select("a", "b")
-        found = _verified(pairs, cand, sets, percent, f"links-{step}")
-        links = found if links is None else links.unionByName(found)
-        comp = components(links, f"comp-{step}")
-        labels = cut(wanted.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("comp", "rep").alias("comp")), f"labels-{step}")
+    def labelled(links: DataFrame, step: str) -> DataFrame:
+        comp = components(links, f"comp-{step}").withColumnRenamed("node", "rep")
+        return cut(wanted.join(comp, "rep", "left").select("rep", F.coalesce("comp", "rep").alias("comp")), f"labels-{step}")
+
+    central = F.max_by("rep", F.struct("company", "rep")).alias("central")
+    anchors = members.groupBy("bucket").agg(F.min("rep").alias("low"), central)
+    pairs = members.join(anchors, "bucket").select(F.col("rep").alias("b"), F.explode(F.array("low", "central")).alias("a")).filter("a <> b")
+    links = _verified(pairs, cand, sets, percent, "links-anchors")
+    known = members.join(labelled(links, "anchors"), "rep").select("bucket", "rep", "comp")
+    split = known.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("bucket")
+    mixed = cut(known.join(split, "bucket", "left_semi").select("rep", "comp").distinct(), "mixed")
+    links = links.unionByName(_verified(_prefix_pairs(mixed, sets, percent), cand, sets, percent, "links-rest"))
+    labels = labelled(links, "rest")
 
     moved = classes.join(labels.filter("rep <> comp"), "rep", "left").select("set_key", F.coalesce("comp", "rep").alias("comp"))
     own: Column = F.col("doc_id")
