@@ -21,6 +21,8 @@ from veilspark.llm.common import cut, drop_ids
 
 #: Documents whose features train the scorer: about so many, chosen by a hash of their id.
 SAMPLE = 4096
+#: Documents of the sample that training reads at a time.
+STEP = 256
 _TRI, _WORDS, _EXTRA = 4096, 4096, 16
 _DIM = _TRI + _WORDS + _EXTRA
 HEURISTICS = ("symbols", "marked_words", "capitals", "shouting", "stutter", "vocabulary", "separators", "sentences")
@@ -138,12 +140,23 @@ def fit_labels(codes: np.ndarray, counts: np.ndarray, rounds: int = 60) -> tuple
     return post, table
 
 
-def fit_scorer(x: np.ndarray, y: np.ndarray, rounds: int = 150, ridge: float = 1e-4) -> np.ndarray:
-    """Weights of a logistic scorer for soft labels ``y``, by full-batch Adam."""
+def fit_scorer(spots: np.ndarray, values: np.ndarray, starts: np.ndarray, y: np.ndarray, rounds: int = 150, ridge: float = 1e-4) -> np.ndarray:
+    """Weights of a logistic scorer for soft labels ``y``, by full-batch Adam.
+
+    Document i's features that aren't zero are ``values[starts[i]:starts[i + 1]]`` at ``spots``; none has no feature, as
+    each has the bias. They are read STEP documents at a time, so four bytes a feature are all that is held.
+    """
     w, m, v = np.zeros(_DIM, np.float32), np.zeros(_DIM, np.float32), np.zeros(_DIM, np.float32)
     for t in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y).astype(np.float32) / max(len(y), 1) + ridge * w
+        g = np.zeros(_DIM)
+        for lo in range(0, len(y), STEP):
+            hi = min(len(y), lo + STEP)
+            own = slice(starts[lo], starts[hi])
+            spot, value = spots[own].astype(np.intp), values[own].astype(np.float32)
+            z = np.add.reduceat(value * w[spot], starts[lo:hi] - starts[lo])
+            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            g += np.bincount(spot, value * np.repeat(p - y[lo:hi], np.diff(starts[lo : hi + 1])), minlength=_DIM)
+        g = (g / max(len(y), 1)).astype(np.float32) + ridge * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     return w
@@ -160,12 +173,14 @@ def _label(share: float):
                     chunk = _Chunk(batch.column(1).slice(lo2, n))
                     draw = np.asarray(batch.column(2).slice(lo2, n).to_numpy(zero_copy_only=False), np.int64)
                     rows = np.flatnonzero(draw < least)
-                    feats: list[bytes | None] = [None] * n
+                    spots: list[bytes | None] = [None] * n
+                    values: list[bytes | None] = [None] * n
                     if len(rows):
-                        x = chunk.features()
-                        for r in rows.tolist():
-                            feats[r] = x[r].astype("<f2").tobytes()
-                    yield pa.RecordBatch.from_arrays([pa.array(chunk.votes()), pa.array(feats, pa.binary())], ["code", "features"])
+                        x = chunk.features()[rows].astype("<f2")
+                        for r, own in zip(rows.tolist(), x, strict=True):
+                            some = np.flatnonzero(own)
+                            spots[r], values[r] = some.astype("<u2").tobytes(), own[some].tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array(chunk.votes()), pa.array(spots, pa.binary()), pa.array(values, pa.binary())], ["code", "spots", "values"])
 
     return run
 
@@ -188,18 +203,19 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     total = max(1, docs.count())
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     draw = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col).cast("string")), F.lit(1 << 32))
-    table = cut(docs.select(F.lit(0), text, draw).mapInArrow(_label(min(1.0, sample / total)), "code long, features binary"), "votes")
+    table = cut(docs.select(F.lit(0), text, draw).mapInArrow(_label(min(1.0, sample / total)), "code long, spots binary, values binary"), "votes")
     counts = table.groupBy("code").count().orderBy("code").toPandas()
     codes, n = counts["code"].to_numpy(np.int64), counts["count"].to_numpy(float)
     if not len(codes):
         return np.zeros(_DIM, np.float32), np.zeros((len(HEURISTICS), 2, 3))
     post, votes = fit_labels(codes, n)
-    rows = table.filter("features is not null").toPandas()
-    if not len(rows):
+    rows = table.filter("spots is not null").toArrow()
+    if not rows.num_rows:
         return np.zeros(_DIM, np.float32), votes
-    x = np.frombuffer(b"".join(rows["features"]), "<f2").reshape(len(rows), _DIM).astype(np.float32)
-    y = post[np.searchsorted(codes, rows["code"].to_numpy(np.int64))].astype(np.float32)
-    return fit_scorer(x, y), votes
+    spots, values = (np.frombuffer(b"".join(rows[c].to_pylist()), kind) for c, kind in (("spots", "<u2"), ("values", "<f2")))
+    starts = np.concatenate([[0], np.cumsum([len(x) // 2 for x in rows["spots"].to_pylist()])])
+    y = post[np.searchsorted(codes, rows["code"].to_numpy())].astype(np.float32)
+    return fit_scorer(spots, values, starts, y), votes
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, reject: float = 0.5) -> DataFrame:
