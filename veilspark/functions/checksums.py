@@ -79,3 +79,55 @@ def letter_value(text: Column, i: int) -> Column:
 def digit_sum(x: Column) -> Column:
     """Of a number below 100."""
     return x % 10 + (x / 10).cast("int")
+
+
+#: The alphabets of Base58 and Bech32, the latter's generator and its two constants.
+BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
+BECH32 = "qpzry9x8gf2tvdw0s3jn54khce6mua7l"
+_BECH32_GENERATOR = (0x3B6A57B2, 0x26508E6D, 0x1EA119FA, 0x3D4233DD, 0x2A1462B3)
+_BECH32_ENDS = (1, 0x2BC830A3)
+
+
+def _chars(text: Column) -> Column:
+    return F.filter(F.split(text, ""), lambda c: c != "")
+
+
+def base58check(text: Column, most: int = 72) -> Column:
+    """Whether the last four bytes are those of the double SHA-256 of the rest, for texts of at most ``most`` characters.
+
+    The number is kept in limbs of 40 bits, lowest first, so each step of the base conversion fits a long."""
+    limbs = F.array_repeat(F.lit(0).cast("long"), -(-most * 6 // 40))
+
+    def add(limbs: Column, c: Column) -> Column:
+        def carry(acc: Column, limb: Column) -> Column:
+            total = limb * 58 + acc["over"]
+            return F.struct(F.shiftright(total, 40).alias("over"), F.concat(acc["out"], F.array(total.bitwiseAND(F.lit((1 << 40) - 1)))).alias("out"))
+
+        first = F.struct((F.instr(F.lit(BASE58), c) - 1).cast("long").alias("over"), F.array().cast("array<long>").alias("out"))
+        return F.aggregate(limbs, first, carry, lambda acc: acc["out"])
+
+    number = F.aggregate(F.aggregate(_chars(text), limbs, add), F.lit(""), lambda s, limb: F.concat(F.lpad(F.hex(limb), 10, "0"), s))
+    zeros = F.regexp_replace(F.regexp_extract(text, "^1*", 0), "1", "00")
+    data = F.concat(zeros, F.regexp_replace(number, "^(00)+", ""))
+    body = F.unhex(F.substr(data, F.lit(1), F.length(data) - 8))
+    good = F.upper(F.substring(F.sha2(F.unhex(F.sha2(body, 256)), 256), 1, 8)) == F.right(data, F.lit(8))
+    return F.when(text.rlike(f"^[{BASE58}]{{6,{most}}}$"), F.coalesce(good, F.lit(False))).otherwise(False)
+
+
+def bech32(text: Column) -> Column:
+    """The checksum of Bech32 or Bech32m over a text in lower or in upper case, of at most 90 characters."""
+    low = F.lower(text)
+    shape = f"^([\\x21-\\x7E]+)1([{BECH32}]{{6,}})$"
+    human, data = _chars(F.regexp_extract(low, shape, 1)), _chars(F.regexp_extract(low, shape, 2))
+    high = F.transform(human, lambda c: F.shiftright(F.ascii(c), 5))
+    rest = F.transform(human, lambda c: F.ascii(c).bitwiseAND(31))
+    values = F.concat(high, F.array(F.lit(0)), rest, F.transform(data, lambda c: F.instr(F.lit(BECH32), c) - 1))
+
+    def step(acc: Column, v: Column) -> Column:
+        out = F.shiftleft(acc.bitwiseAND(0x1FFFFFF), 5).bitwiseXOR(v)
+        for i, g in enumerate(_BECH32_GENERATOR):
+            out = out.bitwiseXOR(F.shiftright(acc, 25 + i).bitwiseAND(1) * g)
+        return out
+
+    one_case = (text == low) | (text == F.upper(text))
+    return one_case & (F.length(text) <= 90) & low.rlike(shape) & F.aggregate(values, F.lit(1), step).isin(*_BECH32_ENDS)

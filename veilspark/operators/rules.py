@@ -57,6 +57,10 @@ def _all_same(t: Column) -> Column:
     return C.only(t).rlike(r"^(\d)\1*$")
 
 
+def _wallet(t: Column) -> Column:
+    return F.when(t.rlike("^[13]"), C.base58check(t)).when(t.startswith("bc1"), C.bech32(t)).otherwise(False)
+
+
 def _ssn_bad(t: Column) -> Column:
     d = C.only(t)
     kinds = F.size(F.array_distinct(F.filter(F.split(t, ""), lambda c: c.isin(".", "-", " "))))
@@ -286,6 +290,7 @@ GENERIC = (
         (rf"\b({_D}\.{_M}\.(\d{{4}}|\d{{2}}))\b", 0.6), (rf"\b({_D}-{_MONTHS}-(\d{{4}}|\d{{2}}))\b", 0.6), (rf"\b({_MONTHS}-(\d{{4}}|\d{{2}}))\b", 0.6), (rf"\b({_D}-{_MONTHS})\b", 0.6), (rf"\b({_M}/\d{{4}})\b", 0.2), (rf"\b({_M}/\d{{2}})\b", 0.1),
     ), _w("date,birthday"), enabled=True),
     Rule("Email", "EMAIL_ADDRESS", ((r"\b((([!#$%&'*+\-/=?^_`{|}~\w])|([!#$%&'*+\-/=?^_`{|}~\w][!#$%&'*+\-/=?^_`{|}~\.\w]{0,}[!#$%&'*+\-/=?^_`{|}~\w]))[@]\w+(?:-+\w+)*(?:\.\w+(?:-+\w+)*)+)\b", 0.5),), _w("email"), check=_email_ok, enabled=True),
+    Rule("Crypto", "CRYPTO", ((r"(bc1|[13])[a-zA-HJ-NP-Z0-9]{25,59}", 0.5),), _w("wallet,btc,bitcoin,crypto"), check=_wallet, enabled=True),
     Rule("Iban", "IBAN_CODE", ((r"(?<![A-Z0-9])([A-Z]{2}[0-9]{2}(?:[ -]?[A-Z0-9]{4}){2,6})((?:[ -]?[A-Z0-9]{4})?)((?:[ -]?[A-Z0-9]{1,3})?)(?![A-Z0-9])", 0.5),), _w("iban,bank,transaction"), check=_iban, groups=3, enabled=True),
     Rule("Ip", "IP_ADDRESS", (
         (rf"(?<![\w:])::(?:ffff(?::0{{1,4}})?:)?(?:{_OCTET}\.){{3}}{_OCTET}{_P6}\b", 0.6),
@@ -326,6 +331,7 @@ def _rule(country: str, language: str, name: str, entity: str, patterns, context
 WORLD = (
     _rule("uk", "en", "Nhs", "UK_NHS", [(r"\b([0-9]{3})[- ]?([0-9]{3})[- ]?([0-9]{4})\b", 0.5)], "national health service,nhs,health services authority,health authority", _nhs, enabled=True),
     _rule("uk", "en", "UkNino", "UK_NINO", [(r"\b(?!bg|gb|nk|kn|nt|tn|zz|BG|GB|NK|KN|NT|TN|ZZ)([a-ceghj-pr-tw-zA-CEGHJ-PR-TW-Z]{1}[a-ceghj-npr-tw-zA-CEGHJ-NPR-TW-Z]{1}) ?([0-9]{2}) ?([0-9]{2}) ?([0-9]{2}) ?([a-dA-D]{1})\b", 0.5)], "national insurance,ni number,nino"),
+    _rule("uk", "en", "UkPostcode", "UK_POSTCODE", [(r"\b(GIR\s?0AA|[A-PR-UWYZ][0-9][ABCDEFGHJKPSTUW]?\s?[0-9][ABD-HJLNP-UW-Z]{2}|[A-PR-UWYZ][0-9]{2}\s?[0-9][ABD-HJLNP-UW-Z]{2}|[A-PR-UWYZ][A-HK-Y][0-9][ABEHMNPRVWXY]?\s?[0-9][ABD-HJLNP-UW-Z]{2}|[A-PR-UWYZ][A-HK-Y][0-9]{2}\s?[0-9][ABD-HJLNP-UW-Z]{2})\b", 0.1)], "postcode,post code,postal code,zip,address,delivery,mailing,shipping,correspondence"),
     _rule("uk", "en", "UkPassport", "UK_PASSPORT", [(r"\b[A-Z]{2}\d{7}\b", 0.1)], "passport,passport number,travel document,uk passport,british passport"),
     _rule("uk", "en", "UkDrivingLicence", "UK_DRIVING_LICENCE", [(r"\b[A-Z9]{5}[0-9](?:0[1-9]|1[0-2]|5[1-9]|6[0-2])(?:0[1-9]|[12][0-9]|3[01])[0-9][A-Z9]{2}[A-Z0-9][A-Z]{2}\b", 0.5)], "driving licence,driving license,dvla,dl number,licence number", lambda t: F.when(~F.upper(F.substring(t, 1, 5)).rlike("^[A-Z]+9*$"), False)),
     _rule("uk", "en", "UkVehicleRegistration", "UK_VEHICLE_REGISTRATION", [(r"\b[A-HJ-PR-Y][A-HJ-PR-Y](?:0[1-9]|[1-7][0-9])[- ]?[A-HJ-PR-Z]{3}\b", 0.3), (r"\b[A-HJ-NPR-TV-Y]\d{1,3}[- ]?[A-HJ-PR-Y][A-HJ-PR-Z]{2}\b", 0.2), (r"\b[A-HJ-PR-Z]{3}[- ]?\d{1,3}[- ]?[A-HJ-NPR-TV-Y]\b", 0.15)], "vehicle,registration,number plate,licence plate,reg,vrn,dvla,v5c", lambda t: F.when(F.translate(t, "- ", "").rlike("(?i)^[A-Z]{2}[0-9]{2}[A-Z]{3}$"), F.substring(t, 3, 2).try_cast("int").between(2, 29) | F.substring(t, 3, 2).try_cast("int").between(51, 79))),

@@ -93,3 +93,31 @@ def scrub_nested(df: DataFrame, analyzer: Analyzer, operators: Mapping[str, A.Op
         return value
 
     return df.select(*[walk(F.col(f"`{f.name}`"), f.dataType, f.name, (f.name,)).alias(f.name) for f in df.schema.fields])
+
+
+def restore_nested(df: DataFrame, items_col: str, operators: Mapping[str, A.Operator]) -> DataFrame:
+    """The way back for columns, structs, arrays and maps. ``items_col`` is a struct shaped like the columns it speaks of,
+    with ``array<item>`` in the place of each string. Strings without items, and columns it doesn't name, stay."""
+    kinds = df.schema[items_col].dataType
+    if not isinstance(kinds, T.StructType):
+        raise ValueError(f"{items_col}: items of nested columns are a struct")
+
+    def walk(value: Column, kind: T.DataType, items: Column, shape: T.DataType) -> Column:
+        if isinstance(kind, T.StringType):
+            found = F.coalesce(items, F.array().cast(f"array<{A.ITEM}>"))
+            return F.when(value.isNotNull(), A.deanonymize(value, found, operators)["text"])
+        if isinstance(kind, T.ArrayType) and isinstance(shape, T.ArrayType):
+            return F.transform(value, lambda v, i: walk(v, kind.elementType, F.try_element_at(items, i + 1), shape.elementType))
+        if isinstance(kind, T.MapType) and isinstance(shape, T.MapType):
+            return F.transform_values(value, lambda k, v: walk(v, kind.valueType, F.try_element_at(items, k), shape.valueType))
+        if isinstance(kind, T.StructType) and isinstance(shape, T.StructType):
+            known = {f.name: f.dataType for f in shape.fields}
+            fields = [(walk(value[f.name], f.dataType, items[f.name], known[f.name]) if f.name in known else value[f.name]).alias(f.name) for f in kind.fields]
+            return F.when(value.isNotNull(), F.struct(*fields))
+        return value
+
+    known = {f.name: f.dataType for f in kinds.fields}
+    own = [f for f in df.schema.fields if f.name != items_col]
+    back = [walk(F.col(f"`{f.name}`"), f.dataType, F.col(f"`{items_col}`")[f.name], known[f.name]).alias(f.name) if f.name in known else F.col(f"`{f.name}`") for f in own]
+    with S.quiet():
+        return df.select(*back)

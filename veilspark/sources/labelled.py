@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import dataclasses
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilspark.operators.anonymize import ITEM, Operator
 from veilspark.operators.rules import Rule
-from veilspark.operators.scan import deny_rule, thresholds
+from veilspark.operators.scan import NO_SPANS, deny_rule, thresholds
 
 RECORD = "full_text string, masked string, spans array<struct<entity_type:string,entity_value:string,start_position:int,end_position:int>>, template_id long, metadata string"
 
@@ -43,3 +44,31 @@ def rules_from_yaml(text: str) -> list[Rule]:
 
 def write_metrics(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
+
+
+def spans_from_json(text: Column) -> Column:
+    """``array<span>`` of a JSON array of spans; null where it can't be read."""
+    return F.from_json(text, NO_SPANS)
+
+
+def items_from_json(text: Column) -> Column:
+    """The items of an anonymized text from their JSON array, as deanonymizing takes them."""
+    return F.from_json(text, f"array<{ITEM}>")
+
+
+def to_json(value: Column) -> Column:
+    """Spans, items or a whole result as JSON."""
+    return F.to_json(value)
+
+
+def operators_from_dict(spec: dict) -> dict[str, Operator]:
+    """Operators by entity from their configuration: ``type`` names the operator, the other keys are its parameters."""
+    for entity, one in spec.items():
+        if not isinstance(one, dict) or not one.get("type"):
+            raise ValueError(f"{entity}: an operator needs a type")
+    return {entity: Operator(one["type"], {k: v for k, v in one.items() if k != "type"}) for entity, one in spec.items()}
+
+
+def write_report(df: DataFrame, path: str, id_col: str = "doc_id") -> None:
+    """One JSON object a text, ``df`` having ``spans`` and perhaps ``result``: for reports over any number of texts."""
+    df.select(*[c for c in (id_col, "text", "spans", "result") if c in df.columns]).write.mode("overwrite").json(path)
