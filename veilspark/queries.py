@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.functions import checksums as C
-from veilspark.operators import evaluate, scan
+from veilspark.operators import chunk, evaluate, scan
 from veilspark.operators.anonymize import Operator, anonymize, deanonymize
 from veilspark.operators.rules import CATALOG
 from veilspark.plans.engine import Analyzer, explode_spans, rewrite
@@ -102,6 +102,25 @@ def mask_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select("doc_id", F.size("spans").cast("long").alias("n_spans"), rewrite(F.col("text"), F.col("spans"), {"CREDIT_CARD": Operator("mask")}, "regex_only")["text"].alias("text"))
 
 
+def chunk_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in pieces of 250 code points, stretched to white space."""
+    found = chunk.explode_chunks(_documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", F.col("chunk_start").cast("long").alias("start"), F.col("chunk_end").cast("long").alias("end_"), F.md5("chunk_text").alias("chunk_md5"))
+
+
+def chunk_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in pieces of 64 tokens that share 16 with the piece before."""
+    found = chunk.explode_chunks(_documents(spark, sf_dir).select("doc_id", "text"), kind="token", size=64, overlap=16)
+    return found.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.size(F.regexp_extract_all("chunk_text", F.lit(r"\S+"), F.lit(0))).cast("long").alias("n_tokens"), F.md5(F.regexp_replace("chunk_text", r"\s+", " ")).alias("chunk_md5"))
+
+
+def chunked_scan_ip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses found piece by piece: the same as in whole documents, as pieces end at white space and overlap."""
+    found = chunk.predict(chunk.by_characters(F.col("text")), lambda t: scan.scan(t, RULES["Ip"]))
+    spans = explode_spans(_documents(spark, sf_dir).select("doc_id", found.alias("spans")))
+    return spans.select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end_"), "score")
+
+
 def _truth_and_found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Planted numbers as truth, and what the social security rule finds."""
     df = _derived(spark, sf_dir)
@@ -144,12 +163,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "encrypt_roundtrip": encrypt_roundtrip,
     "entity_counts_by_lang": entity_counts_by_lang,
     "mask_documents": mask_documents,
+    "chunk_characters": chunk_characters,
+    "chunk_tokens": chunk_tokens,
+    "chunked_scan_ip": chunked_scan_ip,
     "recall_by_label": recall_by_label,
     "precision_by_label": precision_by_label,
 }
 
+_EDGE = "coalesce(nullif(instr(substr(b, cast({at} AS bigint) + 1), ' '), 0) + {at} - 1, n)"
+_CHUNK_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, replace(text, chr(10), ' ') AS b, length(text) AS n FROM documents WHERE text <> ''),
+c AS (
+    SELECT doc_id, 0::BIGINT AS start, (CASE WHEN n <= 250 THEN n ELSE {_EDGE.format(at='250')} END)::BIGINT AS end_ FROM d
+    UNION ALL
+    SELECT doc_id, s, (CASE WHEN s + 250 >= n THEN n ELSE {_EDGE.format(at='(s + 250)')} END)::BIGINT
+    FROM (SELECT doc_id, b, n, least({_EDGE.format(at='(end_ - 50)')}, end_)::BIGINT AS s FROM c JOIN d USING (doc_id) WHERE end_ < n)
+)
+SELECT doc_id, start, end_, md5(substr(text, start + 1, end_ - start)) AS chunk_md5 FROM c JOIN documents USING (doc_id)
+"""
+
 ORACLES = {
+    "chunk_characters": _CHUNK_SQL,
+    "chunk_tokens": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(text, '\S+') AS t FROM documents),
+w AS (SELECT doc_id, t, unnest(range(0, greatest(len(t) - 16, 1), 48)) AS i FROM d WHERE len(t) > 0)
+SELECT doc_id, i // 48 AS chunk, len(t[i + 1:i + 64]) AS n_tokens, md5(array_to_string(t[i + 1:i + 64], ' ')) AS chunk_md5 FROM w
+""",
     "scan_ip": _scan_sql(_DOCS, _IP4, "0.6", r"NOT regexp_matches(t, '(^|\.)0[0-9]')"),
+    "chunked_scan_ip": _scan_sql(_DOCS, _IP4, "0.6", r"NOT regexp_matches(t, '(^|\.)0[0-9]')"),
     "scan_uuid": _scan_sql(DERIVED, RULES["Uuid"].patterns[0][0], "0.5", "substr(t, 20, 1) IN ('8', '9', 'a', 'b')"),
     "scan_email": _scan_sql(DERIVED, r"[a-z0-9]+\.[a-z0-9]+@[a-z0-9]+\.com\b", "1.0"),
     "scan_bank": _scan_sql(DERIVED, RULES["UsBank"].patterns[0][0], "0.05"),
