@@ -106,6 +106,48 @@ def test_embeddings(spark):
     assert out[1].component_id == 0 and out[139].component_id == 100 and all(out[i].kept and out[i].n_links == 0 for i in range(300, 304))
 
 
+def _vectors(spark, x):
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    return unit, spark.createDataFrame([(i, bytearray(v.tobytes()), 1) for i, v in enumerate(unit)], "vec_id long, x binary, w long")
+
+
+def _at(rng, v, cosine):
+    """A vector at ``cosine`` to ``v``."""
+    v = v / np.linalg.norm(v)
+    r = rng.standard_normal(v.shape)
+    r -= (r @ v) * v
+    return cosine * v + math.sqrt(1 - cosine**2) * r / np.linalg.norm(r)
+
+
+def test_embeddings_compare_split_buckets_whole(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    axis = rng.standard_normal(64)
+    x = np.array([_at(rng, axis, math.sqrt(0.8)) for _ in range(600)])
+    for i in range(0, 200, 2):
+        x[i + 1] = _at(rng, x[i], 0.92)
+    monkeypatch.setattr(embed, "GROUP", 16)
+    unit, vectors = _vectors(spark, x)
+    near = {r.vec_id: r.near for r in embed.neighbour_graph(vectors, len(x), 0.9, rounds=0).collect()}
+    true = [(a, b) for a, b in zip(*np.nonzero(np.triu(unit @ unit.T >= 0.9, 1)), strict=True)]
+    assert sum(b in near.get(a, ()) for a, b in true) >= 0.97 * len(true) >= 97
+
+
+def test_embeddings_are_compared_in_full_when_no_graph_passes(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((60, 16))
+    for i in range(0, 40, 2):
+        x[i + 1] = _at(rng, x[i], 0.95)
+    x[50:60] = x[50] + 0.1 * rng.standard_normal((10, 16))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = unit @ unit.T >= 0.9
+    empty = spark.createDataFrame([], "vec_id long, near array<long>, sims array<double>")
+    monkeypatch.setattr(embed, "neighbour_graph", lambda *a, **k: empty)
+    monkeypatch.setattr(embed, "MOST", 1, raising=False)
+    out = _by_id(embed.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")), "vec_id")
+    assert [out[i].n_links for i in range(60)] == (link.sum(axis=1) - 1).tolist()
+    assert out[1].component_id == 0 and all(out[i].component_id == 50 for i in range(50, 60))
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "a"), (1, 1, "bot", "b"), (2, 0, "user", "a"), (3, 0, "user", "a"), (3, 1, "bot", "b"), (4, 0, None, None), (4, 0, None, None), (5, 0, "user", "a"), (5, 1, "bot", "c")]
     out = _by_id(chat.render(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")), "conv_id")

@@ -1,8 +1,9 @@
 """Near-duplicate vectors by NN-descent.
 
-A first neighbour graph comes from groups of vectors that share a sign hash (a group of more than GROUP is split by a
-hash of the id, so no task meets an unbounded one). Rounds of neighbours-of-neighbours joins refine it: at each vector
-meet its neighbours and those that hold it as one, again in bounded groups. Pairs at the threshold make components.
+A first neighbour graph comes from groups of vectors that share a sign hash. A group of more than GROUP is split by a
+hash of the id, so no task meets an unbounded one; then every member whose list is not yet full of links is compared
+with the whole group, block by block. Rounds of neighbours-of-neighbours joins refine the graph: at each vector meet
+its neighbours and those that hold it as one, in bounded groups. Pairs at the threshold make components.
 
 Equal vectors become one class before anything is compared: a class is its smallest id and a weight, so copies cost one
 row and can't fill the lists of their neighbours. Links are counted by weight.
@@ -11,7 +12,8 @@ A list that is full of links is saturated. It is enlarged without listing pairs:
 one pivot each through the same graph at a lower threshold, components whose pivots are near are put together, and
 then all members of what belongs together are compared in blocks of BLOCK in double precision. Blocks emit counts and
 linked components, never pairs. An audit compares a bounded number of vectors with all rows; when fewer than LEAST_RECALL
-of their links were found, the graph is refined from twice as many further hash tables.
+of their links were found, the graph is refined from twice as many further hash tables and audited again. If the graph of
+MOST times the tables still falls short, all vectors are compared with each other in blocks, which leaves nothing out.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from veilspark.llm.common import components, cut
 
-K, GROUP, BLOCK, AUDITED, LEAST_RECALL, ROUNDS = 8, 256, 1024, 64, 0.99, 2
+K, GROUP, BLOCK, AUDITED, LEAST_RECALL, ROUNDS, MOST = 8, 256, 1024, 64, 0.99, 2, 8
 #: What a pivot may be apart: the sum of half of two components' widths at the threshold stays within this.
 PIVOT_COSINE = 0.7
 
@@ -90,6 +92,32 @@ def _best(k: int, least: float):
     return run
 
 
+def _best_of(k: int, least: float):
+    """(members of a block, own or met) to each own member's ``k`` nearest among those met."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, near, sims = [], [], []
+            for row in batch.to_pylist():
+                own, met = ([m for m in row["members"] if m["own"] == side] for side in (True, False))
+                if not own or not met:
+                    continue
+                ids, others = (np.array([m["vec_id"] for m in side], np.int64) for side in (own, met))
+                s = _matrix([m["x"] for m in own]).astype(np.float32) @ _matrix([m["x"] for m in met]).astype(np.float32).T
+                s[ids[:, None] == others[None, :]] = -2
+                top = np.argpartition(-s, min(k, len(others)) - 1, axis=1)[:, :k]
+                val = np.take_along_axis(s, top, axis=1)
+                for i in range(len(ids)):
+                    good = val[i] >= least
+                    if good.any():
+                        out.append(int(ids[i]))
+                        near.append(others[top[i][good]].tolist())
+                        sims.append(val[i][good].astype(float).tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array(near, pa.list_(pa.int64())), pa.array(sims, pa.list_(pa.float64()))], ["vec_id", "near", "sims"])
+
+    return run
+
+
 def _merge(k: int):
     """Lists of lists to one list of the ``k`` nearest."""
 
@@ -121,6 +149,27 @@ def _merged(lists: DataFrame, k: int, tag: str) -> DataFrame:
     return cut(lists.groupBy("vec_id").agg(F.collect_list(F.struct("near", "sims")).alias("parts")).mapInArrow(_merge(k), _LIST), tag)
 
 
+def _full(graph: DataFrame, cosine: float, k: int) -> DataFrame:
+    """``(vec_id)`` whose lists are full of links."""
+    return graph.filter((F.size("sims") >= k) & (F.element_at("sims", F.lit(-1)) >= cosine - 1e-5)).select("vec_id")
+
+
+def _rest(codes: DataFrame, vectors: DataFrame, graph: DataFrame, cosine: float, k: int) -> DataFrame | None:
+    """What ``_met`` leaves out of the groups it splits: members whose lists aren't full against the whole of their groups, in blocks."""
+    large = codes.join(codes.groupBy("place").agg(F.count("*").alias("size")).filter(F.col("size") > GROUP), "place")
+    flagged = cut(large.join(_full(graph, cosine, k).withColumn("full", F.lit(True)), "vec_id", "left").select("place", "vec_id", "size", F.col("full").isNull().alias("open")), "large")
+    sizes = flagged.groupBy("place").agg(F.ceil(F.count_if("open") / BLOCK).cast("int").alias("lefts"), F.ceil(F.count("*") / BLOCK).cast("int").alias("rights")).filter("lefts > 0")
+    if sizes.isEmpty():
+        return None
+    placed = flagged.join(sizes, "place").withColumn("h", F.xxhash64("vec_id", "place"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    of = lambda n: F.pmod("h", F.col(n)).cast("int")
+    own = placed.filter("open").select("place", "vec_id", of("lefts").alias("i"), every("rights").alias("j"), F.lit(True).alias("own"))
+    met = placed.select("place", "vec_id", every("lefts").alias("i"), of("rights").alias("j"), F.lit(False).alias("own"))
+    members = own.unionByName(met).join(vectors, "vec_id").groupBy("place", "i", "j").agg(F.collect_list(F.struct("vec_id", "x", "own")).alias("members"))
+    return members.select("members").mapInArrow(_best_of(k, cosine - 0.4), _LIST)
+
+
 def neighbour_graph(vectors: DataFrame, n: int, cosine: float, k: int = K, rounds: int = ROUNDS, more: int = 1, before: DataFrame | None = None) -> DataFrame:
     """``(vec_id, near, sims)``: about the ``k`` nearest of each of ``n`` unit vectors ``(vec_id, x)``. ``before``: a graph to start from besides."""
     bits = min(24, max(3, round(math.log2(max(n, 2) / 48))))
@@ -128,6 +177,9 @@ def neighbour_graph(vectors: DataFrame, n: int, cosine: float, k: int = K, round
     codes = cut(vectors.mapInArrow(_codes(bits, tables, more), "vec_id long, bucket long"), "codes").withColumnRenamed("bucket", "place")
     first = _met(codes, vectors, k, cosine - 0.4, GROUP)
     graph = _merged(first if before is None else first.unionByName(before), k, "graph")
+    rest = _rest(codes, vectors, graph, cosine, k)
+    if rest is not None:
+        graph = _merged(graph.unionByName(rest), k, "graph")
     for _ in range(rounds):
         links = graph.select("vec_id", F.explode("near").alias("near"))
         pairs = links.select(F.col("vec_id").alias("place"), F.col("near").alias("vec_id")).union(links.select(F.col("near").alias("place"), "vec_id")).union(graph.select(F.col("vec_id").alias("place"), "vec_id")).distinct()
@@ -164,11 +216,15 @@ def _blocks(least: float):
     return run
 
 
+def _components(graph: DataFrame, cosine: float) -> DataFrame:
+    edges = cut(graph.select(F.col("vec_id").alias("a"), F.explode(F.arrays_zip("near", "sims")).alias("e")).filter(F.col("e.sims") >= cosine - 1e-5).select("a", F.col("e.near").alias("b")), "edges")
+    return cut(components(edges, "vec-comp"), "comp")
+
+
 def _settled(vectors: DataFrame, graph: DataFrame, cosine: float, k: int) -> DataFrame:
     """``(vec_id, n_links, component_id)`` of the classes ``vectors(vec_id, x, w)`` that have links to others; ``n_links`` sums their weights."""
-    edges = cut(graph.select(F.col("vec_id").alias("a"), F.explode(F.arrays_zip("near", "sims")).alias("e")).filter(F.col("e.sims") >= cosine - 1e-5).select("a", F.col("e.near").alias("b")), "edges")
-    comp = cut(components(edges, "vec-comp"), "comp")
-    full = graph.filter((F.size("sims") >= k) & (F.element_at("sims", F.lit(-1)) >= cosine - 1e-5)).select(F.col("vec_id").alias("node"))
+    comp = _components(graph, cosine)
+    full = _full(graph, cosine, k).withColumnRenamed("vec_id", "node")
     pivots = cut(comp.join(full, "node", "left_semi").groupBy("comp").agg(F.min("node").alias("vec_id")), "pivots")
     n = pivots.count()
     if n > 1:
@@ -180,6 +236,17 @@ def _settled(vectors: DataFrame, graph: DataFrame, cosine: float, k: int) -> Dat
         comp = cut(comp.join(over.select(F.col("node").alias("comp"), F.col("comp").alias("super")), "comp", "left").select("node", "comp", F.coalesce("super", "comp").alias("super")), "supers")
     else:
         comp = comp.withColumn("super", F.col("comp"))
+    return _counted(vectors, comp, cosine)
+
+
+def _exact(vectors: DataFrame, graph: DataFrame, cosine: float) -> DataFrame:
+    """As ``_settled``, from all vectors compared with each other; the graph only tells which links can go unlisted."""
+    comp = vectors.select(F.col("vec_id").alias("node")).join(_components(graph, cosine), "node", "left")
+    return _counted(vectors, comp.select("node", F.coalesce("comp", "node").alias("comp"), F.lit(0).cast("long").alias("super")), cosine)
+
+
+def _counted(vectors: DataFrame, comp: DataFrame, cosine: float) -> DataFrame:
+    """Links and components from comparing all members ``comp(node, comp, super)`` of each super with each other."""
     sizes = comp.groupBy("super").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = comp.join(sizes, "super").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(vectors.withColumnRenamed("vec_id", "node"), "node")
     met = placed.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("super", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), F.struct(F.col("node").alias("vec_id"), "comp", "block", "x", "w").alias("m"))
@@ -231,7 +298,10 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vec_col: str = "em
     n, more = classes.count(), 1
     graph = neighbour_graph(vectors, n, cosine, k, rounds)
     found = _settled(vectors, graph, cosine, k)
-    while more < 4 and audit(vectors, found, cosine) < LEAST_RECALL:
+    while audit(vectors, found, cosine) < LEAST_RECALL:
+        if more >= MOST:
+            found = _exact(vectors, graph, cosine)
+            break
         more *= 2
         graph = neighbour_graph(vectors, n, cosine, k, rounds, more, graph)
         found = _settled(vectors, graph, cosine, k)
