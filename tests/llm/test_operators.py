@@ -148,6 +148,19 @@ def test_embeddings_are_compared_in_full_when_no_graph_passes(spark, monkeypatch
     assert out[1].component_id == 0 and all(out[i].component_id == 50 for i in range(50, 60))
 
 
+def test_embeddings_audit_counts_vectors_not_links(spark):
+    rng = np.random.default_rng(9)
+    crowd = rng.standard_normal(32)
+    x = np.concatenate([[_at(rng, crowd, 0.98) for _ in range(1500)], rng.standard_normal((1500, 32))])
+    for i in range(1500, 3000, 2):
+        x[i + 1] = _at(rng, x[i], 0.95)
+    unit, vectors = _vectors(spark, x)
+    n = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    told = lambda least: spark.createDataFrame([(i, int(c)) for i, c in enumerate(n) if c > least], "vec_id long, n_links long")
+    assert embed.audit(vectors, told(0), 0.9) == 1.0
+    assert embed.audit(vectors, told(100), 0.9) < 0.6
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "a"), (1, 1, "bot", "b"), (2, 0, "user", "a"), (3, 0, "user", "a"), (3, 1, "bot", "b"), (4, 0, None, None), (4, 0, None, None), (5, 0, "user", "a"), (5, 1, "bot", "c")]
     out = _by_id(chat.render(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")), "conv_id")

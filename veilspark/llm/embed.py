@@ -12,7 +12,7 @@ A list that is full of links is saturated. It is enlarged without listing pairs:
 one pivot each through the same graph at a lower threshold, components whose pivots are near are put together, and
 then all members of what belongs together are compared in blocks of BLOCK in double precision. Blocks emit counts and
 linked components, never pairs. An audit compares a bounded number of vectors with all rows; when fewer than LEAST_RECALL
-of their links were found, the graph is refined from twice as many further hash tables and audited again. If the graph of
+of their links were found, or of the vectors of any size of group all of whose links were found, the graph is refined from twice as many further hash tables and audited again. If the graph of
 MOST times the tables still falls short, all vectors are compared with each other in blocks, which leaves nothing out.
 """
 
@@ -264,23 +264,44 @@ def _compare(sample: list[tuple[int, bytes]], least: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                link = x @ _matrix(batch.column(1).to_pylist()).T >= least
-                link &= ids[:, None] != batch.column(0).to_numpy()[None, :]
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(link @ batch.column(2).to_numpy())], ["vec_id", "n"])
+            n = np.zeros(len(ids), np.int64)
+            for at in range(0, batch.num_rows, BLOCK):
+                some = batch.slice(at, BLOCK)
+                link = x @ _matrix(some.column(1).to_pylist()).T >= least
+                link &= ids[:, None] != some.column(0).to_numpy()[None, :]
+                n += link @ some.column(2).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(ids[n > 0]), pa.array(n[n > 0])], ["vec_id", "n"])
 
     return run
 
 
 def audit(vectors: DataFrame, found: DataFrame, cosine: float, size: int = AUDITED) -> float:
-    """Share of the links of ``size`` hash-chosen classes, taken from those with links and from all, that were found."""
-    draw = F.xxhash64(F.lit("audit"), F.col("vec_id"))
-    some = vectors.orderBy(draw).limit(size).unionByName(vectors.join(found.select("vec_id"), "vec_id", "left_semi").orderBy(draw).limit(size)).collect()
+    """The least of some shares that were found, measured on hash-chosen classes: of links, and of the vectors all of whose links were found.
+
+    ``size`` classes are drawn from each size class of found links (none, 1, 2 to 3, 4 to 7, ...) and eight times as many
+    from those with none, where lost ones hide. Each stands for its part of what it was drawn from. The share of vectors
+    is taken over all that have links and over each size class of true links.
+    """
+    own = vectors.join(found.select("vec_id", "n_links"), "vec_id", "left").select("vec_id", "x", F.coalesce("n_links", F.lit(0)).alias("got"))
+    drawn = cut(own.withColumn("level", F.length(F.bin("got")) - (F.col("got") == 0).cast("int")), "levels")
+    some = []
+    for r in drawn.groupBy("level").agg(F.count("*").alias("n")).collect():
+        taken = drawn.filter(F.col("level") == r["level"]).orderBy(F.xxhash64(F.lit("audit"), F.col("vec_id"))).limit(size if r["level"] else 8 * size).collect()
+        some += [(t["vec_id"], bytes(t["x"]), t["got"], r["n"] / len(taken)) for t in taken]
     if not some:
         return 1.0
-    true = vectors.mapInArrow(_compare([(r["vec_id"], bytes(r["x"])) for r in some], cosine), "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("n"))
-    got = true.join(found.select("vec_id", "n_links"), "vec_id", "left").agg(F.sum("n"), F.sum(F.least("n", F.coalesce("n_links", F.lit(0))))).head()
-    return float(got[1] or 0) / got[0] if got[0] else 1.0
+    true = {r["vec_id"]: r["n"] for r in vectors.mapInArrow(_compare([s[:2] for s in some], cosine), "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("n")).collect()}
+    whole: dict[int, list[float]] = {}
+    links = [0.0, 0.0]
+    for i, _, got, stands in some:
+        if n := true.get(i, 0):
+            for level in (0, n.bit_length()):
+                sums = whole.setdefault(level, [0.0, 0.0])
+                sums[0] += stands * (got >= n)
+                sums[1] += stands
+            links[0] += stands * min(got, n)
+            links[1] += stands * n
+    return min((a / b for a, b in [*whole.values(), links] if b), default=1.0)
 
 
 def near_duplicates(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = 0.9, k: int = K, rounds: int = ROUNDS) -> DataFrame:
