@@ -161,6 +161,21 @@ def test_embeddings_audit_counts_vectors_not_links(spark):
     assert embed.audit(vectors, told(100), 0.9) < 0.6
 
 
+def test_embeddings_full_lists_meet_along_a_chain(spark):
+    rng = np.random.default_rng(10)
+    axes = np.eye(32)
+    turned = lambda step: math.cos(step * 0.42) * axes[0] + math.sin(step * 0.42) * axes[1]
+    blob = lambda v: [_at(rng, v, 0.9985) for _ in range(25)]
+    side = 0.92 * turned(6) + math.sqrt(1 - 0.92**2) * axes[2]
+    x = np.array([*blob(turned(0)), *[turned(i) for i in range(1, 6)], *blob(turned(6)), *blob(side), *rng.standard_normal((40, 32))])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = unit @ unit.T >= 0.9
+    assert link[30:55, 55:80].mean() > 0.5
+    out = _by_id(embed.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")), "vec_id")
+    assert [out[i].n_links for i in range(len(x))] == (link.sum(axis=1) - 1).tolist()
+    assert all(out[i].component_id == 0 for i in range(80))
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "a"), (1, 1, "bot", "b"), (2, 0, "user", "a"), (3, 0, "user", "a"), (3, 1, "bot", "b"), (4, 0, None, None), (4, 0, None, None), (5, 0, "user", "a"), (5, 1, "bot", "c")]
     out = _by_id(chat.render(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")), "conv_id")

@@ -8,9 +8,9 @@ its neighbours and those that hold it as one, in bounded groups. Pairs at the th
 Equal vectors become one class before anything is compared: a class is its smallest id and a weight, so copies cost one
 row and can't fill the lists of their neighbours. Links are counted by weight.
 
-A list that is full of links is saturated. It is enlarged without listing pairs: components with saturated members send
-one pivot each through the same graph at a lower threshold, components whose pivots are near are put together, and
-then all members of what belongs together are compared in blocks of BLOCK in double precision. Blocks emit counts and
+A list that is full of links is saturated. It is enlarged without listing pairs: all saturated members are hashed by sign
+again, and where groups hold several components, members of different ones are compared in blocks (a link with a vector
+that isn't saturated stands in that one's list). Components with a link between them are put together, and then all members of what belongs together are compared in blocks of BLOCK in double precision. Blocks emit counts and
 linked components, never pairs. An audit compares a bounded number of vectors with all rows; when fewer than LEAST_RECALL
 of their links were found, or of the vectors of any size of group all of whose links were found, the graph is refined from twice as many further hash tables and audited again. If the graph of
 MOST times the tables still falls short, all vectors are compared with each other in blocks, which leaves nothing out.
@@ -29,8 +29,6 @@ from pyspark.sql import functions as F
 from veilspark.llm.common import components, cut
 
 K, GROUP, BLOCK, AUDITED, LEAST_RECALL, ROUNDS, MOST = 8, 256, 1024, 64, 0.99, 2, 8
-#: What a pivot may be apart: the sum of half of two components' widths at the threshold stays within this.
-PIVOT_COSINE = 0.7
 
 
 def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,10 +168,15 @@ def _rest(codes: DataFrame, vectors: DataFrame, graph: DataFrame, cosine: float,
     return members.select("members").mapInArrow(_best_of(k, cosine - 0.4), _LIST)
 
 
+def _tables(n: int, cosine: float, more: int) -> tuple[int, int]:
+    """Bits of a sign hash, and how many tables of them ``5 * more`` meetings of a pair at ``cosine`` take."""
+    bits = min(24, max(3, round(math.log2(max(n, 2) / 48))))
+    return bits, more * math.ceil(5 / (1 - math.acos(cosine) / math.pi) ** bits)
+
+
 def neighbour_graph(vectors: DataFrame, n: int, cosine: float, k: int = K, rounds: int = ROUNDS, more: int = 1, before: DataFrame | None = None) -> DataFrame:
     """``(vec_id, near, sims)``: about the ``k`` nearest of each of ``n`` unit vectors ``(vec_id, x)``. ``before``: a graph to start from besides."""
-    bits = min(24, max(3, round(math.log2(max(n, 2) / 48))))
-    tables = more * math.ceil(5 / (1 - math.acos(cosine) / math.pi) ** bits)
+    bits, tables = _tables(n, cosine, more)
     codes = cut(vectors.mapInArrow(_codes(bits, tables, more), "vec_id long, bucket long"), "codes").withColumnRenamed("bucket", "place")
     first = _met(codes, vectors, k, cosine - 0.4, GROUP)
     graph = _merged(first if before is None else first.unionByName(before), k, "graph")
@@ -221,18 +224,45 @@ def _components(graph: DataFrame, cosine: float) -> DataFrame:
     return cut(components(edges, "vec-comp"), "comp")
 
 
-def _settled(vectors: DataFrame, graph: DataFrame, cosine: float, k: int) -> DataFrame:
+def _meet(least: float):
+    """(members of one or two blocks) to the pairs of different components that a link joins."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            met: set[tuple[int, int]] = set()
+            for row in batch.to_pylist():
+                left, right = ([m for m in row["members"] if m["block"] == row[side]] for side in ("i", "j"))
+                if not left or not right:
+                    continue
+                a, b = (np.array([m["comp"] for m in side], np.int64) for side in (left, right))
+                link = _matrix([m["x"] for m in left]) @ _matrix([m["x"] for m in right]).T >= least
+                at = np.nonzero(link & (a[:, None] != b[None, :]))
+                met |= set(map(tuple, np.unique(np.sort(np.stack([a[at[0]], b[at[1]]], axis=1), axis=1), axis=0).tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array([p[side] for p in met], pa.int64()) for side in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def _across(full: DataFrame, vectors: DataFrame, n: int, cosine: float, more: int) -> DataFrame:
+    """Pairs of components ``(a, b)`` of which two of the ``n`` members ``full(node, comp)`` share a sign hash and a link."""
+    own = cut(vectors.join(full.select(F.col("node").alias("vec_id"), "comp"), "vec_id").select("vec_id", "x", "comp"), "full-vectors")
+    bits, tables = _tables(n, cosine, more)
+    codes = cut(own.select("vec_id", "x").mapInArrow(_codes(bits, tables, MOST + more), "vec_id long, bucket long").withColumnRenamed("bucket", "place"), "full-codes")
+    named = codes.join(own.select("vec_id", "comp"), "vec_id")
+    mixed = named.groupBy("place").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("place", "blocks")
+    placed = codes.join(mixed, "place").withColumn("block", F.pmod(F.xxhash64("vec_id", "place"), F.col("blocks")).cast("int")).join(own, "vec_id")
+    sent = placed.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("place", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), F.struct("comp", "block", "x").alias("m"))
+    members = sent.groupBy("place", "i", "j").agg(F.collect_list("m").alias("members")).select("i", "j", "members")
+    return members.mapInArrow(_meet(cosine), "a long, b long").distinct()
+
+
+def _settled(vectors: DataFrame, graph: DataFrame, cosine: float, k: int, more: int = 1) -> DataFrame:
     """``(vec_id, n_links, component_id)`` of the classes ``vectors(vec_id, x, w)`` that have links to others; ``n_links`` sums their weights."""
     comp = _components(graph, cosine)
-    full = _full(graph, cosine, k).withColumnRenamed("vec_id", "node")
-    pivots = cut(comp.join(full, "node", "left_semi").groupBy("comp").agg(F.min("node").alias("vec_id")), "pivots")
-    n = pivots.count()
-    if n > 1:
-        own = cut(vectors.join(pivots.select("vec_id"), "vec_id", "left_semi"), "pivot-vectors")
-        wide = neighbour_graph(own, n, PIVOT_COSINE, k=4 * k, rounds=1)
-        near = wide.select("vec_id", F.explode(F.arrays_zip("near", "sims")).alias("e")).filter(F.col("e.sims") >= PIVOT_COSINE).select("vec_id", F.col("e.near").alias("other"))
-        named = pivots.select(F.col("vec_id").alias("other"), F.col("comp").alias("b"))
-        over = components(near.join(pivots, "vec_id").join(named, "other").select(F.col("comp").alias("a"), "b"), "super")
+    full = cut(_full(graph, cosine, k).withColumnRenamed("vec_id", "node").join(comp, "node"), "full")
+    n, several = full.count(), full.select("comp").distinct().count() > 1
+    if several:
+        over = components(_across(full, vectors, n, cosine, more), "super")
         comp = cut(comp.join(over.select(F.col("node").alias("comp"), F.col("comp").alias("super")), "comp", "left").select("node", "comp", F.coalesce("super", "comp").alias("super")), "supers")
     else:
         comp = comp.withColumn("super", F.col("comp"))
@@ -325,7 +355,7 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vec_col: str = "em
             break
         more *= 2
         graph = neighbour_graph(vectors, n, cosine, k, rounds, more, graph)
-        found = _settled(vectors, graph, cosine, k)
+        found = _settled(vectors, graph, cosine, k, more)
     by_class = classes.join(found.withColumnRenamed("vec_id", "rep"), "rep", "left")
     by_class = by_class.select("key", (F.coalesce("n_links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
     of_unit = keyed.join(by_class, "key").drop("key")
