@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import math
 import re
@@ -106,6 +107,27 @@ def test_embeddings(spark):
     assert out[1].component_id == 0 and out[139].component_id == 100 and all(out[i].kept and out[i].n_links == 0 for i in range(300, 304))
 
 
+def test_secrets_are_confirmed_by_what_they_decode_to():
+    kinds = lambda text: [secrets.KINDS[k] for _, k, _ in secrets.spans_of(text) if k >= len(secrets.BASE)]
+    number = lambda n: b"\x02\x40\x5f" + bytes((i * n * 37 + 11) % 256 for i in range(63))
+    body = b"".join(number(n) for n in range(1, 7))
+    der = b"\x30\x82" + len(body).to_bytes(2, "big") + body
+    ssh = b"".join(len(f).to_bytes(4, "big") + f for f in (b"ssh-ed25519", bytes(range(200, 232))))
+    wrapped = base64.encodebytes(der).decode()
+    armour = lambda inner: f"-----BEGIN RSA PRIVATE KEY-----\n{inner}-----END RSA PRIVATE KEY-----"
+    url_safe = base64.urlsafe_b64encode(der).decode().rstrip("=")
+    assert "-" in url_safe or "_" in url_safe
+    assert kinds("-----BEGIN PRIVATE KEY----- your key goes here -----END PRIVATE KEY-----") == []
+    assert kinds(armour(wrapped)) == ["pem"]
+    assert kinds(armour("Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n" + base64.encodebytes(bytes(range(64))).decode())) == ["pem"]
+    assert kinds("x " + base64.b64encode(armour(wrapped).encode()).decode() + " y") == ["pem_coded"]
+    assert kinds("x " + ssh.hex() + " y") == ["ssh_key_hex"] and kinds("x " + armour(wrapped).encode().hex()) == ["pem_hex"]
+    assert kinds("x " + url_safe + " y") == ["der"] and kinds("x\n" + wrapped + "\ny") == ["der"]
+    assert kinds("x\n" + wrapped + "The end of it") == ["der"] and kinds("a" * 40 + "\n" + wrapped) == ["der"]
+    assert kinds(base64.b64encode(der).decode().rstrip("=") + "_of_mine") == ["der"]
+    assert kinds("x\n" + url_safe + "\n" + base64.b64encode(ssh).decode() + "\ny") == ["der", "ssh_key"]
+
+
 def _vectors(spark, x):
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     return unit, spark.createDataFrame([(i, bytearray(v.tobytes()), 1) for i, v in enumerate(unit)], "vec_id long, x binary, w long")

@@ -2,7 +2,9 @@
 
 Base rules give spans that always stay. Other encoded runs (base64 or hex) are reported only when what they decode to
 parses: DER with nested lengths that fill it exactly, length-prefixed key encodings, signed tokens whose header is a JSON
-object with an algorithm, and armoured private keys whose body decodes.
+object with an algorithm, and armoured private keys whose body, after its header lines, is DER or an OpenSSH key (a body
+that its header lines call encrypted holds whole cipher blocks instead). Long base64 (URL-safe or wrapped too) and hex
+runs go through all of these.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BASE = ("assign", "access", "hex")
-EXTRA = ("token", "pem", "ssh_key", "der", "der_hex")
+EXTRA = ("token", "pem", "ssh_key", "der", "der_hex", "pem_coded", "ssh_key_hex", "pem_hex")
 KINDS = BASE + EXTRA
 MIN_GROUP, MAX_DEPTH = 6, 12
 
@@ -27,9 +29,12 @@ _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{16,}")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/=_-])(?:M[A-Z]|AAAA)[A-Za-z0-9+/]{30,}={0,2}")
-_DER_HEX = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{46,}")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----\s*((?:[A-Za-z0-9-]{1,40}:[^\n]*\n(?:[\x20\t][^\n]*\n)*)*)([A-Za-z0-9+/=\s]+)-----END \1-----")
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{32,}(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]{16,})*(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]+(?==|(?![^\s])))?={0,2}")
+_PLAIN = re.compile(r"[A-Za-z0-9+/]{32,}={0,2}")
+_FIRST = ("M", "AAAA", "LS0t", "b3Bl")
+_LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{40,}")
+_OPENSSH = b"openssh-key-v1\0"
 _KEY_NAMES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-", b"sk-ssh-", b"sk-ecdsa-")
 
 
@@ -100,6 +105,50 @@ def is_token(s: str) -> bool:
     return isinstance(header, dict) and isinstance(header.get("alg"), str) and isinstance(claims, dict)
 
 
+def is_pem(m: re.Match[str]) -> bool:
+    """An armoured key whose body is one: DER or OpenSSH's own format, or whole cipher blocks where header lines call it encrypted."""
+    data = _unbase64(re.sub(r"\s+", "", m[3]))
+    if re.search(r"(?m)^Proc-Type:.*ENCRYPTED", m[2]) and "DEK-Info:" in m[2]:
+        return data is not None and len(data) >= 16 and len(data) % 8 == 0
+    return is_der(data) or (data is not None and data.startswith(_OPENSSH))
+
+
+def kind_of(data: bytes | None) -> str | None:
+    """What decoded bytes are: a key encoding, DER or a whole armoured key."""
+    if data is None:
+        return None
+    if is_ssh_key(data) or (data.startswith(_OPENSSH) and len(data) >= 64):
+        return "ssh_key"
+    if is_der(data):
+        return "der"
+    if b"-----BEGIN" in data and any(is_pem(m) for m in _PEM.finditer(data.decode("latin-1"))):
+        return "pem"
+    return None
+
+
+_OF_BASE64 = {"ssh_key": "ssh_key", "der": "der", "pem": "pem_coded"}
+_OF_HEX = {"ssh_key": "ssh_key_hex", "der": "der_hex", "pem": "pem_hex"}
+
+
+def _coded(run: str) -> list[tuple[int, str, int]]:
+    """(start, kind, end) of what a run of base64 lines holds: values of several lines, or else of one or a part of one."""
+    lines, found, at = list(re.finditer(r"[A-Za-z0-9+/_=-]+", run)), [], 0
+    while at < len(lines):
+        tries = [len(lines), len(lines) - 1] if at == 0 or lines[at][0].startswith(_FIRST) else []
+        for stop in [n for n in tries if n > at + 1]:  # the last line may be a word of what follows
+            if kind := kind_of(_unbase64("".join(x[0] for x in lines[at:stop]))):
+                found.append((lines[at].start(), kind, lines[stop - 1].end()))
+                at = stop
+                break
+        else:
+            for m in (lines[at], *_PLAIN.finditer(run, lines[at].start(), lines[at].end())):
+                if kind := kind_of(_unbase64(m[0])):
+                    found.append((m.start(), kind, m.end()))
+                    break
+            at += 1
+    return found
+
+
 def spans_of(text: str) -> list[tuple[int, int, int]]:
     """(start, index in KINDS, end), sorted; added kinds never overlap an earlier added one."""
     found = [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if len(m[1]) >= MIN_GROUP]
@@ -110,16 +159,12 @@ def spans_of(text: str) -> list[tuple[int, int, int]]:
     if "eyJ" in text:
         more += [(m.start(), 3, m.end()) for m in _TOKEN.finditer(text) if is_token(m[0])]
     if "-----BEGIN" in text:
-        more += [(m.start(), 4, m.end()) for m in _PEM.finditer(text) if _unbase64(re.sub(r"\s+", "", m[2]))]
+        more += [(m.start(), 4, m.end()) for m in _PEM.finditer(text) if is_pem(m)]
     for m in _BASE64.finditer(text):
-        data = _unbase64(m[0])
-        if is_ssh_key(data):
-            more.append((m.start(), 5, m.end()))
-        elif is_der(data):
-            more.append((m.start(), 6, m.end()))
-    for m in _DER_HEX.finditer(text):
-        if len(m[0]) % 2 == 0 and is_der(bytes.fromhex(m[0])):
-            more.append((m.start(), 7, m.end()))
+        more += [(m.start() + start, KINDS.index(_OF_BASE64[kind]), m.start() + end) for start, kind, end in _coded(m[0])]
+    for m in _LONG_HEX.finditer(text):
+        if len(m[0]) % 2 == 0 and (kind := kind_of(bytes.fromhex(m[0]))):
+            more.append((m.start(), KINDS.index(_OF_HEX[kind]), m.end()))
     last = -1
     for start, kind, end in sorted(more):
         if start >= last:
