@@ -247,6 +247,18 @@ def test_quality(spark, none):
     assert quality.classify(none).count() == 0
 
 
+def test_stages_decide_by_row(spark):
+    near = " ".join(BASE)
+    rows = [(1, "a b c"), (1, "a b c"), (None, "d e f"), (None, "d e f"), (2, "a b c"), (2, "only here"), (None, near), (9, near + " end"), (9, near + " end too")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    told = lambda df: sorted(map(tuple, df.collect()), key=str)
+    exact = [(1, "a b c"), (None, "d e f"), (2, "only here"), (None, near), (9, near + " end"), (9, near + " end too")]
+    assert told(exact_dedup.keep_first(docs)) == sorted(exact, key=str)
+    kept = minhash.keep_one(docs).collect()
+    assert [sum(r.text == t for r in kept) for t in ("a b c", "d e f", "only here")] == [1, 1, 1]
+    assert [r.doc_id for r in kept if r.text.startswith(near)] == [9] and {r.doc_id for r in kept if r.text == "a b c"} == {1}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

@@ -65,6 +65,12 @@ def drop_ids(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> Dat
     return sure.unionByName(rest.join(gone, rest[id_col] == gone["gone_id"], "left_anti"))
 
 
+def keyed_rows(docs: DataFrame, id_col: str, key: str, ordered: bool = False) -> DataFrame:
+    """``docs`` with a long ``key`` of each row, written so that it stays the same; ``ordered``: it rises with the id, null ids last."""
+    rows = docs.orderBy(F.col(f"`{id_col}`").asc_nulls_last()) if ordered else docs
+    return cut(rows.withColumn(key, F.monotonically_increasing_id()), "rows")
+
+
 def components(edges: DataFrame, tag: str, max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``edges(a, b)``: returns ``(node, comp)``, comp the smallest node of each component.
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import bitmap_of, cut, drop_ids, with_hit
+from veilspark.llm.common import bitmap_of, cut, drop_ids, keyed_rows, with_hit
 
 PREFIX_CHARS = 64
 
@@ -49,6 +49,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    out = exact_dedup(docs, id_col, text_col).filter("not kept").select(F.col("doc_id").alias(id_col))
-    return drop_ids(docs, out, id_col)
+    """The rows of ``docs`` that stay, with all their columns: one row of each group of equal texts, also where rows share an id or have none."""
+    rows = keyed_rows(docs, id_col, "veil_row")
+    ranked = rows.withColumn("veil_id", F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("veil_row").alias("row")))
+    out = exact_dedup(ranked, "veil_id", text_col).filter("not kept").select(F.col("doc_id.row").alias("veil_row"))
+    return drop_ids(rows, out, "veil_row").drop("veil_row")

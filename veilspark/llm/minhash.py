@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from veilspark.llm import words
-from veilspark.llm.common import bitmap_of, components, cut, drop_ids, with_hit
+from veilspark.llm.common import bitmap_of, components, cut, drop_ids, keyed_rows, with_hit
 
 SHINGLE, BANDS, ROWS = 5, 40, 5
 #: A pair is verified when its sketches agree in at least this share of coordinates: six standard deviations
@@ -239,6 +239,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that represent their component, with all their columns."""
-    gone = near_duplicates(docs, id_col, text_col).filter("not kept").select(F.col("doc_id").alias(id_col))
-    return drop_ids(docs, gone, id_col)
+    """The rows of ``docs`` that represent their component, with all their columns; rows are told apart also where they share an id or have none."""
+    rows = keyed_rows(docs, id_col, "veil_row", ordered=True)
+    gone = near_duplicates(rows, "veil_row", text_col).filter("not kept").select(F.col("doc_id").alias("veil_row"))
+    return drop_ids(rows, gone, "veil_row").drop("veil_row")

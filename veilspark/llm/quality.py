@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm import words
-from veilspark.llm.common import cut, drop_ids
+from veilspark.llm.common import cut, drop_ids, keyed_rows
 
 #: Documents whose features train the scorer: about so many, chosen by a hash of their id.
 SAMPLE = 4096
@@ -218,19 +218,20 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     return fit_scorer(spots, values, starts, y), votes
 
 
-def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, reject: float = 0.5) -> DataFrame:
+def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, reject: float = 0.5, key_col: str | None = None) -> DataFrame:
     """Return ``(doc_id, junk, kept)``, one row per input row: ``junk`` is the scorer's probability, kept below ``reject``.
 
     Null and empty texts hold no features; the scorer's bias decides on them like on any other. Repeated rows get equal
-    results; an empty table gives an empty one. Other columns are not read.
+    results; an empty table gives an empty one. Other columns are not read. ``key_col`` is given out in place of the id.
     """
     weights, _ = fit(docs, id_col, text_col, sample)
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    kind = docs.schema[key_col or id_col].dataType.simpleString()
+    rows = docs.select(F.col(key_col or id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     return rows.mapInArrow(_score(weights), f"doc_id {kind}, junk double").withColumn("kept", F.col("junk") < reject)
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, with all their columns."""
-    out = cut(classify(docs, id_col, text_col), "quality").filter("not kept").select(F.col("doc_id").alias(id_col))
-    return drop_ids(docs, out, id_col)
+    rows = keyed_rows(docs, id_col, "veil_row")
+    out = cut(classify(rows, id_col, text_col, key_col="veil_row"), "quality").filter("not kept").select(F.col("doc_id").alias("veil_row"))
+    return drop_ids(rows, out, "veil_row").drop("veil_row")
