@@ -279,11 +279,11 @@ _EIN = "(?:0[1-6]|1[0-6]|2[0-7]|3[0-9]|4[0-8]|5[0-9]|6[0-8]|7[1-7]|8[0-8]|9[0-5]
 
 
 def _w(words: str) -> tuple[str, ...]:
-    return tuple(x.strip() for x in words.split(","))
+    return tuple(words.split(","))
 
 
 GENERIC = (
-    Rule("CreditCard", "CREDIT_CARD", ((r"\b(?!1\d{12}(?!\d))((4\d{3})|(5[0-5]\d{2})|(6\d{3})|(1\d{3})|(3\d{3}))[- ]?(\d{3,4})[- ]?(\d{3,4})[- ]?(\d{3,5})\b", 0.3),), _w("credit,card,visa,mastercard,amex,discover,jcb,diners,maestro,instapayment"), check=_card, enabled=True),
+    Rule("CreditCard", "CREDIT_CARD", ((r"\b(?!1\d{12}(?!\d))((4\d{3})|(5[0-5]\d{2})|(6\d{3})|(1\d{3})|(3\d{3}))[- ]?(\d{3,4})[- ]?(\d{3,4})[- ]?(\d{3,5})\b", 0.3),), _w("credit,card,visa,mastercard,cc ,amex,discover,jcb,diners,maestro,instapayment"), check=_card, enabled=True),
     Rule("Date", "DATE_TIME", (
         (rf"\b(?:({_ISO}:[0-5]\d\.\d+{_ZONE})|({_ISO}:[0-5]\d{_ZONE})|({_ISO}{_ZONE}))\b", 0.8),
         (rf"\b({_M}/{_D}/(\d{{4}}|\d{{2}}))\b", 0.6), (rf"\b({_D}/{_M}/(\d{{4}}|\d{{2}}))\b", 0.6), (rf"\b(\d{{4}}/{_M}/{_D})\b", 0.6), (rf"\b({_M}-{_D}-\d{{4}})\b", 0.6), (rf"\b({_D}-{_M}-\d{{4}})\b", 0.6), (rf"\b(\d{{4}}-{_M}-{_D})\b", 0.6),
@@ -332,63 +332,63 @@ WORLD = (
     _rule("uk", "en", "Nhs", "UK_NHS", [(r"\b([0-9]{3})[- ]?([0-9]{3})[- ]?([0-9]{4})\b", 0.5)], "national health service,nhs,health services authority,health authority", _nhs, enabled=True),
     _rule("uk", "en", "UkNino", "UK_NINO", [(r"\b(?!bg|gb|nk|kn|nt|tn|zz|BG|GB|NK|KN|NT|TN|ZZ)([a-ceghj-pr-tw-zA-CEGHJ-PR-TW-Z]{1}[a-ceghj-npr-tw-zA-CEGHJ-NPR-TW-Z]{1}) ?([0-9]{2}) ?([0-9]{2}) ?([0-9]{2}) ?([a-dA-D]{1})\b", 0.5)], "national insurance,ni number,nino"),
     _rule("uk", "en", "UkPostcode", "UK_POSTCODE", [(r"\b(GIR\s?0AA|[A-PR-UWYZ][0-9][ABCDEFGHJKPSTUW]?\s?[0-9][ABD-HJLNP-UW-Z]{2}|[A-PR-UWYZ][0-9]{2}\s?[0-9][ABD-HJLNP-UW-Z]{2}|[A-PR-UWYZ][A-HK-Y][0-9][ABEHMNPRVWXY]?\s?[0-9][ABD-HJLNP-UW-Z]{2}|[A-PR-UWYZ][A-HK-Y][0-9]{2}\s?[0-9][ABD-HJLNP-UW-Z]{2})\b", 0.1)], "postcode,post code,postal code,zip,address,delivery,mailing,shipping,correspondence"),
-    _rule("uk", "en", "UkPassport", "UK_PASSPORT", [(r"\b[A-Z]{2}\d{7}\b", 0.1)], "passport,passport number,travel document,uk passport,british passport"),
-    _rule("uk", "en", "UkDrivingLicence", "UK_DRIVING_LICENCE", [(r"\b[A-Z9]{5}[0-9](?:0[1-9]|1[0-2]|5[1-9]|6[0-2])(?:0[1-9]|[12][0-9]|3[01])[0-9][A-Z9]{2}[A-Z0-9][A-Z]{2}\b", 0.5)], "driving licence,driving license,dvla,dl number,licence number", lambda t: F.when(~F.upper(F.substring(t, 1, 5)).rlike("^[A-Z]+9*$"), False)),
-    _rule("uk", "en", "UkVehicleRegistration", "UK_VEHICLE_REGISTRATION", [(r"\b[A-HJ-PR-Y][A-HJ-PR-Y](?:0[1-9]|[1-7][0-9])[- ]?[A-HJ-PR-Z]{3}\b", 0.3), (r"\b[A-HJ-NPR-TV-Y]\d{1,3}[- ]?[A-HJ-PR-Y][A-HJ-PR-Z]{2}\b", 0.2), (r"\b[A-HJ-PR-Z]{3}[- ]?\d{1,3}[- ]?[A-HJ-NPR-TV-Y]\b", 0.15)], "vehicle,registration,number plate,licence plate,reg,vrn,dvla,v5c", lambda t: F.when(F.translate(t, "- ", "").rlike("(?i)^[A-Z]{2}[0-9]{2}[A-Z]{3}$"), F.substring(t, 3, 2).try_cast("int").between(2, 29) | F.substring(t, 3, 2).try_cast("int").between(51, 79))),
+    _rule("uk", "en", "UkPassport", "UK_PASSPORT", [(r"\b[A-Z]{2}\d{7}\b", 0.1)], "passport,passport number,travel document,uk passport,british passport,her majesty,his majesty,hm passport,hmpo"),
+    _rule("uk", "en", "UkDrivingLicence", "UK_DRIVING_LICENCE", [(r"\b[A-Z9]{5}[0-9](?:0[1-9]|1[0-2]|5[1-9]|6[0-2])(?:0[1-9]|[12][0-9]|3[01])[0-9][A-Z9]{2}[A-Z0-9][A-Z]{2}\b", 0.5)], "driving licence,driving license,driver's licence,driver's license,dvla,dl number,licence number,license number", lambda t: F.when(~F.upper(F.substring(t, 1, 5)).rlike("^[A-Z]+9*$"), False)),
+    _rule("uk", "en", "UkVehicleRegistration", "UK_VEHICLE_REGISTRATION", [(r"\b[A-HJ-PR-Y][A-HJ-PR-Y](?:0[1-9]|[1-7][0-9])[- ]?[A-HJ-PR-Z]{3}\b", 0.3), (r"\b[A-HJ-NPR-TV-Y]\d{1,3}[- ]?[A-HJ-PR-Y][A-HJ-PR-Z]{2}\b", 0.2), (r"\b[A-HJ-PR-Z]{3}[- ]?\d{1,3}[- ]?[A-HJ-NPR-TV-Y]\b", 0.15)], "vehicle,registration,number plate,licence plate,license plate,reg,vrn,dvla,v5c,logbook,mot,car,insured vehicle", lambda t: F.when(F.translate(t, "- ", "").rlike("(?i)^[A-Z]{2}[0-9]{2}[A-Z]{3}$"), F.substring(t, 3, 2).try_cast("int").between(2, 29) | F.substring(t, 3, 2).try_cast("int").between(51, 79))),
     _rule("au", "en", "AuAbn", "AU_ABN", [(r"\b\d{2}\s\d{3}\s\d{3}\s\d{3}\b", 0.1), (r"\b\d{11}\b", 0.01)], "australian business number,abn", _abn),
     _rule("au", "en", "AuAcn", "AU_ACN", [(r"\b\d{3}\s\d{3}\s\d{3}\b", 0.1), (r"\b\d{9}\b", 0.01)], "australian company number,acn", _check_digit([8, 7, 6, 5, 4, 3, 2, 1], 8)),
     _rule("au", "en", "AuMedicare", "AU_MEDICARE", [(r"\b[2-6]\d{3}\s\d{5}\s\d\b", 0.1), (r"\b[2-6]\d{9}\b", 0.01)], "medicare", lambda t: C.weighted(C.only(t), [1, 3, 7, 9, 1, 3, 7, 9]) % 10 == C.digit(C.only(t), 8)),
     _rule("au", "en", "AuTfn", "AU_TFN", [(r"\b\d{3}\s\d{3}\s\d{3}\b", 0.1), (r"\b\d{9}\b", 0.01)], "tax file number,tfn", _digits_ok([1, 4, 3, 7, 5, 8, 6, 9, 10], 11)),
-    _rule("ca", "en", "CaPostalCode", "CA_POSTAL_CODE", [(r"\b[ABCEGHJ-NPRSTVXY]\d[ABCEGHJ-NPRSTV-Z] \d[ABCEGHJ-NPRSTV-Z]\d\b", 0.3), (r"\b[ABCEGHJ-NPRSTVXY]\d[ABCEGHJ-NPRSTV-Z]\d[ABCEGHJ-NPRSTV-Z]\d\b", 0.1)], "postal code,postcode,zip,canada,ontario,quebec"),
-    _rule("ca", "en", "CaSin", "CA_SIN", [(r"\b[1-79]\d{8}\b", 0.05), (r"\b[1-79]\d{2}([- ])\d{3}\1\d{3}\b", 0.5)], "sin,sin number,social insurance,canada,nas", reject=lambda t: ~C.luhn(C.only(t))),
+    _rule("ca", "en", "CaPostalCode", "CA_POSTAL_CODE", [(r"\b[ABCEGHJ-NPRSTVXY]\d[ABCEGHJ-NPRSTV-Z] \d[ABCEGHJ-NPRSTV-Z]\d\b", 0.3), (r"\b[ABCEGHJ-NPRSTVXY]\d[ABCEGHJ-NPRSTV-Z]\d[ABCEGHJ-NPRSTV-Z]\d\b", 0.1)], "postal code,postcode,zip,canada,ontario,quebec,alberta,british columbia,code postal"),
+    _rule("ca", "en", "CaSin", "CA_SIN", [(r"\b[1-79]\d{8}\b", 0.05), (r"\b[1-79]\d{2}([- ])\d{3}\1\d{3}\b", 0.5)], "sin,sin number,social insurance,social insurance number,canada,nas,numéro nas,numéro d'assurance sociale,assurance sociale", reject=lambda t: ~C.luhn(C.only(t))),
     _rule("in", "en", "InAadhaar", "IN_AADHAAR", [(r"\b[0-9]{12}\b", 0.01), (r"\b[0-9]{4}[- :][0-9]{4}[- :][0-9]{4}\b", 0.01)], "aadhaar,uidai", _aadhaar),
-    _rule("in", "en", "InGstin", "IN_GSTIN", [(r"\b((?:0[1-9]|[1-3][0-7])[A-Za-z0-9]{10}[A-Za-z0-9]{1}Z[A-Za-z0-9]{1})\b", 0.8), (r"\b((?:0[1-9]|[1-3][0-7])[A-Za-z0-9]{11}Z[A-Za-z0-9]{1})\b", 0.4), (r"\b([0-9]{2}[A-Za-z0-9]{11}Z[A-Za-z0-9]{1})\b", 0.1)], "gstin,gst,goods and services tax", _gstin),
+    _rule("in", "en", "InGstin", "IN_GSTIN", [(r"\b((?:0[1-9]|[1-3][0-7])[A-Za-z0-9]{10}[A-Za-z0-9]{1}Z[A-Za-z0-9]{1})\b", 0.8), (r"\b((?:0[1-9]|[1-3][0-7])[A-Za-z0-9]{11}Z[A-Za-z0-9]{1})\b", 0.4), (r"\b([0-9]{2}[A-Za-z0-9]{11}Z[A-Za-z0-9]{1})\b", 0.1)], "gstin,gst,goods and services tax,tax identification,gst number,gst registration", _gstin),
     _rule("in", "en", "InPan", "IN_PAN", [(r"\b([A-Za-z]{3}[AaBbCcFfGgHhJjLlPpTt]{1}[A-Za-z]{1}[0-9]{4}[A-Za-z]{1})\b", 0.5), (r"\b([A-Za-z]{5}[0-9]{4}[A-Za-z]{1})\b", 0.1), (r"\b((?=.*?[a-zA-Z])(?=.*?[0-9]{4})[\w@#$%^?~-]{10})\b", 0.01)], "permanent account number,pan"),
     _rule("in", "en", "InPassport", "IN_PASSPORT", [(r"\b[A-Z][1-9]\d\s?\d{4}[1-9]\b", 0.1)], "passport,indian passport,passport number"),
     _rule("in", "en", "InVoter", "IN_VOTER", [(r"\b([A-Za-z]{1}[ABCDGHJKMNPRSYabcdghjkmnprsy]{1}[A-Za-z]{1}([0-9]){7})\b", 0.4), (r"\b([A-Za-z]){3}([0-9]){7}\b", 0.3)], "voter,epic,elector photo identity card"),
-    _rule("ng", "en", "NgNin", "NG_NIN", [(r"\b\d{11}\b", 0.01)], "nin,national identification number,nimc,national identity", C.verhoeff),
-    _rule("ng", "en", "NgVehicleRegistration", "NG_VEHICLE_REGISTRATION", [(r"\b[A-Z]{3}[- ]?\d{3}[A-Z]{2}\b", 0.5)], "plate number,vehicle registration,license plate,plate,vehicle"),
-    _rule("ph", "en", "PhPassport", "PH_PASSPORT", [(r"\b(?:[A-Z]\d{7}[A-Z]|[A-Z]{2}\d{7})\b", 0.1)], "passport,passport number,passport no,travel document"),
-    _rule("ph", "en", "PhTin", "PH_TIN", [(r"\b(\d{3}-\d{3}-\d{3}(-\d{3})?)\b", 0.05), (r"\b(\d{9}|\d{12})\b", 0.01)], "tin,taxpayer identification number,bir,taxpayer id,tax id", reject=_ph_tin_bad),
-    _rule("ph", "en", "PhUmid", "PH_UMID", [(r"\b\d{4}-\d{7}-\d\b", 0.5), (r"\b\d{12}\b", 0.3)], "umid,unified multi-purpose id,crn,common reference number,sss,gsis"),
+    _rule("ng", "en", "NgNin", "NG_NIN", [(r"\b\d{11}\b", 0.01)], "nin,national identification number,national identity number,nimc,national identity,nigeria id,nigerian identification", C.verhoeff),
+    _rule("ng", "en", "NgVehicleRegistration", "NG_VEHICLE_REGISTRATION", [(r"\b[A-Z]{3}[- ]?\d{3}[A-Z]{2}\b", 0.5)], "plate number,vehicle registration,license plate,number plate,plate,vehicle,registration"),
+    _rule("ph", "en", "PhPassport", "PH_PASSPORT", [(r"\b(?:[A-Z]\d{7}[A-Z]|[A-Z]{2}\d{7})\b", 0.1)], "passport,passport number,passport no,passport no.,passport#,passport id,travel document,philippine passport,philippines passport,pasaporte,pasaporte number,dfa"),
+    _rule("ph", "en", "PhTin", "PH_TIN", [(r"\b(\d{3}-\d{3}-\d{3}(-\d{3})?)\b", 0.05), (r"\b(\d{9}|\d{12})\b", 0.01)], "tin,taxpayer identification number,bir,taxpayer id,tax id,rdo,revenue district office", reject=_ph_tin_bad),
+    _rule("ph", "en", "PhUmid", "PH_UMID", [(r"\b\d{4}-\d{7}-\d\b", 0.5), (r"\b\d{12}\b", 0.3)], "umid,unified multi-purpose id,crn,common reference number,sss,gsis,philhealth,pag-ibig,umid number,umid card,unified multipurpose id"),
     _rule("sg", "en", "SgFin", "SG_NRIC_FIN", [(r"(\b[A-Z][0-9]{7}[A-Z]\b)", 0.3), (r"(\b[STFGM][0-9]{7}[A-Z]\b)", 0.5)], "fin,fin#,nric,nric#"),
-    _rule("za", "en", "ZaIdNumber", "ZA_ID_NUMBER", [(r"\b\d{10}[0-2][89]\d\b", 0.2)], "id,identity,identity number,id number,rsa id", _za_id),
-    _rule("za", "en", "ZaIncomeTaxNumber", "ZA_INCOME_TAX_NUMBER", [(r"\b[01239]\d{9}\b", 0.05)], "sars,tax reference,income tax,tax number", lambda t: t.rlike(r"^[01239]\d{9}$")),
-    _rule("za", "en", "ZaPassport", "ZA_PASSPORT", [(r"\b[ADMT]\d{8}\b", 0.2)], "passport,passport number,travel document,dha", lambda t: F.upper(t).rlike(r"^[ADMT]\d{8}$")),
-    _rule("za", "en", "ZaTrafficRegisterNumber", "ZA_TRAFFIC_REGISTER_NUMBER", [(r"\b\d{13}\b", 0.05)], "traffic register,traffic register number,trn,enatis", lambda t: ~_za_id(t)),
-    _rule("za", "en", "ZaVatNumber", "ZA_VAT_NUMBER", [(r"\b4\d{9}\b", 0.3)], "vat,vat number,vat registration,tax invoice", lambda t: t.rlike(r"^4\d{9}$")),
-    _rule("de", "de", "DeTaxId", "DE_TAX_ID", [(r"\b[1-9]\d{10}\b", 0.5)], "steueridentifikationsnummer,steuer-id,steuerid,idnr", _tax_id),
-    _rule("de", "de", "DeTaxNumber", "DE_TAX_NUMBER", [(r"\b(0[1-9]|1[0-6])\d{11}\b", 0.5), (r"(?<!\w)\d{3}/\d{3}/\d{5}(?!\w)", 0.4), (r"(?<!\w)\d{2,3}/\d{3,4}/\d{4,5}(?!\w)", 0.2)], "steuernummer,steuer-nr,finanzamt,umsatzsteuer"),
-    _rule("de", "de", "DeVatId", "DE_VAT_ID", [(r"\bDE\d{9}\b", 0.5), (r"\bDE[\s.\-]?\d{3}[\s.\-]?\d{3}[\s.\-]?\d{3}\b", 0.4)], "umsatzsteuer-identifikationsnummer,ust-idnr,ust-id,vat", _vat_de),
-    _rule("de", "de", "DePassport", "DE_PASSPORT", [(r"\b[CFGHJKLMNPRTVWXYZ][CFGHJKLMNPRTVWXYZ0-9]{7}[0-9]\b", 0.4)], "reisepass,pass,passnummer,reisepassnummer", lambda t: ~F.upper(t).rlike("[ABDEIOQSU]") & _mrz(t)),
-    _rule("de", "de", "DeIdCard", "DE_ID_CARD", [(r"\b[CFGHJKLMNPRTVWXYZ][CFGHJKLMNPRTVWXYZ0-9]{7}[0-9]\b", 0.4), (r"\bT\d{8}\b", 0.5)], "personalausweis,ausweis,personalausweisnummer", lambda t: F.when(~F.upper(t).rlike(r"^T\d{8}$"), _mrz(t))),
-    _rule("de", "de", "DeHealthInsurance", "DE_HEALTH_INSURANCE", [(r"\b[A-Z]\d{9}\b", 0.3)], "krankenversicherungsnummer,versichertennummer,kvnr,krankenkasse", _kvnr),
-    _rule("de", "de", "DeSocialSecurity", "DE_SOCIAL_SECURITY", [(r"\b\d{2}(0[1-9]|[12]\d|3[01]|5[1-9]|[67]\d|8[01])(0[1-9]|1[0-2])\d{2}[A-Z]\d{2}[0-9]\b", 0.5), (r"\b\d{8}[A-Z]\d{3}\b", 0.3)], "rentenversicherungsnummer,sozialversicherungsnummer,rvnr,svnr", _rvnr),
-    _rule("de", "de", "DeLanr", "DE_LANR", [(r"\b\d{9}\b", 0.3)], "arztnummer,lanr,vertragsarzt,kassenarzt", _lanr),
-    _rule("de", "de", "DeBsnr", "DE_BSNR", [(r"\b\d{9}\b", 0.2)], "bsnr,betriebsstätte,praxisnummer,arztpraxis", _pan_bsnr),
-    _rule("de", "de", "DeHandelsregister", "DE_HANDELSREGISTER", [(r"\bHR[AB]\s*\d{1,6}\b", 0.5)], "handelsregister,handelsregisternummer,amtsgericht"),
-    _rule("de", "de", "DeFuehrerschein", "DE_FUEHRERSCHEIN", [(r"\b[A-Z]{2}\d{8}[A-Z0-9]\b", 0.35)], "führerscheinnummer,führerschein,fahrerlaubnis"),
-    _rule("de", "de", "DePlz", "DE_PLZ", [(r"\b(?!01000\b|99999\b)(0[1-9]\d{3}|[1-9]\d{4})\b", 0.05)], "plz,postleitzahl,postanschrift,adresse,wohnort"),
-    _rule("de", "de", "DeKfz", "DE_KFZ", [(r"(?<![\w-])[A-ZÄÖÜ]{1,3}\s[A-Z]{1,2}\s\d{1,4}[EH]?(?!\w)", 0.3), (r"(?<![\w-])[A-ZÄÖÜ]{1,3}-[A-Z]{1,2}-\d{1,4}[EH]?(?!\w)", 0.3), (r"(?<![\w-])[A-ZÄÖÜ]{1,3}-[A-Z]{1,2}\s\d{1,4}[EH]?(?!\w)", 0.3), (r"(?<![\w-])[A-Z]{1,3}\s[A-Z]{1,2}\s\d{1,4}[EH]?(?!\w)", 0.2), (r"(?<![\w-])[A-Z]{1,3}-[A-Z]{1,2}\s\d{1,4}[EH]?(?!\w)", 0.2)], "kennzeichen,kfz-kennzeichen,nummernschild,kfz"),
+    _rule("za", "en", "ZaIdNumber", "ZA_ID_NUMBER", [(r"\b\d{10}[0-2][89]\d\b", 0.2)], "id,identity,identity number,id number,south african id,rsa id,smart id,national id", _za_id),
+    _rule("za", "en", "ZaIncomeTaxNumber", "ZA_INCOME_TAX_NUMBER", [(r"\b[01239]\d{9}\b", 0.05)], "sars,tax reference,income tax,tax number,itr,taxpayer,tax registration", lambda t: t.rlike(r"^[01239]\d{9}$")),
+    _rule("za", "en", "ZaPassport", "ZA_PASSPORT", [(r"\b[ADMT]\d{8}\b", 0.2)], "passport,passport number,travel document,dha,south african passport,rsa passport", lambda t: F.upper(t).rlike(r"^[ADMT]\d{8}$")),
+    _rule("za", "en", "ZaTrafficRegisterNumber", "ZA_TRAFFIC_REGISTER_NUMBER", [(r"\b\d{13}\b", 0.05)], "traffic register,traffic register number,trn,enatis,natis,vehicle register", lambda t: ~_za_id(t)),
+    _rule("za", "en", "ZaVatNumber", "ZA_VAT_NUMBER", [(r"\b4\d{9}\b", 0.3)], "vat,vat number,vat registration,tax invoice,sars,value added tax", lambda t: t.rlike(r"^4\d{9}$")),
+    _rule("de", "de", "DeTaxId", "DE_TAX_ID", [(r"\b[1-9]\d{10}\b", 0.5)], "steueridentifikationsnummer,steuer-id,steuerid,steuerliche identifikationsnummer,steuerliche identifikation,persönliche identifikationsnummer,steuer identifikation,idnr,steuer-idnr,steuernummer,bzst", _tax_id),
+    _rule("de", "de", "DeTaxNumber", "DE_TAX_NUMBER", [(r"\b(0[1-9]|1[0-6])\d{11}\b", 0.5), (r"(?<!\w)\d{3}/\d{3}/\d{5}(?!\w)", 0.4), (r"(?<!\w)\d{2,3}/\d{3,4}/\d{4,5}(?!\w)", 0.2)], "steuernummer,steuer-nr,steuer nr,st.-nr,st-nr,finanzamt,umsatzsteuer,einkommensteuer,körperschaftsteuer,gewerbesteuer,steuerveranlagung,steuerbescheid"),
+    _rule("de", "de", "DeVatId", "DE_VAT_ID", [(r"\bDE\d{9}\b", 0.5), (r"\bDE[\s.\-]?\d{3}[\s.\-]?\d{3}[\s.\-]?\d{3}\b", 0.4)], "umsatzsteuer-identifikationsnummer,umsatzsteueridentifikationsnummer,ust-idnr,ust-id,ustidnr,umsatzsteuer-id,mehrwertsteuer,vat,vat-id,vat id,steueridentifikation,bzst,bundeszentralamt für steuern,finanzamt,invoice,rechnung", _vat_de),
+    _rule("de", "de", "DePassport", "DE_PASSPORT", [(r"\b[CFGHJKLMNPRTVWXYZ][CFGHJKLMNPRTVWXYZ0-9]{7}[0-9]\b", 0.4)], "reisepass,pass,passnummer,reisepassnummer,passport,passport number,pass-nr,dokumentennummer,bundesrepublik deutschland,ausweisdokument,mrz", lambda t: ~F.upper(t).rlike("[ABDEIOQSU]") & _mrz(t)),
+    _rule("de", "de", "DeIdCard", "DE_ID_CARD", [(r"\b[CFGHJKLMNPRTVWXYZ][CFGHJKLMNPRTVWXYZ0-9]{7}[0-9]\b", 0.4), (r"\bT\d{8}\b", 0.5)], "personalausweis,ausweis,personalausweisnummer,ausweisnummer,ausweisdokument,dokumentennummer,seriennummer,npa,neuer personalausweis,personalausweisgesetz,pauwsg,bundespersonalausweis,identity card,national id", lambda t: F.when(~F.upper(t).rlike(r"^T\d{8}$"), _mrz(t))),
+    _rule("de", "de", "DeHealthInsurance", "DE_HEALTH_INSURANCE", [(r"\b[A-Z]\d{9}\b", 0.3)], "krankenversicherungsnummer,krankenversichertennummer,versichertennummer,kvnr,krankenkasse,krankenversicherung,gesundheitskarte,egk,elektronische gesundheitskarte,gkv,gesetzliche krankenversicherung,krankenversicherungsausweis,versichertenausweis,versichertenkarte,aok,tkk,barmer,dak", _kvnr),
+    _rule("de", "de", "DeSocialSecurity", "DE_SOCIAL_SECURITY", [(r"\b\d{2}(0[1-9]|[12]\d|3[01]|5[1-9]|[67]\d|8[01])(0[1-9]|1[0-2])\d{2}[A-Z]\d{2}[0-9]\b", 0.5), (r"\b\d{8}[A-Z]\d{3}\b", 0.3)], "rentenversicherungsnummer,sozialversicherungsnummer,versicherungsnummer,rvnr,svnr,sv-nummer,rente,rentenversicherung,deutsche rentenversicherung,drv,sozialversicherung,sozialversicherungsausweis,rentenausweis", _rvnr),
+    _rule("de", "de", "DeLanr", "DE_LANR", [(r"\b\d{9}\b", 0.3)], "arztnummer,lanr,lebenslange arztnummer,arzt-nr,arzt nr,arzt-nummer,vertragsarzt,kassenarzt,niedergelassener arzt,kbv,kassenärztliche vereinigung,kv-nummer,rezept,verschreibung,behandelnder arzt,hausarzt,facharzt", _lanr),
+    _rule("de", "de", "DeBsnr", "DE_BSNR", [(r"\b\d{9}\b", 0.2)], "betriebsstättennummer,betriebsstätten-nummer,bsnr,betriebsstätte,praxisnummer,arztpraxis,praxis,kassenärztliche vereinigung,kv-nummer,kv nummer,praxisadresse,praxisstandort,nebenbetriebsstätte,hauptbetriebsstätte,behandlungsort,vertragsarztpraxis", _pan_bsnr),
+    _rule("de", "de", "DeHandelsregister", "DE_HANDELSREGISTER", [(r"\bHR[AB]\s*\d{1,6}\b", 0.5)], "handelsregister,handelsregisternummer,amtsgericht,registergericht,hra,hrb,hr-nummer,registerauszug,handelsregistereintrag,firma,gesellschaft,gmbh,ag,ug,kg,ohg,einzelkaufmann,einzelkauffrau,handelsregisterblattnummer"),
+    _rule("de", "de", "DeFuehrerschein", "DE_FUEHRERSCHEIN", [(r"\b[A-Z]{2}\d{8}[A-Z0-9]\b", 0.35)], "führerscheinnummer,führerschein,fahrerlaubnis,fahrerlaubnisnummer,fahrerlaubnisklasse,führerscheininhaber,fev,kba,kraftfahrt-bundesamt,driving licence,driving license,driver's license,licence number,license number,dokument nr,dokument-nr,feld 5"),
+    _rule("de", "de", "DePlz", "DE_PLZ", [(r"\b(?!01000\b|99999\b)(0[1-9]\d{3}|[1-9]\d{4})\b", 0.05)], "plz,postleitzahl,postanschrift,adresse,wohnort,ort,wohnanschrift,lieferadresse,rechnungsadresse,straße,strasse,hausnummer,postfach,bundesland,gemeinde,stadt,dorf"),
+    _rule("de", "de", "DeKfz", "DE_KFZ", [(r"(?<![\w-])[A-ZÄÖÜ]{1,3}\s[A-Z]{1,2}\s\d{1,4}[EH]?(?!\w)", 0.3), (r"(?<![\w-])[A-ZÄÖÜ]{1,3}-[A-Z]{1,2}-\d{1,4}[EH]?(?!\w)", 0.3), (r"(?<![\w-])[A-ZÄÖÜ]{1,3}-[A-Z]{1,2}\s\d{1,4}[EH]?(?!\w)", 0.3), (r"(?<![\w-])[A-Z]{1,3}\s[A-Z]{1,2}\s\d{1,4}[EH]?(?!\w)", 0.2), (r"(?<![\w-])[A-Z]{1,3}-[A-Z]{1,2}\s\d{1,4}[EH]?(?!\w)", 0.2)], "kennzeichen,kfz-kennzeichen,kraftfahrzeugkennzeichen,nummernschild,fahrzeugkennzeichen,zulassung,kfz,fahrzeug,auto,pkw,lkw,fahrzeugschein,fahrzeugbrief,zulassungsbescheinigung,amtliches kennzeichen"),
     _rule("es", "es", "EsNif", "ES_NIF", [(r"\b[0-9]?[0-9]{7}[-]?[A-Z]\b", 0.5)], "documento nacional de identidad,DNI,NIF,identificación", _nif, enabled=True),
     _rule("es", "es", "EsNie", "ES_NIE", [(r"\b[X-Z]?[0-9]?[0-9]{7}[-]?[A-Z]\b", 0.5)], "número de identificación de extranjero,NIE", _nie, enabled=True),
-    _rule("es", "es", "EsPassport", "ES_PASSPORT", [(r"\b[A-Z]{3}[0-9]{6}\b", 0.05)], "pasaporte,passport,número de pasaporte"),
+    _rule("es", "es", "EsPassport", "ES_PASSPORT", [(r"\b[A-Z]{3}[0-9]{6}\b", 0.05)], "pasaporte,passport,número de pasaporte,passport number"),
     _rule("it", "it", "ItFiscalCode", "IT_FISCAL_CODE", [(r"((?:[A-Z][AEIOU][AEIOUX]|[AEIOU]X{2}|[B-DF-HJ-NP-TV-Z]{2}[A-Z]){2}(?:[\dLMNP-V]{2}(?:[A-EHLMPR-T](?:[04LQ][1-9MNP-V]|[15MR][\dLMNP-V]|[26NS][0-8LMNP-U])|[DHPS][37PT][0L]|[ACELMRT][37PT][01LM]|[AC-EHLMPR-T][26NS][9V])|(?:[02468LNQSU][048LQU]|[13579MPRTV][26NS])B[26NS][9V])(?:[A-MZ][1-9MNP-V][\dLMNP-V]{2}|[A-M][0L](?:[1-9MNP-V][\dLMNP-V]|[0L][1-9MNP-V]))[A-Z])", 0.3)], "codice fiscale,cf", _fiscal_code, enabled=True),
     _rule("it", "it", "ItVatCode", "IT_VAT_CODE", [(r"\b([0-9][ _]?){11}\b", 0.1)], "piva,partita iva,pi", _vat_it, enabled=True),
-    _rule("it", "it", "ItPassport", "IT_PASSPORT", [(r"\b[A-Z]{2}\d{7}\b", 0.01)], "passaporto,elettronico,italiano,viaggio", enabled=True),
-    _rule("it", "it", "ItIdentityCard", "IT_IDENTITY_CARD", [(r"\b[A-Z]{2}\s?\d{7}\b", 0.01), (r"\b\d{7}[A-Z]{2}\b", 0.01), (r"\b[A-Z]{2}\d{5}[A-Z]{2}\b", 0.01)], "carta,identità,elettronica,cie,documento", enabled=True),
-    _rule("it", "it", "ItDriverLicense", "IT_DRIVER_LICENSE", [(r"\b(([A-Z]{2}\d{7}[A-Z])|(U1[BCDEFGHLJKMNPRSTUWYXZ0-9]{7}[A-Z]))\b", 0.2)], "patente,patente di guida,licenza", enabled=True),
+    _rule("it", "it", "ItPassport", "IT_PASSPORT", [(r"\b[A-Z]{2}\d{7}\b", 0.01)], "passaporto,elettronico,italiano,viaggio,viaggiare,estero,documento,dogana", enabled=True),
+    _rule("it", "it", "ItIdentityCard", "IT_IDENTITY_CARD", [(r"\b[A-Z]{2}\s?\d{7}\b", 0.01), (r"\b\d{7}[A-Z]{2}\b", 0.01), (r"\b[A-Z]{2}\d{5}[A-Z]{2}\b", 0.01)], "carta,identità,elettronica,cie,documento,riconoscimento,espatrio", enabled=True),
+    _rule("it", "it", "ItDriverLicense", "IT_DRIVER_LICENSE", [(r"\b(([A-Z]{2}\d{7}[A-Z])|(U1[BCDEFGHLJKMNPRSTUWYXZ0-9]{7}[A-Z]))\b", 0.2)], "patente,patente di guida,licenza,licenza di guida", enabled=True),
     _rule("pl", "pl", "PlPesel", "PL_PESEL", [(r"[0-9]{2}([02468][1-9]|[13579][012])(0[1-9]|1[0-9]|2[0-9]|3[01])[0-9]{5}", 0.4)], "PESEL", _check_digit([1, 3, 7, 9, 1, 3, 7, 9, 1, 3], 10), enabled=True),
-    _rule("fi", "fi", "FiPersonalIdentityCode", "FI_PERSONAL_IDENTITY_CODE", [(r"\b(\d{6})([-+ABCDEFYXWVU])(\d{3})([0123456789ABCDEFHJKLMNPRSTUVWXY])\b", 0.5), (r"(\d{6})([-+ABCDEFYXWVU])(\d{3})([0123456789ABCDEFHJKLMNPRSTUVWXY])", 0.1)], "hetu,henkilötunnus,personbeteckningen", _hetu),
-    _rule("kr", "ko", "KrBrn", "KR_BRN", [(r"(?<!\d)\d{3}-\d{2}-\d{5}(?!\d)", 0.1), (r"(?<!\d)\d{10}(?!\d)", 0.05)], "사업자등록번호,사업자번호,BRN", _brn),
-    _rule("kr", "ko", "KrRrn", "KR_RRN", [(r"(?<!\d)\d{2}(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])(-?)[1-4]\d{6}(?!\d)", 0.5)], "Korean RRN,Resident Registration Number,RRN", _rrn(11)),
-    _rule("kr", "ko", "KrFrn", "KR_FRN", [(r"(?<!\d)\d{2}(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])(-?)[5-8]\d{6}(?!\d)", 0.5)], "외국인등록번호,FRN,Foreigner Registration Number", _rrn(13)),
-    _rule("kr", "ko", "KrPassport", "KR_PASSPORT", [(r"(?<![A-Z0-9a-z])[MmSsRrOoDd]\d{3}[A-Za-z]\d{4}(?![0-9])", 0.1), (r"(?<![A-Z0-9a-z])[MmSsRrOoDd]\d{8}(?![0-9])", 0.05)], "Korean passport,여권,passport"),
-    _rule("se", "sv", "SePersonnummer", "SE_PERSONNUMMER", [(r"\b(\d{6,8})([-+]?)\d{4}\b", 0.5), (r"(\d{6,8})([-+]?)\d{4}", 0.1)], "personnummer,svenskt personnummer,samordningsnummer", _personnummer),
-    _rule("se", "sv", "SeOrganisationsnummer", "SE_ORGANISATIONSNUMMER", [(r"\b\d{6}[-]?\d{4}\b", 0.6), (r"\d{6}[-]?\d{4}", 0.2)], "organisationsnummer,orgnr,org nr", _orgnr),
-    _rule("th", "th", "ThTnin", "TH_TNIN", [(r"\b[1-9](?:[134][0-9]|2[0-7]|5[0-8]|[67][01234567]|[89][0123456])\d{10}\b", 0.5)], "Thai National ID,TNIN,เลขประจำตัวประชาชน", _thai),
-    _rule("tr", "tr", "TrNationalId", "TR_NATIONAL_ID", [(r"\b[1-9][0-9]{10}\b", 0.3)], "tc kimlik,kimlik no,tckn,national id", _tr_id),
-    _rule("tr", "tr", "TrLicensePlate", "TR_LICENSE_PLATE", [(r"\b(0[1-9]|[1-7][0-9]|8[0-1])\s?[A-PR-VY-Z]{1,3}\s?\d{2,4}\b", 0.3), (r"\b(0[1-9]|[1-7][0-9]|8[0-1])-[A-PR-VY-Z]{1,3}-\d{2,4}\b", 0.3)], "plaka,araç plakası,plate", lambda t: F.substring(t, 1, 2).try_cast("int").between(1, 81)),
+    _rule("fi", "fi", "FiPersonalIdentityCode", "FI_PERSONAL_IDENTITY_CODE", [(r"\b(\d{6})([-+ABCDEFYXWVU])(\d{3})([0123456789ABCDEFHJKLMNPRSTUVWXY])\b", 0.5), (r"(\d{6})([-+ABCDEFYXWVU])(\d{3})([0123456789ABCDEFHJKLMNPRSTUVWXY])", 0.1)], "hetu,henkilötunnus,personbeteckningen,personal identity code", _hetu),
+    _rule("kr", "ko", "KrBrn", "KR_BRN", [(r"(?<!\d)\d{3}-\d{2}-\d{5}(?!\d)", 0.1), (r"(?<!\d)\d{10}(?!\d)", 0.05)], "사업자등록번호,사업자번호,사업자,BRN,Business Registration Number,Korean BRN,business number,tax registration number", _brn),
+    _rule("kr", "ko", "KrRrn", "KR_RRN", [(r"(?<!\d)\d{2}(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])(-?)[1-4]\d{6}(?!\d)", 0.5)], "Korean RRN,Korean Resident Registration Number,Resident Registration Number,RRN,rrn,rrn#", _rrn(11)),
+    _rule("kr", "ko", "KrFrn", "KR_FRN", [(r"(?<!\d)\d{2}(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])(-?)[5-8]\d{6}(?!\d)", 0.5)], "외국인등록번호,Korean FRN,FRN,Foreigner Registration Number,Korean Foreigner Registration Number,외국인번호", _rrn(13)),
+    _rule("kr", "ko", "KrPassport", "KR_PASSPORT", [(r"(?<![A-Z0-9a-z])[MmSsRrOoDd]\d{3}[A-Za-z]\d{4}(?![0-9])", 0.1), (r"(?<![A-Z0-9a-z])[MmSsRrOoDd]\d{8}(?![0-9])", 0.05)], "Korean passport,Korean passport number,대한민국 여권,여권,passport,passport number"),
+    _rule("se", "sv", "SePersonnummer", "SE_PERSONNUMMER", [(r"\b(\d{6,8})([-+]?)\d{4}\b", 0.5), (r"(\d{6,8})([-+]?)\d{4}", 0.1)], "personnummer,svenskt personnummer,svensk id,ssn,personal identity number,samordningsnummer", _personnummer),
+    _rule("se", "sv", "SeOrganisationsnummer", "SE_ORGANISATIONSNUMMER", [(r"\b\d{6}[-]?\d{4}\b", 0.6), (r"\d{6}[-]?\d{4}", 0.2)], "organisationsnummer,orgnr,org nr,företagsnummer", _orgnr),
+    _rule("th", "th", "ThTnin", "TH_TNIN", [(r"\b[1-9](?:[134][0-9]|2[0-7]|5[0-8]|[67][01234567]|[89][0123456])\d{10}\b", 0.5)], "Thai National ID,Thai ID Number,TNIN,เลขประจำตัวประชาชน,เลขบัตรประชาชน,รหัสปชช", _thai),
+    _rule("tr", "tr", "TrNationalId", "TR_NATIONAL_ID", [(r"\b[1-9][0-9]{10}\b", 0.3)], "tc kimlik,kimlik no,kimlik numarası,tckn,tc no,nüfus cüzdanı,national id,turkish id,türk kimlik", _tr_id),
+    _rule("tr", "tr", "TrLicensePlate", "TR_LICENSE_PLATE", [(r"\b(0[1-9]|[1-7][0-9]|8[0-1])\s?[A-PR-VY-Z]{1,3}\s?\d{2,4}\b", 0.3), (r"\b(0[1-9]|[1-7][0-9]|8[0-1])-[A-PR-VY-Z]{1,3}-\d{2,4}\b", 0.3)], "plaka,araç plakası,plaka numarası,kayıt plakası,tr plaka,license plate,number plate,plate,taşıt plakası,kayıt", lambda t: F.substring(t, 1, 2).try_cast("int").between(1, 81)),
 )
 
 CATALOG = (*GENERIC, *US, *WORLD)
