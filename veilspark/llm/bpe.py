@@ -22,12 +22,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilspark.llm.common import col, quoted, tidy
+
 #: White space as the tokenizer's patterns read it.
 _WHITE = r"\x09-\x0D\x20\x85\xA0  -     　"
 _NO_RANK = np.int64(1 << 40)
 #: Distinct words whose ids a worker remembers; beyond that it starts anew. A matter of speed only.
-REMEMBERED = 150_000
-BATCH_CHARS = 4_000_000
+REMEMBERED = 100_000
+BATCH_CHARS = 1_000_000
 
 
 def byte_alphabet() -> list[str]:
@@ -128,7 +130,9 @@ class WordBpe:
         return [np.frombuffer(b"".join(map(known.__getitem__, pieces)), "<u4") for pieces in split]
 
     def decode(self, ids: np.ndarray) -> str:
-        """The names of the symbols, joined by spaces, as a tokenizer without a decoder gives them."""
+        """The names of the symbols, joined by spaces, as a tokenizer without a decoder gives them; ids that name none are left out."""
+        if len(ids) and not (0 <= ids.min() and ids.max() < len(self.names)):
+            ids = ids[(ids >= 0) & (ids < len(self.names))]
         return " ".join(map(self.names.__getitem__, ids.tolist()))
 
 
@@ -137,6 +141,11 @@ def tokenizer(path: str) -> WordBpe:
     return WordBpe(path)
 
 
+def forget() -> None:
+    """Drop what this worker holds for encoding: what runs in it next may be something else."""
+    tokenizer.cache_clear()
+
+
 #: What encode() can add to a row.
 OUTPUTS = {"n_tokens": "long", "ids": "array<long>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
 
@@ -147,7 +156,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", keep: tuple[str,
     ``path`` is a tokenizer file that every executor can read. Only ``keep`` and the text are read, so other columns
     may have any name; rows are independent, so repeated rows give repeated results and an empty table an empty one.
     """
-    types = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
+    types = [f"{quoted(c)} {docs.schema[c].dataType.simpleString()}" for c in keep]
     n_keep = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,18 +183,22 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", keep: tuple[str,
                 yield pa.RecordBatch.from_arrays([*own, *(make[o](ids, text) for o in outputs)], [*keep, *outputs])
                 start = end
 
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("text_to_encode"))
-    return rows.mapInArrow(run, ", ".join([*types, *(f"{o} {OUTPUTS[o]}" for o in outputs)]))
+    rows = docs.select(*map(col, keep), col(text_col).cast("string").alias("text_to_encode"))
+    return rows.mapInArrow(tidy(run, forget), ", ".join([*types, *(f"{o} {OUTPUTS[o]}" for o in outputs)]))
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns and ``decoded``, the text of each row's ids; null ids decode to the empty text."""
-    types = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep]
+    """``keep`` columns and ``decoded``, the text of each row's ids; null ids decode to the empty text.
+
+    Null entries and ids outside of the vocabulary are left out, as the tokenizer has no name for them. Rows are
+    independent; an empty table gives an empty result.
+    """
+    types = [f"{quoted(c)} {df.schema[c].dataType.simpleString()}" for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
         for batch in batches:
-            text = [tok.decode(np.array(x or [], np.int64)) for x in batch.column(len(keep)).to_pylist()]
+            text = [tok.decode(np.array([i for i in x or [] if i is not None], np.int64)) for x in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), pa.array(text, pa.string())], [*keep, "decoded"])
 
-    return df.select(*keep, ids_col).mapInArrow(run, ", ".join([*types, "decoded string"]))
+    return df.select(*map(col, keep), col(ids_col)).mapInArrow(tidy(run, forget), ", ".join([*types, "decoded string"]))

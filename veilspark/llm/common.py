@@ -1,23 +1,30 @@
-"""What the corpus operators share: shared-folder tables, bounded bitmaps, id filters and graph components."""
+"""What the corpus operators share: shared-folder tables, bounded bitmaps, row filters, graph components and tidy workers."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bits of a broadcast bitmap: 2**22 bits are 128 rows of 4 KB, half a megabyte at any input size.
-BITMAP_BITS = 1 << 22
+#: Bits of a broadcast bitmap: sized from its keys between these, so it has half a megabyte to 32 MB at any input size.
+LEAST_BITS, MOST_BITS = 1 << 22, 1 << 28
 _ROW_BITS = 32768
+#: Nodes with more edges than this, or than a share of all edges, are joined by broadcast: at most HUBS of them.
+HUB_EDGES, HUBS = 1000, 20_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode one of our own where it is unset."""
     conf = spark.sparkContext.getConf()
     path = conf.get("spark.checkpoint.dir") or spark.conf.get("veilspark.shared.dir", None)
     if not path:
+        if not conf.get("spark.master", "").startswith("local") or conf.get("spark.master", "").startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="veilspark-")
         spark.conf.set("veilspark.shared.dir", path)
     return path
@@ -31,7 +38,32 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bitmap_of(keys: DataFrame, key: Column, bits: int = BITMAP_BITS) -> DataFrame:
+def quoted(name: str) -> str:
+    """A column's name as it must be written in an expression, also where it holds dots or backticks."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def col(name: str) -> Column:
+    return F.col(quoted(name))
+
+
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """Each of ``names`` with as many underscores behind it as set it apart from the columns ``taken``."""
+    used, out = {c.lower() for c in taken}, []
+    for n in names:
+        while n.lower() in used:
+            n += "_"
+        used.add(n.lower())
+        out.append(n)
+    return out
+
+
+def bitmap_bits(keys: int) -> int:
+    """Bits for a bitmap of so many keys: eight each, so one in eight other rows hits it, within the bounds."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << max(0, 8 * keys - 1).bit_length()))
+
+
+def bitmap_of(keys: DataFrame, key: Column, bits: int = LEAST_BITS) -> DataFrame:
     """One row per 32768 slots: the set of slots hit by ``key`` hashes. At most bits / 32768 rows of 4 KB."""
     slot = F.pmod(key, F.lit(bits))
     return (
@@ -41,54 +73,93 @@ def bitmap_of(keys: DataFrame, key: Column, bits: int = BITMAP_BITS) -> DataFram
     )
 
 
-def with_hit(df: DataFrame, bitmap: DataFrame, key: Column, name: str, bits: int = BITMAP_BITS) -> DataFrame:
+def with_hit(df: DataFrame, bitmap: DataFrame, key: Column, name: str, bits: int = LEAST_BITS) -> DataFrame:
     """Add boolean ``name``: False when ``key`` is surely not in the bitmap. The broadcast side has a fixed size bound."""
+    row, data = fresh([*df.columns, name], "bm_row", "bm_bits")
     slot = F.pmod(key, F.lit(bits))
     pos = F.pmod(slot, F.lit(_ROW_BITS)).cast("int")
-    byte = F.conv(F.hex(F.substring(F.col("bm_bits"), (pos / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col(data), (pos / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     bit = F.shiftright(byte, 0).bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), pos % 8 + 1)) != 0
-    keep = [F.col(c) for c in df.columns]
     return (
-        df.withColumn("bm_row", (slot / _ROW_BITS).cast("int"))
-        .join(F.broadcast(bitmap), "bm_row", "left")
-        .select(*keep, F.coalesce(bit, F.lit(False)).alias(name))
+        df.withColumn(row, (slot / _ROW_BITS).cast("int"))
+        .join(F.broadcast(bitmap.toDF(row, data)), row, "left")
+        .select(*map(col, df.columns), F.coalesce(bit, F.lit(False)).alias(name))
     )
 
 
-def drop_ids(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` whose id is not in ``dropped``. Only rows that the bounded bitmap suspects are shuffled; null ids stay."""
-    cols = docs.columns
-    gone = dropped.select(F.col(id_col).alias("gone_id"))
-    flagged = with_hit(docs, bitmap_of(gone, F.xxhash64("gone_id")), F.xxhash64(F.col(id_col)), "maybe_gone")
-    sure = flagged.filter(~F.col("maybe_gone")).select(*[F.col(f"`{c}`") for c in cols])
-    rest = flagged.filter("maybe_gone").select(*[F.col(f"`{c}`") for c in cols])
-    return sure.unionByName(rest.join(gone, rest[id_col] == gone["gone_id"], "left_anti"))
+def keyed_rows(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a long key of each row, written so that it stays the same, and that column's name."""
+    (key,) = fresh(docs.columns, "veil_row")
+    return cut(docs.withColumn(key, F.monotonically_increasing_id()), "rows"), key
 
 
-def keyed_rows(docs: DataFrame, id_col: str, key: str, ordered: bool = False) -> DataFrame:
-    """``docs`` with a long ``key`` of each row, written so that it stays the same; ``ordered``: it rises with the id, null ids last."""
-    rows = docs.orderBy(F.col(f"`{id_col}`").asc_nulls_last()) if ordered else docs
-    return cut(rows.withColumn(key, F.monotonically_increasing_id()), "rows")
+def drop_rows(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """``rows`` of ``keyed_rows`` without those whose keys are in the only column of ``gone``, and without the key.
 
+    Only rows that the bitmap suspects are shuffled: those that go, and an eighth of the others at most up to 33 million keys.
+    """
+    own = [c for c in rows.columns if c != key]
+    maybe, key_gone = fresh(rows.columns, "maybe_gone", "key_gone")
+    out = cut(gone.toDF(key_gone), "gone")
+    bits = bitmap_bits(out.count())
+    flagged = with_hit(rows, bitmap_of(out, F.xxhash64(col(key_gone)), bits), F.xxhash64(col(key)), maybe, bits)
+    suspects = flagged.filter(col(maybe)).join(out, col(key) == col(key_gone), "left_anti")
+    return flagged.filter(~col(maybe)).select(*map(col, own)).unionByName(suspects.select(*map(col, own)))
 
-def components(edges: DataFrame, tag: str, max_rounds: int = 60) -> DataFrame:
+
+def components(edges: DataFrame, tag: str) -> DataFrame:
     """Connected components of undirected ``edges(a, b)``: returns ``(node, comp)``, comp the smallest node of each component.
 
-    Alternating large-star and small-star rounds; every step is a partial aggregate and an equi-join, so a hub is
-    combined before the shuffle and its join partition can be split.
+    Alternating large-star and small-star rounds until nothing moves. Neighbours are combined before each shuffle; the
+    edges of hubs, of which there are HUBS at most, meet their minimum by broadcast, so no task gets all edges of one.
     """
     e = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), tag)
-    before = None
-    for _ in range(max_rounds):
+
+    def lowest(own: DataFrame, both: DataFrame, edges_now: int) -> DataFrame:
+        """``own(u, v)`` with ``m``, the smallest neighbour of ``u`` in ``both`` or itself."""
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"), "n")
+        least = max(HUB_EDGES, 2 * edges_now // HUBS)
+        if 2 * edges_now <= least:
+            return own.join(low, F.col("u") == F.col("w")).select("u", "v", "m")
+        hubs = F.broadcast(low.filter(F.col("n") > least).select(F.col("w").alias("hub"), F.col("m").alias("hub_m")))
+        flagged = own.join(hubs, F.col("u") == F.col("hub"), "left")
+        far = flagged.filter("hub is null").select("u", "v").join(low.filter(F.col("n") <= least), F.col("u") == F.col("w")).select("u", "v", "m")
+        return flagged.filter("hub is not null").select("u", "v", F.col("hub_m").alias("m")).unionByName(far)
+
+    now, before = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head(), None
+    while now != before:
+        before = now
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("p"))
+        large = lowest(both.filter("v > u"), both, now[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        small = lowest(large, large, now[0]).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("p"))
         e = cut(small.select("p.u", "p.v").filter("u <> v").distinct(), tag)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
-        if now == before:
-            break
-        before = now
     ends = e.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(e.select(F.col("v").alias("node"), F.col("v").alias("comp")))
     return ends.groupBy("node").agg(F.min("comp").alias("comp"))
+
+
+def release() -> None:
+    """Give memory that is free back to the system, as workers are reused by what runs next."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidy(run: Batches, *forget: Callable[[], None]) -> Batches:
+    """``run``, after which a worker calls ``forget`` and holds no more memory than before it."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            for batch in run(batches):
+                yield batch
+                del batch
+        finally:
+            for f in forget:
+                f()
+            release()
+
+    return tidied

@@ -1,8 +1,8 @@
 """Exact deduplication by progressive refinement, with DataFrame functions only.
 
 Length and prefix hash are one composite key, so both levels cost a single partially aggregated shuffle of two
-numbers. The keys that occur more than once go into a bitmap of fixed size (half a megabyte), which is broadcast: only
-rows that hit it are hashed in full, and no text is ever shuffled. A false hit costs one hash and changes nothing,
+numbers. The keys that occur more than once go into a bitmap sized from their number (32 MB at most), which is broadcast:
+only rows that hit it are hashed in full, and no text is ever shuffled. A false hit costs one hash and changes nothing,
 since the last level groups by the SHA-256 of the whole normalised text.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import bitmap_of, cut, drop_ids, keyed_rows, with_hit
+from veilspark.llm.common import bitmap_bits, bitmap_of, col, cut, drop_rows, keyed_rows, with_hit
 
 PREFIX_CHARS = 64
 
@@ -26,13 +26,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts are equal when identical after each run of ASCII white space becomes one space. Of equal texts the smallest
     id stays. Null text counts as empty. Rows that repeat an id share its decision; a null id is chosen only when the
     group has no other, and is reported as it is. ``text_sha256`` is null where no full hash was needed, unless
-    ``digest_all``. Other columns of the input are not read.
+    ``digest_all``. Texts of any length are compared whole. Other columns of the input are not read, so they may have
+    any names; an empty table gives an empty result.
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
+    base = docs.select(col(id_col).alias("doc_id"), normalised(col(text_col)).alias("norm"))
     key = F.xxhash64(F.length("norm"), F.substring("norm", 1, PREFIX_CHARS))
     levels = base.select(F.length("norm").alias("n"), F.xxhash64(F.substring("norm", 1, PREFIX_CHARS)).alias("ph"), key.alias("key"))
-    alive = levels.groupBy("n", "ph").agg(F.count("*").alias("c"), F.first("key").alias("key")).filter("c > 1")
-    flagged = with_hit(base.withColumn("key", key), bitmap_of(alive, F.col("key")), F.col("key"), "alive")
+    alive = levels.groupBy("n", "ph").agg(F.count("*").alias("c"), F.first("key").alias("key")).filter("c > 1").select("key")
+    alive = cut(alive, "alive")
+    bits = bitmap_bits(alive.count())
+    flagged = with_hit(base.withColumn("key", key), bitmap_of(alive, F.col("key"), bits), F.col("key"), "alive", bits)
     full = F.sha2(F.col("norm"), 256)
     hashed = cut(flagged.select("doc_id", "alive", (full if digest_all else F.when(F.col("alive"), full)).alias("text_sha256")), "exact")
     seen = hashed.filter("alive")
@@ -49,8 +52,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: one row of each group of equal texts, also where rows share an id or have none."""
-    rows = keyed_rows(docs, id_col, "veil_row")
-    ranked = rows.withColumn("veil_id", F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("veil_row").alias("row")))
-    out = exact_dedup(ranked, "veil_id", text_col).filter("not kept").select(F.col("doc_id.row").alias("veil_row"))
-    return drop_ids(rows, out, "veil_row").drop("veil_row")
+    """The rows of ``docs`` that stay, with all their columns: one row of each group of equal texts.
+
+    It is the one with the smallest id, null last, and of rows that share both id and text the first one. Null text
+    counts as empty, so of all null and empty texts one row stays. Columns may have any names; an empty table stays empty.
+    """
+    rows, key = keyed_rows(docs)
+    own = F.struct(col(id_col).isNull().alias("none"), col(id_col).alias("id"), col(key).alias("row"))
+    told = exact_dedup(rows.select(own.alias("id"), col(text_col).alias("text")), "id", "text")
+    return drop_rows(rows, key, told.filter("not kept").select("doc_id.row"))

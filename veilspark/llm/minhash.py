@@ -11,7 +11,7 @@ enumerated: members are first verified against two anchors and verified links ar
 of buckets that still hold several components then go through prefix filtering: with shingles ordered by rising
 frequency, linked sets of n shingles must share one of their first ``n - ceil(0.75 n) + 1``, and what follows the first
 shared one must suffice, so passages that many documents share bring no pair together. The anchors of a bucket are
-its smallest id and its member with the most company over all buckets, as an original among its copies has. No candidate is dropped: each pair that shares a bucket is in one component,
+its first node and its member with the most company over all buckets, as an original among its copies has. No candidate is dropped: each pair that shares a bucket is in one component,
 was verified to be no link, or is ruled out by that bound.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from veilspark.llm import words
-from veilspark.llm.common import bitmap_of, components, cut, drop_ids, keyed_rows, with_hit
+from veilspark.llm.common import bitmap_bits, bitmap_of, col, components, cut, drop_rows, keyed_rows, tidy, with_hit
 
 SHINGLE, BANDS, ROWS = 5, 40, 5
 #: A pair is verified when its sketches agree in at least this share of coordinates: six standard deviations
@@ -113,12 +113,12 @@ def _sketches(bands: int, rows: int, width: int):
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1)
+            texts = batch.column(0)
             for lo, hi in words.chunks(texts):
                 x, doc = shingle_sets(texts.slice(lo, hi - lo), width)
                 at = np.searchsorted(doc, np.arange(hi - lo + 1))
                 sets = [x[at[i] : at[i + 1]].tobytes() for i in range(hi - lo)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sets, pa.binary())], ["rep", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(_set_key(x, doc, hi - lo, np.diff(at)), pa.binary()), pa.array(sets, pa.binary())], ["set_key", "shingles"])
 
     return run
 
@@ -152,24 +152,24 @@ def _linked(percent: int):
 
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rep, comp, shingles) to one row per shingle."""
+    """(node, comp, shingles) to one row per shingle."""
     for batch in batches:
         for i in range(batch.num_rows):
             x = np.frombuffer(batch.column(2)[i].as_buffer(), np.int64)
-            rep, comp = (np.full(len(x), batch.column(k)[i].as_py(), np.int64) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (rep, comp, np.full(len(x), len(x), np.int64), x)], ["rep", "comp", "n", "shingle"])
+            node, comp = (np.full(len(x), batch.column(k)[i].as_py(), np.int64) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (node, comp, np.full(len(x), len(x), np.int64), x)], ["node", "comp", "n", "shingle"])
 
 
 def _prefix_pairs(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of ``mixed(rep, comp)`` in different components that share a shingle of their prefixes."""
-    rows = cut(sets.join(mixed, "rep").select("rep", "comp", "shingles").mapInArrow(_exploded, "rep long, comp long, n long, shingle long"), "shingles")
+    """Pairs of ``mixed(node, comp)`` in different components that share a shingle of their prefixes."""
+    rows = cut(sets.join(mixed, "node").select("node", "comp", "shingles").mapInArrow(tidy(_exploded), "node long, comp long, n long, shingle long"), "shingles")
     often = rows.groupBy("shingle").agg(F.count("*").alias("often"))
-    order = Window.partitionBy("rep").orderBy("often", "shingle")
+    order = Window.partitionBy("node").orderBy("often", "shingle")
     prefix = rows.join(often, "shingle").withColumn("place", F.row_number().over(order))
-    prefix = prefix.filter(f"often > 1 and place <= n - ceil(n * {percent} / 100) + 1").select("shingle", "rep", "comp", "n", (F.col("n") - F.col("place") + 1).alias("rest"))
+    prefix = prefix.filter(f"often > 1 and place <= n - ceil(n * {percent} / 100) + 1").select("shingle", "node", "comp", "n", (F.col("n") - F.col("place") + 1).alias("rest"))
     prefix = cut(prefix, "prefix")
-    right = prefix.select("shingle", F.col("rep").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"), F.col("rest").alias("rest_b"))
-    left = prefix.select("shingle", F.col("rep").alias("a"), F.col("comp").alias("comp_a"), F.col("n").alias("n_a"), F.col("rest").alias("rest_a"))
+    right = prefix.select("shingle", F.col("node").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"), F.col("rest").alias("rest_b"))
+    left = prefix.select("shingle", F.col("node").alias("a"), F.col("comp").alias("comp_a"), F.col("n").alias("n_a"), F.col("rest").alias("rest_a"))
     sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
     # at a pair's first shared shingle no more than what is left of the smaller remainder can be shared
     enough = F.least("rest_a", "rest_b") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
@@ -178,15 +178,15 @@ def _prefix_pairs(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, cand: DataFrame, sets: DataFrame, percent: int, tag: str) -> DataFrame:
     """The links among ``pairs(a, b)``: sizes and sketch agreement first, then the sets of what is left."""
-    side_a = cand.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
-    side_b = cand.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
+    side_a = cand.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
+    side_b = cand.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
     close = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
     once = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    likely = once.join(side_a, "a").join(side_b, "b").filter(close).select("a", "b", "sig_a", "sig_b").mapInArrow(_agree(LEAST_AGREEMENT), "a long, b long")
-    set_a = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("set_a"))
-    set_b = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("set_b"))
+    likely = once.join(side_a, "a").join(side_b, "b").filter(close).select("a", "b", "sig_a", "sig_b").mapInArrow(tidy(_agree(LEAST_AGREEMENT)), "a long, b long")
+    set_a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
+    set_b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
     both = likely.join(set_b, "b").join(set_a, "a").select("a", "b", "set_a", "set_b")
-    return cut(both.mapInArrow(_linked(percent), "a long, b long"), tag)
+    return cut(both.mapInArrow(tidy(_linked(percent)), "a long, b long"), tag)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, width: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -194,41 +194,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Two documents are linked when 100 * intersection >= percent * union of their sets of ``width``-word shingles (a
     text of fewer words is one shingle; one without words is an empty set, linked with nothing). ``component_id`` is the
-    smallest id reachable by links. Null text is empty. Rows that repeat an id are reported each. A null id links with
-    nothing and is its own, null, component, kept. Other columns are not read; an empty table gives an empty result.
+    smallest id reachable by links. Null text is empty; texts of any length are read whole. Rows that repeat an id are
+    reported each, by their own text. A null id links with nothing and is its own, null, component, kept. Other columns
+    are not read, so they may have any names; an empty table gives an empty result.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    table = cut(source.mapInArrow(_sketches(bands, rows, width), "doc_id long, n_shingles long, set_key binary, band_keys array<long>, sig binary"), "sketch")
+    source = docs.select(col(id_col).cast("long").alias("doc_id"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
+    sketched = source.mapInArrow(tidy(_sketches(bands, rows, width)), "doc_id long, n_shingles long, set_key binary, band_keys array<long>, sig binary")
+    table = cut(sketched.withColumn("row", F.monotonically_increasing_id()), "sketch")
     real = table.filter("n_shingles > 0 and doc_id is not null")
-    classes = cut(real.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = real.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    by_band = reps.select(F.col("doc_id").alias("rep"), F.explode("band_keys").alias("bucket"))
-    crowded = by_band.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("size")).filter("lo < hi").select("bucket", "size")
+    # equal sets are one node, known by a number of its own and represented by the row with the smallest id
+    first = real.groupBy("set_key").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    classes = cut(first.select("set_key", F.col("first.doc_id").alias("rep"), F.col("first.row").alias("row"), F.monotonically_increasing_id().alias("node")), "classes")
+    reps = real.select("row", "n_shingles", "band_keys", "sig").join(classes.select("row", "node"), "row")
+    by_band = reps.select("node", F.explode("band_keys").alias("bucket"))
+    crowded = by_band.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("size")).filter("lo < hi").select("bucket", "size")
     members = cut(by_band.join(crowded, "bucket").distinct(), "buckets")
 
-    company = cut(members.groupBy("rep").agg(F.sum("size").alias("company")), "reps")
-    wanted = company.select("rep")
-    members = cut(members.select("bucket", "rep").join(company, "rep"), "members")
-    cand = cut(reps.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "sigs")
-    bitmap = bitmap_of(wanted, F.xxhash64("rep"))
-    again = with_hit(source, bitmap, F.xxhash64("doc_id"), "hit").filter("hit").select("doc_id", "text")
-    sets = cut(again.mapInArrow(_sets(width), "rep long, shingles binary").join(wanted, "rep", "left_semi").dropDuplicates(["rep"]), "sets")
+    company = cut(members.groupBy("node").agg(F.sum("size").alias("company")), "company")
+    members = cut(members.select("bucket", "node").join(company, "node"), "members")
+    wanted = cut(classes.join(company.select("node"), "node", "left_semi").select("node", "set_key", "rep"), "wanted")
+    cand = cut(reps.join(wanted.select("node"), "node", "left_semi").select("node", F.col("n_shingles").alias("n"), "sig"), "sigs")
+    bits = bitmap_bits(wanted.count())
+    again = with_hit(source, bitmap_of(wanted, F.xxhash64("rep"), bits), F.xxhash64("doc_id"), "hit", bits).filter("hit").select("text")
+    sets = cut(again.mapInArrow(tidy(_sets(width)), "set_key binary, shingles binary").join(wanted.select("node", "set_key"), "set_key").select("node", "shingles").dropDuplicates(["node"]), "sets")
 
     def labelled(links: DataFrame, step: str) -> DataFrame:
-        comp = components(links, f"comp-{step}").withColumnRenamed("node", "rep")
-        return cut(wanted.join(comp, "rep", "left").select("rep", F.coalesce("comp", "rep").alias("comp")), f"labels-{step}")
+        return cut(wanted.select("node").join(components(links, f"comp-{step}"), "node", "left").select("node", F.coalesce("comp", "node").alias("comp")), f"labels-{step}")
 
-    central = F.max_by("rep", F.struct("company", "rep")).alias("central")
-    anchors = members.groupBy("bucket").agg(F.min("rep").alias("low"), central)
-    pairs = members.join(anchors, "bucket").select(F.col("rep").alias("b"), F.explode(F.array("low", "central")).alias("a")).filter("a <> b")
+    central = F.max_by("node", F.struct("company", "node")).alias("central")
+    anchors = members.groupBy("bucket").agg(F.min("node").alias("low"), central)
+    pairs = members.join(anchors, "bucket").select(F.col("node").alias("b"), F.explode(F.array("low", "central")).alias("a")).filter("a <> b")
     links = _verified(pairs, cand, sets, percent, "links-anchors")
-    known = members.join(labelled(links, "anchors"), "rep").select("bucket", "rep", "comp")
+    known = members.join(labelled(links, "anchors"), "node").select("bucket", "node", "comp")
     split = known.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("bucket")
-    mixed = cut(known.join(split, "bucket", "left_semi").select("rep", "comp").distinct(), "mixed")
+    mixed = cut(known.join(split, "bucket", "left_semi").select("node", "comp").distinct(), "mixed")
     links = links.unionByName(_verified(_prefix_pairs(mixed, sets, percent), cand, sets, percent, "links-rest"))
-    labels = labelled(links, "rest")
+    labels = labelled(links, "rest").join(wanted, "node")
 
-    moved = classes.join(labels.filter("rep <> comp"), "rep", "left").select("set_key", F.coalesce("comp", "rep").alias("comp"))
+    lowest = labels.groupBy("comp").agg(F.min("rep").alias("component"), F.count("*").alias("n")).filter("n > 1").select("comp", "component")
+    moved = classes.select("set_key", "rep").join(labels.join(lowest, "comp").select("set_key", "component"), "set_key", "left").select("set_key", F.coalesce("component", "rep").alias("comp"))
     own: Column = F.col("doc_id")
     return (
         table.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & own.isNotNull(), F.col("set_key")).alias("set_key"))
@@ -239,7 +243,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that represent their component, with all their columns; rows are told apart also where they share an id or have none."""
-    rows = keyed_rows(docs, id_col, "veil_row", ordered=True)
-    gone = near_duplicates(rows, "veil_row", text_col).filter("not kept").select(F.col("doc_id").alias("veil_row"))
-    return drop_ids(rows, gone, "veil_row").drop("veil_row")
+    """The rows of ``docs`` that represent their component, with all their columns.
+
+    Each row is a document of its own here, also where rows share an id or have none. Of a component the row with the
+    smallest id stays, null last, and of those the first one; texts without words are linked with nothing and stay.
+    Null text is empty. Columns may have any names; an empty table stays empty.
+    """
+    rows, key = keyed_rows(docs)
+    told = cut(near_duplicates(rows, key, text_col).select("doc_id", "component_id", "kept"), "told")
+    groups = told.filter("not kept").select("component_id").distinct()
+    ids = rows.select(col(key).alias("doc_id"), F.struct(col(id_col).isNull().alias("none"), col(id_col).alias("id"), col(key).alias("row")).alias("rank"))
+    ranked = cut(told.join(groups, "component_id", "left_semi").join(ids, "doc_id").select("component_id", "rank"), "ranked")
+    first = ranked.groupBy("component_id").agg(F.min("rank").alias("stays"))
+    gone = ranked.select("rank.row").join(first.select("stays.row"), "row", "left_anti")
+    return drop_rows(rows, key, gone)

@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm import words
-from veilspark.llm.common import cut, drop_ids, keyed_rows
+from veilspark.llm.common import col, cut, fresh, release, tidy
 
-#: Documents whose features train the scorer: about so many, chosen by a hash of their id.
+#: Documents whose features train the scorer at most, chosen by a hash of their id and text.
 SAMPLE = 4096
 #: Documents of the sample that training reads at a time.
 STEP = 256
@@ -180,58 +180,78 @@ def _label(share: float):
                         for r, own in zip(rows.tolist(), x, strict=True):
                             some = np.flatnonzero(own)
                             spots[r], values[r] = some.astype("<u2").tobytes(), own[some].tobytes()
-                    yield pa.RecordBatch.from_arrays([pa.array(chunk.votes()), pa.array(spots, pa.binary()), pa.array(values, pa.binary())], ["code", "spots", "values"])
+                    yield pa.RecordBatch.from_arrays([pa.array(chunk.votes()), pa.array(draw), pa.array(spots, pa.binary()), pa.array(values, pa.binary())], ["code", "draw", "spots", "values"])
 
     return run
 
 
-def _score(weights: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi in words.chunks(batch.column(1), 1 << 20):
-                for lo2 in range(lo, hi, 256):
-                    n = min(hi, lo2 + 256) - lo2
-                    z = _Chunk(batch.column(1).slice(lo2, n)).features() @ weights
-                    p = 1 / (1 + np.exp(-np.clip(z.astype(float), -30, 30)))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo2, n), pa.array(np.round(p, 6))], ["doc_id", "junk"])
+def _junk(weights: np.ndarray):
+    """Texts to the scorer's probability that they are junk, as an Arrow UDF: the other columns of a row stay in the JVM."""
 
-    return run
+    def scores(texts: pa.Array) -> pa.Array:
+        out = []
+        for lo, hi in words.chunks(texts, 1 << 20):
+            for lo2 in range(lo, hi, 256):
+                z = _Chunk(texts.slice(lo2, min(hi, lo2 + 256) - lo2)).features() @ weights
+                out.append(np.round(1 / (1 + np.exp(-np.clip(z.astype(float), -30, 30))), 6))
+        return pa.array(np.concatenate(out) if out else np.zeros(0))
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            for texts in batches:
+                yield scores(texts)
+        finally:
+            release()
+
+    return F.arrow_udf(run, "double")
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """The scorer's weights and P(vote | class), learnt from all of ``docs`` without any label."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[np.ndarray | None, np.ndarray]:
+    """The scorer's weights and P(vote | class), learnt from all of ``docs`` without any label.
+
+    Votes are counted over all rows. The rows that train the scorer are drawn by a hash of id and text, ``sample`` at
+    most, so neither repeated ids nor repeated rows bring more. Weights are None where no row was drawn: an empty table,
+    or one so uniform that its few hashes all miss; then nothing can be told apart.
+    """
     total = max(1, docs.count())
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    draw = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col).cast("string")), F.lit(1 << 32))
-    table = cut(docs.select(F.lit(0), text, draw).mapInArrow(_label(min(1.0, sample / total)), "code long, spots binary, values binary"), "votes")
+    text = F.coalesce(col(text_col).cast("string"), F.lit(""))
+    draw = F.pmod(F.xxhash64(F.lit("sample"), col(id_col).cast("string"), text), F.lit(1 << 32))
+    table = cut(docs.select(F.lit(0), text, draw).mapInArrow(tidy(_label(min(1.0, 1.25 * sample / total))), "code long, draw long, spots binary, values binary"), "votes")
     counts = table.groupBy("code").count().orderBy("code").toPandas()
     codes, n = counts["code"].to_numpy(np.int64), counts["count"].to_numpy(float)
     if not len(codes):
-        return np.zeros(_DIM, np.float32), np.zeros((len(HEURISTICS), 2, 3))
+        return None, np.zeros((len(HEURISTICS), 2, 3))
     post, votes = fit_labels(codes, n)
-    rows = table.filter("spots is not null").toArrow()
+    rows = table.filter("spots is not null").orderBy("draw", "code").limit(sample).toArrow()
     if not rows.num_rows:
-        return np.zeros(_DIM, np.float32), votes
+        return None, votes
     spots, values = (np.frombuffer(b"".join(rows[c].to_pylist()), kind) for c, kind in (("spots", "<u2"), ("values", "<f2")))
     starts = np.concatenate([[0], np.cumsum([len(x) // 2 for x in rows["spots"].to_pylist()])])
     y = post[np.searchsorted(codes, rows["code"].to_numpy())].astype(np.float32)
     return fit_scorer(spots, values, starts, y), votes
 
 
-def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, reject: float = 0.5, key_col: str | None = None) -> DataFrame:
+def _scored(docs: DataFrame, name: str, id_col: str, text_col: str, sample: int) -> DataFrame:
+    weights, _ = fit(docs, id_col, text_col, sample)
+    text = F.coalesce(col(text_col).cast("string"), F.lit(""))
+    return docs.withColumn(name, F.lit(0.0) if weights is None else _junk(weights)(text))
+
+
+def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, reject: float = 0.5) -> DataFrame:
     """Return ``(doc_id, junk, kept)``, one row per input row: ``junk`` is the scorer's probability, kept below ``reject``.
 
-    Null and empty texts hold no features; the scorer's bias decides on them like on any other. Repeated rows get equal
-    results; an empty table gives an empty one. Other columns are not read. ``key_col`` is given out in place of the id.
+    Null and empty texts hold no features; the scorer's bias decides on them like on any other. Texts of any length are
+    read whole. Repeated rows get equal results, and where no row could train a scorer (see ``fit``) ``junk`` is 0 and
+    all are kept; an empty table gives an empty one. Other columns are not read, so they may have any names.
     """
-    weights, _ = fit(docs, id_col, text_col, sample)
-    kind = docs.schema[key_col or id_col].dataType.simpleString()
-    rows = docs.select(F.col(key_col or id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    return rows.mapInArrow(_score(weights), f"doc_id {kind}, junk double").withColumn("kept", F.col("junk") < reject)
+    rows = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
+    return _scored(rows, "junk", "doc_id", "text", sample).select("doc_id", "junk", (F.col("junk") < reject).alias("kept"))
 
 
-def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the classifier keeps, with all their columns."""
-    rows = keyed_rows(docs, id_col, "veil_row")
-    out = cut(classify(rows, id_col, text_col, key_col="veil_row"), "quality").filter("not kept").select(F.col("doc_id").alias("veil_row"))
-    return drop_ids(rows, out, "veil_row").drop("veil_row")
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, reject: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that the classifier keeps, with all their columns, whatever their names.
+
+    Each row is decided on by its own text, so repeated and null ids change nothing; see ``classify`` for the rest.
+    """
+    (junk,) = fresh(docs.columns, "junk")
+    return _scored(docs, junk, id_col, text_col, sample).filter(col(junk) < reject).select(*map(col, docs.columns))

@@ -1,8 +1,7 @@
 """Words of whole texts as numpy arrays, many documents at a time.
 
-A word is ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. All of a chunk's UTF-8 bytes are hashed in one pass: the
-prefix sums of ``T[byte] * B**position`` modulo 2**64 give any word's polynomial hash by one subtraction and one
-multiplication with the inverse power (B is odd, so it has one).
+A word is ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. All of a chunk's UTF-8 bytes are hashed in one pass: a word's
+hash is the sum of ``T[byte] * B**place`` over its bytes modulo 2**64, mixed.
 """
 
 from __future__ import annotations
@@ -19,9 +18,7 @@ _TABLE = _RNG.integers(0, 1 << 64, 256, dtype=np.uint64)
 _TABLE[ord("A") : ord("Z") + 1] = _TABLE[ord("a") : ord("z") + 1]
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -31,14 +28,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps)
-    return _powers
+def _power(n: int) -> np.ndarray:
+    steps = np.full(n, _BASE, np.uint64)
+    steps[:1] = 1
+    return np.cumprod(steps)
 
 
 def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
@@ -76,8 +69,11 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     begin[1:] &= ~solid[:-1] | edge[1:n]
     end = solid.copy()
     end[:-1] &= ~solid[1:] | edge[1:n]
-    begin, end = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    power, inverse = _power(n + 1)
-    prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum(_TABLE[data] * power[:n], out=prefix[1:])
-    return mix((prefix[end] - prefix[begin]) * inverse[begin]), np.searchsorted(begin, offsets)
+    begin, size = np.flatnonzero(begin), np.flatnonzero(end) + 1
+    size -= begin
+    if not len(begin):
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    first = np.cumsum(size) - size
+    place = np.arange(first[-1] + size[-1]) - np.repeat(first, size)
+    value = _TABLE[data[solid]] * _power(int(size.max()))[place]
+    return mix(np.add.reduceat(value, first)), np.searchsorted(begin, offsets)
