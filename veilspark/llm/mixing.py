@@ -2,10 +2,11 @@
 
 Documents are dealt by a hash of their id into blocks of their source. The number of blocks is bounded (BLOCKS over all
 sources), so the table of block sizes is small at any input size: it is collected, planned and broadcast, and documents
-are never shuffled to be chosen. A source's blocks are taken in a permuted order, whole, until its target is met; the
-block in which the target falls is filled document by document. The tree then deals the taken blocks out to shards:
-each node halves its shards and draws, for every source, how many blocks go left from the multivariate hypergeometric
-distribution, so shards hold equally many blocks and exactly all of them.
+are never shuffled to be chosen. A source's blocks stand in a permuted order, once for each time that it may be read
+whole; its quota is how many of them, from the first on, stay within its target. The tree partitions the quotas among
+the output shards: each node halves its shards and draws, for every source, how many blocks go left from the multivariate
+hypergeometric distribution. Each shard then draws its quota, disjoint runs of the permuted blocks, and what shards have
+drawn is what is taken. Last, the block at which a target falls is filled document by document.
 """
 
 from __future__ import annotations
@@ -16,8 +17,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veilspark.llm.common import col, fresh
+
 #: At most so many blocks (and one more a source), of about so many documents where there are fewer.
-BLOCKS, BLOCK_DOCS = 65_536, 256
+BLOCKS, BLOCK_DOCS = 262_144, 256
+#: Sources are categories: with more than this, ``assign`` raises an error, as each takes some numbers on the driver.
+MOST_SOURCES = 100_000
+#: Shards that ``mixed`` makes at least, and words of a shard where that gives more of them.
+LEAST_SHARDS, SHARD_WORDS = 64, 16_000_000
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 
 
@@ -62,95 +69,108 @@ def split(counts: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def _plan(blocks: pd.DataFrame, shards: int, seed: int) -> pd.DataFrame:
-    """Copies of each block, what is left to fill in the block where a target falls, and the shard of each copy."""
+def quota(words: np.ndarray, order: np.ndarray, goal: float, most: int = MOST) -> tuple[np.ndarray, int]:
+    """The sequence in which a source's blocks can be drawn, ``order`` ``most`` times, and how many of its first stay within ``goal`` words."""
+    sequence = np.tile(order, most)
+    return sequence, int(np.searchsorted(np.cumsum(words[sequence]), goal + 1e-6, side="right"))
+
+
+def _plan(blocks: pd.DataFrame, shards: int | None, seed: int) -> tuple[pd.DataFrame, int]:
+    """The shards that draw each block, and what is left to fill in the block at which a target falls; how many shards there are."""
     sizes = {None if pd.isna(s) else s: int(n) for s, n in blocks.groupby("source", dropna=False)["words"].sum().items()}
-    target = targets(sizes)
-    rows, order, counts = [], [], []
-    for source, own in blocks.groupby("source", dropna=False, sort=False):
-        source = None if pd.isna(source) else source
-        own = own.sort_values("block")
-        words, goal = own["words"].to_numpy(), target[source]
-        whole = min(int(goal // sizes[source]), MOST) if sizes[source] else 0
-        rest = goal - whole * sizes[source]
-        before = np.cumsum(words) - words
-        extra = before + words <= rest + 1e-6
-        cut = np.flatnonzero(~extra)[:1] if whole < MOST else []
-        copies = whole + (extra if whole < MOST else np.zeros(len(words), bool)).astype(int)
+    goals = targets(sizes)
+    order = sorted((s for s in sizes if s is not None), key=lambda s: s.encode("utf-8")) + [s for s in sizes if s is None]
+    of = {None if pd.isna(s) else s: own.sort_values("block") for s, own in blocks.groupby("source", dropna=False, sort=False)}
+    drawn, quotas = [], []
+    for k, source in enumerate(order):
+        words = of[source]["words"].to_numpy(np.int64)
+        sequence, n = quota(words, np.random.default_rng([seed, k]).permutation(len(words)), goals[source])
+        drawn.append((sequence, words))
+        quotas.append(n if sizes[source] else 0)
+    if shards is None:
+        shards = max(LEAST_SHARDS, min(sum(quotas), int(sum(goals.values()) // SHARD_WORDS)))
+    dealt = split(np.array(quotas, np.int64), shards, seed)
+    rows = []
+    for k, source in enumerate(order):
+        sequence, words = drawn[k]
+        n, shard_of = quotas[k], np.repeat(np.arange(shards), dealt[:, k])  # shard j draws the j-th run of the sequence
+        own: list[list[int]] = [[] for _ in words]
+        for at in range(n):
+            own[sequence[at]].append(int(shard_of[at]))
         fill = np.full(len(words), -1.0)
-        for k in cut:
-            copies[k], fill[k] = whole, rest - before[k]
-            copies[k + 1 :] = whole
-        instances = copies + (fill >= 0)
-        counts.append(int(instances.sum()))
-        order.append(len(rows))
-        rows += [(source, int(b), int(sizes[source]), float(goal), int(c), float(f), int(i)) for b, c, f, i in zip(own["block"], copies, fill, instances, strict=True)]
-    dealt = split(np.array(counts, np.int64), shards, seed)
-    for k, first in enumerate(order):
-        last = order[k + 1] if k + 1 < len(order) else len(rows)
-        slots = np.repeat(np.arange(shards), dealt[:, k])
-        np.random.default_rng([seed, k]).shuffle(slots)  # which of the permuted blocks each shard draws
-        at = 0
-        for j in range(first, last):
-            rows[j] = (*rows[j], slots[at : at + rows[j][6]].tolist())
-            at += rows[j][6]
-    return pd.DataFrame(rows, columns=["source", "block", "source_size", "target", "copies", "fill", "instances", "shards"])
-
-
-_PLAN = T.StructType([T.StructField("source", T.StringType()), T.StructField("block", T.LongType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("copies", T.IntegerType()), T.StructField("fill", T.DoubleType()), T.StructField("instances", T.IntegerType()), T.StructField("shards", T.ArrayType(T.IntegerType()))])
-
-
-def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = 64, seed: int = 17) -> DataFrame:
+        if n < len(sequence):
+            last = int(sequence[n])
+            fill[last] = goals[source] - float(words[sequence[:n]].sum())
+            own[last].append(int(np.random.default_rng([seed, k, 1]).integers(shards)))
+        rows += [(source, int(b), int(sizes[source]), float(goals[source]), len(s) - (f >= 0), float(f), s) for b, f, s in zip(of[source]["block"], fill, own, strict=True)]
+    return pd.DataFrame(rows, columns=["source", "block", "source_size", "target", "copies", "fill", "shards"]), shards
+
+
+_PLAN = T.StructType([T.StructField("source", T.StringType()), T.StructField("block", T.LongType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("copies", T.IntegerType()), T.StructField("fill", T.DoubleType()), T.StructField("shards", T.ArrayType(T.IntegerType()))])
+
+
+ADDED = ("mix_size", "mix_source_size", "mix_target", "mix_taken", "mix_shards")
+
+
+def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int | None = None, seed: int = 17) -> DataFrame:
     """All columns of ``docs`` plus ``mix_size``, ``mix_source_size``, ``mix_target``, ``mix_taken`` (words taken, repeats
     counted) and ``mix_shards`` (the shard of each copy taken).
 
-    A document is taken 0, 1 or 2 times, whole. Sources are categories: three numbers of each reach the driver, as do the
-    bounded block sizes. Null text has size 0; null is a source of its own; rows that repeat an id fall in one block and
-    count each. Reruns agree. An empty table gives an empty result.
+    A document is taken 0, 1 or 2 times, whole, however long. Sources are categories: some numbers of each reach the
+    driver, as do the bounded block sizes, and more than MOST_SOURCES are an error. Null text has size 0; null is a source
+    of its own; rows that repeat an id fall in one block and count each. Reruns agree. An empty table gives an empty
+    result. Columns may have any names: an added one whose name is taken gets underscores behind it. ``shards``: how many
+    shards there are, else as many as the mix's words ask for.
     """
-    spark = docs.sparkSession
-    own = docs.columns
-    sized = docs.withColumn("mix_size", n_words(F.col(text_col))).withColumn("mix_key", F.xxhash64(F.lit(seed), F.col(id_col).cast("string")))
-    slim = sized.select(F.col(source_col).cast("string").alias("source"), "mix_size", "mix_key")
-    fine = slim.groupBy("source", F.pmod("mix_key", F.lit(BLOCKS)).alias("cell")).agg(F.sum("mix_size").alias("words"), F.count("*").alias("docs"))
-    coarse = fine.groupBy("source").agg(F.sum("docs").alias("docs"), F.sum("words").alias("words")).toPandas()
-    total = max(1, int(coarse["docs"].sum()))
-    each = max(BLOCK_DOCS, -(-total // BLOCKS))
-    n_blocks = {None if pd.isna(s) else s: max(1, int(d) // each) for s, d in zip(coarse["source"], coarse["docs"], strict=True)}
-    count_rows = spark.createDataFrame([(s, n) for s, n in n_blocks.items()] or [(None, 1)], "mix_source string, mix_blocks long")
-    blocked = sized.join(F.broadcast(count_rows), F.col(source_col).cast("string").eqNullSafe(F.col("mix_source"))).withColumn("mix_block", F.pmod(F.col("mix_key"), F.col("mix_blocks")))
-    blocks = blocked.groupBy(F.col("mix_source").alias("source"), F.col("mix_block").alias("block")).agg(F.sum("mix_size").alias("words")).toPandas()
-    plan = spark.createDataFrame(_plan(blocks, shards, seed).astype(object).where(lambda x: x.notna(), None).values.tolist() if len(blocks) else [], _PLAN).withColumnsRenamed({"source": "plan_source", "block": "plan_block"})
-    met = blocked.join(F.broadcast(plan), F.col("mix_source").eqNullSafe(F.col("plan_source")) & (F.col("mix_block") == F.col("plan_block")))
-
-    part = met.filter("fill >= 0").select("plan_source", "mix_key", "mix_size", "fill")
-    filled = part.groupBy("plan_source").applyInPandas(_fill, "plan_source string, mix_key long, mix_more int")
-    # at most one block of each source is filled by halves: its documents are few, and only they meet the join
-    keep = [F.col(f"`{c}`") for c in own]
-    tail = lambda copies: [
-        F.col("mix_size"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"),
-        (F.col("mix_size") * copies).cast("long").alias("mix_taken"), F.slice("shards", F.lit(1), copies.cast("int")).alias("mix_shards"),
-    ]
-    whole = met.filter("fill < 0").select(*keep, *tail(F.col("copies")))
-    filled = filled.withColumnsRenamed({"plan_source": "fill_source", "mix_key": "fill_key"})
-    some = met.filter("fill >= 0").join(filled, F.col("mix_source").eqNullSafe(F.col("fill_source")) & (F.col("mix_key") == F.col("fill_key")), "left")
-    return whole.unionByName(some.select(*keep, *tail(F.col("copies") + F.coalesce("mix_more", F.lit(0)))))
+    return _assigned(docs, id_col, text_col, source_col, shards, seed)[0]
+
+
+def _assigned(docs: DataFrame, id_col: str, text_col: str, source_col: str, shards: int | None, seed: int) -> tuple[DataFrame, int]:
+    spark, added = docs.sparkSession, fresh(docs.columns, *ADDED)
+    key = F.xxhash64(F.lit(seed), col(id_col).cast("string"))
+    sized = docs.select(F.struct(*map(col, docs.columns)).alias("row"), col(source_col).cast("string").alias("source"), n_words(col(text_col)).alias("size"), key.alias("key"))
+    cells = sized.groupBy("source").agg(F.count("*").alias("docs"))
+    coarse = cells.limit(MOST_SOURCES + 1).toPandas()
+    if len(coarse) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
+    each = max(BLOCK_DOCS, -(-max(1, int(coarse["docs"].sum())) // BLOCKS))
+    n_blocks = [(None if pd.isna(s) else s, max(1, int(d) // each)) for s, d in zip(coarse["source"], coarse["docs"], strict=True)]
+    count_rows = spark.createDataFrame(n_blocks, "of string, blocks long")
+    blocked = sized.join(F.broadcast(count_rows), F.col("source").eqNullSafe(F.col("of"))).select("row", "source", "size", "key", F.pmod("key", "blocks").alias("block"))
+    blocks = blocked.groupBy("source", "block").agg(F.sum("size").alias("words")).toPandas()
+    planned, n_shards = _plan(blocks, shards, seed) if len(blocks) else (pd.DataFrame(), 1)
+    planned = planned.astype(object).where(lambda x: x.notna(), None).values.tolist()
+    plan = spark.createDataFrame(planned, _PLAN).withColumnsRenamed({"source": "of", "block": "of_block"})
+    met = blocked.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("of_block"))).drop("of", "of_block", "block")
+
+    # at most one block of each source is filled document by document: they are few, and only they meet this join
+    filled = met.filter("fill >= 0").select("source", "key", "size", "fill").groupBy("source").applyInPandas(_fill, "fill_source string, fill_key long")
+    taken = lambda copies: ["row", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), F.slice("shards", F.lit(1), copies.cast("int")).alias("shards")]
+    whole = met.filter("fill < 0").select(*taken(F.col("copies")))
+    some = met.filter("fill >= 0").join(filled, F.col("source").eqNullSafe(F.col("fill_source")) & (F.col("key") == F.col("fill_key")), "left")
+    some = some.select(*taken(F.col("copies") + F.col("fill_key").isNotNull().cast("int")))
+    names = zip(("size", "source_size", "target", "taken", "shards"), added, strict=True)
+    return whole.unionByName(some).select("row.*", *[F.col(c).alias(a) for c, a in names]), n_shards
 
 
 def _fill(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Which documents of a source's last block are taken once more: in hash order, each that still fits."""
+    """The documents of a source's last block that are taken once more: in hash order, each that still fits."""
     left, rows = float(pdf["fill"].iloc[0]) if len(pdf) else 0.0, []
-    for key, own in pdf.sort_values("mix_key").groupby("mix_key", sort=False):
-        size = int(own["mix_size"].sum())
+    for key, own in pdf.sort_values("key").groupby("key", sort=False):
+        size = int(own["size"].sum())
         if 0 < size <= left:
             left -= size
-            rows.append((pdf["plan_source"].iloc[0], key, 1))
-    return pd.DataFrame(rows, columns=["plan_source", "mix_key", "mix_more"]).astype({"mix_key": "int64", "mix_more": "int32"})
+            rows.append((pdf["source"].iloc[0], key))
+    return pd.DataFrame(rows, columns=["fill_source", "fill_key"]).astype({"fill_key": "int64"})
+
 
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int | None = None, seed: int = 17) -> DataFrame:
+    """The mix itself: rows of ``docs``, repeated as often as they are taken, a partition a shard and shuffled within it.
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: rows of ``docs``, repeated as often as they are taken, together by shard and shuffled within it."""
-    own = docs.columns
-    taken = assign(docs, **options).withColumn("mix_shard", F.explode("mix_shards"))
-    seed = options.get("seed", 17)
-    return taken.repartition("mix_shard").sortWithinPartitions("mix_shard", F.xxhash64(F.lit(seed + 1), F.col(options.get("id_col", "doc_id")))).select(*[F.col(f"`{c}`") for c in own])
+    Parameters and the cases of nulls, repeated rows, empty tables and column names are those of ``assign``.
+    """
+    of, spot = fresh(docs.columns, *ADDED, "mix_shard")[-2:]
+    taken, n = _assigned(docs, id_col, text_col, source_col, shards, seed)
+    each = taken.withColumn(spot, F.explode(col(of)))
+    order = F.xxhash64(F.lit(seed + 1), col(id_col).cast("string"))
+    return each.repartitionById(n, col(spot)).sortWithinPartitions(col(spot), order).select(*map(col, docs.columns))
