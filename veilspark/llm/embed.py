@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import components, cut
+from veilspark.llm.common import col, components, cut, tidy
 
 K, GROUP, BLOCK, AUDITED, LEAST_RECALL, ROUNDS, MOST = 8, 256, 1024, 64, 0.99, 2, 8
 
@@ -140,7 +140,7 @@ def _met(pairs: DataFrame, vectors: DataFrame, k: int, least: float, limit: int)
     sizes = pairs.groupBy("place").agg(F.ceil(F.count("*") / limit).alias("parts"))
     split = pairs.join(sizes, "place").withColumn("part", F.pmod(F.xxhash64("vec_id", "place"), F.col("parts")))
     members = split.join(vectors, "vec_id").groupBy("place", "part").agg(F.collect_list(F.struct("vec_id", "x")).alias("members"))
-    return members.select("members").mapInArrow(_best(k, least), _LIST)
+    return members.select("members").mapInArrow(tidy(_best(k, least)), _LIST)
 
 
 def _merged(lists: DataFrame, k: int, tag: str) -> DataFrame:
@@ -165,7 +165,7 @@ def _rest(codes: DataFrame, vectors: DataFrame, graph: DataFrame, cosine: float,
     own = placed.filter("open").select("place", "vec_id", of("lefts").alias("i"), every("rights").alias("j"), F.lit(True).alias("own"))
     met = placed.select("place", "vec_id", every("lefts").alias("i"), of("rights").alias("j"), F.lit(False).alias("own"))
     members = own.unionByName(met).join(vectors, "vec_id").groupBy("place", "i", "j").agg(F.collect_list(F.struct("vec_id", "x", "own")).alias("members"))
-    return members.select("members").mapInArrow(_best_of(k, cosine - 0.4), _LIST)
+    return members.select("members").mapInArrow(tidy(_best_of(k, cosine - 0.4)), _LIST)
 
 
 def _tables(n: int, cosine: float, more: int) -> tuple[int, int]:
@@ -253,7 +253,7 @@ def _across(full: DataFrame, vectors: DataFrame, n: int, cosine: float, more: in
     placed = codes.join(mixed, "place").withColumn("block", F.pmod(F.xxhash64("vec_id", "place"), F.col("blocks")).cast("int")).join(own, "vec_id")
     sent = placed.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("place", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), F.struct("comp", "block", "x").alias("m"))
     members = sent.groupBy("place", "i", "j").agg(F.collect_list("m").alias("members")).select("i", "j", "members")
-    return members.mapInArrow(_meet(cosine), "a long, b long").distinct()
+    return members.mapInArrow(tidy(_meet(cosine)), "a long, b long").distinct()
 
 
 def _settled(vectors: DataFrame, graph: DataFrame, cosine: float, k: int, more: int = 1) -> DataFrame:
@@ -280,7 +280,7 @@ def _counted(vectors: DataFrame, comp: DataFrame, cosine: float) -> DataFrame:
     sizes = comp.groupBy("super").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = comp.join(sizes, "super").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(vectors.withColumnRenamed("vec_id", "node"), "node")
     met = placed.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("super", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), F.struct(F.col("node").alias("vec_id"), "comp", "block", "x", "w").alias("m"))
-    counted = cut(met.groupBy("super", "i", "j").agg(F.collect_list("m").alias("members")).select("i", "j", "members").mapInArrow(_blocks(cosine), "vec_id long, n long, comps array<long>"), "counts")
+    counted = cut(met.groupBy("super", "i", "j").agg(F.collect_list("m").alias("members")).select("i", "j", "members").mapInArrow(tidy(_blocks(cosine)), "vec_id long, n long, comps array<long>"), "counts")
     links = counted.groupBy("vec_id").agg(F.sum("n").alias("n_links"))
     own = comp.select(F.col("node").alias("vec_id"), "comp")
     across = counted.join(own, "vec_id").select("comp", F.explode("comps").alias("other")).filter("comp <> other").select(F.col("comp").alias("a"), F.col("other").alias("b")).distinct()
@@ -338,11 +338,14 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vec_col: str = "em
     """Return ``(vec_id, n_links, component_id, kept)``, one row per input row.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do rows with a null
-    id. All vectors have one length. Rows that repeat an id share one vector and one result. Other columns are not read;
-    an empty table gives an empty result.
+    id, nor vectors of another length than the most frequent one (of equally frequent ones the shortest). Rows that
+    repeat an id are one vector, the one whose unit vector has the smallest bytes, and share its result. Other columns
+    are not read, so they may have any names; an empty table gives an empty result.
     """
-    rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
-    units = cut(rows.mapInArrow(_unit, "vec_id long, x binary").filter("x is not null and vec_id is not null").dropDuplicates(["vec_id"]), "units")
+    rows = table.select(col(id_col).cast("long").alias("vec_id"), col(vec_col).cast("array<double>").alias("v"))
+    all_ = cut(rows.mapInArrow(tidy(_unit), "vec_id long, x binary").filter("x is not null and vec_id is not null"), "units")
+    usual = all_.groupBy(F.length("x").alias("size")).count().orderBy(F.desc("count"), "size").limit(1).collect()
+    units = cut(all_.filter(F.length("x") == (usual[0]["size"] if usual else 0)).groupBy("vec_id").agg(F.min("x").alias("x")), "units")
     keyed = units.select("vec_id", F.unhex(F.md5("x")).alias("key"))
     classes = cut(keyed.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("w")), "classes")
     vectors = cut(units.join(classes.select(F.col("rep").alias("vec_id"), "w"), "vec_id"), "class-vectors")

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilspark.llm.common import col, tidy
+
 BASE = ("assign", "access", "hex")
 EXTRA = ("token", "pem", "ssh_key", "der", "der_hex", "pem_coded", "ssh_key_hex", "pem_hex")
 KINDS = BASE + EXTRA
@@ -30,7 +32,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{16,}")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----\s*((?:[A-Za-z0-9-]{1,40}:[^\n]*\n(?:[\x20\t][^\n]*\n)*)*)([A-Za-z0-9+/=\s]+)-----END \1-----")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{32,}(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]{16,})*(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]+(?==|(?![^\s])))?={0,2}")
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]{16,})*(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]+(?==|(?![^\s])))?={0,2}")
 _PLAIN = re.compile(r"[A-Za-z0-9+/]{32,}={0,2}")
 _FIRST = ("M", "AAAA", "LS0t", "b3Bl")
 _LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{40,}")
@@ -183,9 +185,10 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Return ``(doc_id, spans)``, one row per input row: spans ``(kind, start, end, base)`` by start, then kind.
 
-    Offsets count code points, end exclusive. Null text is empty and has no spans. Repeated rows get equal results; other
-    columns are not read; an empty table gives an empty result.
+    Offsets count code points, end exclusive. Null text is empty and has no spans; texts of any length are read whole.
+    Repeated rows, and rows that share an id or have none, get results of their own; other columns are not read, so they
+    may have any names; an empty table gives an empty result.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    return rows.mapInArrow(_find, f"doc_id {kind}, spans array<struct<kind:string,start:long,end:long,base:boolean>>")
+    rows = docs.select(col(id_col).alias("doc_id"), F.coalesce(col(text_col).cast("string"), F.lit("")))
+    return rows.mapInArrow(tidy(_find), f"doc_id {kind}, spans array<struct<kind:string,start:long,end:long,base:boolean>>")
