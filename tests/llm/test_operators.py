@@ -6,15 +6,12 @@ import base64
 import hashlib
 import math
 import re
-import zlib
-from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pytest
 
-from veilspark.llm import bpe, chat, embed, exact_dedup, lm, minhash, mixing, pii, quality, secrets
-from veilspark.llm import elias_fano as ef
+from veilspark.llm import bpe, chat, embed, exact_dedup, minhash, mixing, pii, quality, secrets
 from veilspark.llm.queries import tokenizer_path
 
 BASE = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
@@ -218,27 +215,6 @@ def test_mixing(spark, none):
     assert dealt.sum(axis=0).tolist() == [7, 0, 30] and np.ptp(dealt.sum(axis=1)) <= 3
 
 
-def test_lm(docs, none):
-    out = _by_id(lm.score(docs))
-    fold = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
-    tokens = {i: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(fold)), None] for i, t in enumerate(TEXTS)}
-    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in tokens}
-    c = Counter(w for i, ws in tokens.items() if not held[i] for w in ws)
-    n, v = sum(c.values()), len(c)
-    for i, ws in tokens.items():
-        assert (out[i].held_out, out[i].n_tokens, out[i].n_known, out[i].train_tokens) == (held[i], len(ws), sum(c[w] > 0 for w in ws), n)
-        assert math.isclose(out[i].base_score, sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws), rel_tol=1e-9)
-    assert lm.score(none).count() == 0
-
-
-def test_elias_fano():
-    x = np.unique(np.random.default_rng(1).integers(0, 1 << 52, 5000, dtype=np.uint64))
-    s = ef.Sequence(ef.encode(x, 52))
-    assert (s.values() == x).all() and (s.find(x) == np.arange(len(x))).all()
-    assert (s.find(x[:-1] + np.uint64(1)) >= 0).sum() == np.isin(x[:-1] + np.uint64(1), x).sum()
-    assert ef.Sequence(ef.encode(x[:0], 52)).find(x[:3]).tolist() == [-1, -1, -1]
-
-
 def test_quality(spark, none):
     good = "The river of this land was and is in the care of many people. It runs to the sea, and it is long."
     rows = [(i, f"{good} Word{i} and more of it. {good}", "s") for i in range(200)] + [(200 + i, f"SHOUT{i}!! " * 40 if i % 2 else f"a{i}*** b%%% c{i}$$$ d&&& " * 20, "s") for i in range(30)] + [(300, None, "s"), (301, "", "s")]
