@@ -183,7 +183,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", keep: tuple[str,
                 yield pa.RecordBatch.from_arrays([*own, *(make[o](ids, text) for o in outputs)], [*keep, *outputs])
                 start = end
 
-    rows = docs.select(*map(col, keep), col(text_col).cast("string").alias("text_to_encode"))
+    rows = docs.select(*[col(c).alias(f"k{k}") for k, c in enumerate(keep)], col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(tidy(run, forget), ", ".join([*types, *(f"{o} {OUTPUTS[o]}" for o in outputs)]))
 
 
@@ -201,4 +201,4 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", keep: tuple[str, ...]
             text = [tok.decode(np.array([i for i in x or [] if i is not None], np.int64)) for x in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), pa.array(text, pa.string())], [*keep, "decoded"])
 
-    return df.select(*map(col, keep), col(ids_col)).mapInArrow(tidy(run, forget), ", ".join([*types, "decoded string"]))
+    return df.select(*[col(c).alias(f"k{k}") for k, c in enumerate(keep)], col(ids_col).alias("ids")).mapInArrow(tidy(run, forget), ", ".join([*types, "decoded string"]))

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 #: Bits of a broadcast bitmap: sized from its keys between these, so it has half a megabyte to 32 MB at any input size.
 LEAST_BITS, MOST_BITS = 1 << 22, 1 << 28
 _ROW_BITS = 32768
-#: Nodes with more edges than this, or than a share of all edges, are joined by broadcast: at most HUBS of them.
-HUB_EDGES, HUBS = 1000, 20_000
+#: Keys with more rows than this, and than a share of all rows, are joined by broadcast: HUBS of them at most.
+HUB_ROWS, HUBS = 1000, 20_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -107,31 +107,41 @@ def drop_rows(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
     return flagged.filter(~col(maybe)).select(*map(col, own)).unionByName(suspects.select(*map(col, own)))
 
 
+def meet(rows: DataFrame, key: str, table: DataFrame, of: str, n: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined to the one row of ``table`` whose ``of`` is their ``key``; ``n`` tells how many rows that is, of ``total`` in all.
+
+    Keys of many rows, HUBS of them at most, are met by broadcast, so that no task gets all rows of one.
+    """
+    least = max(HUB_ROWS, total // HUBS)
+    if total <= least:
+        return rows.join(table, col(key) == col(of), how)
+    own, other = [col(c) for c in rows.columns], table.columns
+    hot = table.filter(col(n) > least).toDF(*[f"hot_{c}" for c in other])
+    flagged = rows.join(F.broadcast(hot), col(key) == col(f"hot_{of}"), "left")
+    near = flagged.filter(col(f"hot_{of}").isNotNull()).select(*own, *[col(f"hot_{c}").alias(c) for c in other])
+    far = flagged.filter(col(f"hot_{of}").isNull()).select(*own).join(table.filter(col(n) <= least), col(key) == col(of), how)
+    return near.unionByName(far)
+
+
 def components(edges: DataFrame, tag: str) -> DataFrame:
     """Connected components of undirected ``edges(a, b)``: returns ``(node, comp)``, comp the smallest node of each component.
 
-    Alternating large-star and small-star rounds until nothing moves. Neighbours are combined before each shuffle; the
-    edges of hubs, of which there are HUBS at most, meet their minimum by broadcast, so no task gets all edges of one.
+    Alternating large-star and small-star rounds until nothing moves. Neighbours are combined before each shuffle, and
+    the edges of hubs meet their minimum by broadcast.
     """
     e = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), tag)
 
-    def lowest(own: DataFrame, both: DataFrame, edges_now: int) -> DataFrame:
+    def lowest(own: DataFrame, both: DataFrame, total: int) -> DataFrame:
         """``own(u, v)`` with ``m``, the smallest neighbour of ``u`` in ``both`` or itself."""
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"), "n")
-        least = max(HUB_EDGES, 2 * edges_now // HUBS)
-        if 2 * edges_now <= least:
-            return own.join(low, F.col("u") == F.col("w")).select("u", "v", "m")
-        hubs = F.broadcast(low.filter(F.col("n") > least).select(F.col("w").alias("hub"), F.col("m").alias("hub_m")))
-        flagged = own.join(hubs, F.col("u") == F.col("hub"), "left")
-        far = flagged.filter("hub is null").select("u", "v").join(low.filter(F.col("n") <= least), F.col("u") == F.col("w")).select("u", "v", "m")
-        return flagged.filter("hub is not null").select("u", "v", F.col("hub_m").alias("m")).unionByName(far)
+        return meet(own, "u", low, "w", "n", total).select("u", "v", "m")
 
     now, before = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head(), None
     while now != before:
         before = now
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = lowest(both.filter("v > u"), both, now[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        small = lowest(large, large, now[0]).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("p"))
+        large = lowest(both.filter("v > u"), both, 2 * now[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        small = lowest(large, large, 2 * now[0]).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("p"))
         e = cut(small.select("p.u", "p.v").filter("u <> v").distinct(), tag)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
     ends = e.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(e.select(F.col("v").alias("node"), F.col("v").alias("comp")))

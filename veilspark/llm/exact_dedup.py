@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import bitmap_bits, bitmap_of, col, cut, drop_rows, keyed_rows, with_hit
+from veilspark.llm.common import bitmap_bits, bitmap_of, col, cut, drop_rows, keyed_rows, meet, with_hit
 
 PREFIX_CHARS = 64
 
@@ -39,7 +39,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     full = F.sha2(F.col("norm"), 256)
     hashed = cut(flagged.select("doc_id", "alive", (full if digest_all else F.when(F.col("alive"), full)).alias("text_sha256")), "exact")
     seen = hashed.filter("alive")
-    groups = seen.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1")
+    groups = seen.groupBy(F.col("text_sha256").alias("of")).agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1")
     cols = [
         "doc_id",
         F.coalesce("keep_id", "doc_id").alias("keep_id"),
@@ -48,7 +48,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "text_sha256",
     ]
     lone = hashed.filter("not alive").withColumns({"keep_id": F.col("doc_id"), "group_size": F.lit(1)})
-    return seen.join(groups, "text_sha256", "left").select(*cols).unionByName(lone.select(*cols))
+    return meet(seen, "text_sha256", groups, "of", "group_size", seen.count(), "left").select(*cols).unionByName(lone.select(*cols))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from veilspark.llm import words
-from veilspark.llm.common import bitmap_bits, bitmap_of, col, components, cut, drop_rows, keyed_rows, tidy, with_hit
+from veilspark.llm.common import bitmap_bits, bitmap_of, col, components, cut, drop_rows, keyed_rows, meet, tidy, with_hit
 
 SHINGLE, BANDS, ROWS = 5, 40, 5
 #: A pair is verified when its sketches agree in at least this share of coordinates: six standard deviations
@@ -80,7 +80,8 @@ def _set_key(x: np.ndarray, doc: np.ndarray, n_docs: int, count: np.ndarray) ->
     out = np.zeros((n_docs, 2), np.uint64)
     at = np.concatenate([[0], np.cumsum(count)])
     for k, seed in enumerate((0xA0761D6478BD642F, 0xE7037ED1A0B428DB)):
-        sums = np.concatenate([[0], np.cumsum(words.mix(x ^ np.uint64(seed)))]).astype(np.uint64)
+        sums = np.zeros(len(x) + 1, np.uint64)
+        np.cumsum(words.mix(x ^ np.uint64(seed)), out=sums[1:])
         out[:, k] = words.mix(sums[at[1:]] - sums[at[:-1]] + count.astype(np.uint64))
     return [row.tobytes() for row in out]
 
@@ -203,8 +204,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table = cut(sketched.withColumn("row", F.monotonically_increasing_id()), "sketch")
     real = table.filter("n_shingles > 0 and doc_id is not null")
     # equal sets are one node, known by a number of its own and represented by the row with the smallest id
-    first = real.groupBy("set_key").agg(F.min(F.struct("doc_id", "row")).alias("first"))
-    classes = cut(first.select("set_key", F.col("first.doc_id").alias("rep"), F.col("first.row").alias("row"), F.monotonically_increasing_id().alias("node")), "classes")
+    first = real.groupBy("set_key").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("copies"))
+    classes = cut(first.select("set_key", "copies", F.col("first.doc_id").alias("rep"), F.col("first.row").alias("row"), F.monotonically_increasing_id().alias("node")), "classes")
     reps = real.select("row", "n_shingles", "band_keys", "sig").join(classes.select("row", "node"), "row")
     by_band = reps.select("node", F.explode("band_keys").alias("bucket"))
     crowded = by_band.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("size")).filter("lo < hi").select("bucket", "size")
@@ -232,14 +233,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = labelled(links, "rest").join(wanted, "node")
 
     lowest = labels.groupBy("comp").agg(F.min("rep").alias("component"), F.count("*").alias("n")).filter("n > 1").select("comp", "component")
-    moved = classes.select("set_key", "rep").join(labels.join(lowest, "comp").select("set_key", "component"), "set_key", "left").select("set_key", F.coalesce("component", "rep").alias("comp"))
+    # a class that stands for itself only, and is no copy, needs no look-up
+    linked = labels.join(lowest, "comp").select(F.col("set_key").alias("moved_key"), "component")
+    moved = classes.join(linked, F.col("set_key") == F.col("moved_key"), "left").filter("copies > 1 or component is not null").select(F.col("set_key").alias("of"), "copies", F.coalesce("component", "rep").alias("comp"))
     own: Column = F.col("doc_id")
-    return (
-        table.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & own.isNotNull(), F.col("set_key")).alias("set_key"))
-        .withColumn("set_key", F.coalesce("set_key", F.encode(F.concat(F.lit("empty"), F.coalesce(own.cast("string"), F.lit(""))), "UTF-8")))
-        .join(moved, "set_key", "left")
-        .select("doc_id", "n_shingles", F.coalesce("comp", own).alias("component_id"), own.eqNullSafe(F.coalesce("comp", own)).alias("kept"))
-    )
+    told = lambda comp: ["doc_id", "n_shingles", comp.alias("component_id"), own.eqNullSafe(comp).alias("kept")]
+    met = meet(real.select("doc_id", "n_shingles", "set_key"), "set_key", moved, "of", "copies", table.count(), "left").select(*told(F.coalesce("comp", own)))
+    return met.unionByName(table.filter("n_shingles = 0 or doc_id is null").select(*told(own)))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
