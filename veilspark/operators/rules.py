@@ -7,8 +7,11 @@ rejection is true where a match is no result.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from contextvars import ContextVar
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,6 +36,8 @@ class Rule:
     groups: int = 0
     flags: str = "(?ismU)"
     thresholds: tuple[tuple[str, float], ...] = ()
+    #: A cheap pattern that every text with a match has a match of.
+    guard: str | None = None
 
     def __post_init__(self) -> None:
         if not self.name or not self.entity or not self.patterns:
@@ -249,20 +254,89 @@ def _email_ok(t: Column) -> Column:
     return last.rlike("^[a-z]{2}$") | last.isin(*SUFFIXES)
 
 
-#: Length of an account number by country, from the public register.
-IBAN_LENGTHS = dict(
-    AD=24, AE=23, AL=28, AT=20, AZ=28, BA=20, BE=16, BG=22, BH=22, BR=29, BY=28, CH=21, CR=22, CY=28, CZ=24, DE=22, DK=18, DO=28, EE=20, EG=29, ES=24, FI=18, FO=18, FR=27, GB=22, GE=22, GI=23, GL=18, GR=27, GT=28,
-    HR=21, HU=28, IE=22, IL=23, IQ=23, IS=26, IT=27, JO=30, KW=30, KZ=20, LB=28, LC=32, LI=21, LT=20, LU=20, LV=21, MC=27, MD=24, ME=22, MK=19, MR=27, MT=31, MU=30, NL=18, NO=15, PK=24, PL=28, PS=29, PT=25, QA=29,
-    RO=24, RS=22, SA=24, SC=31, SE=24, SI=19, SK=24, SM=27, ST=25, SV=28, TL=23, TN=24, TR=26, UA=29, VA=22, VG=24, XK=20,
+# What follows country and check digits in an account number, by country: n digits, a capitals, c either.
+IBAN_FORMATS = dict(
+    AD="8n12c", AE="19n", AL="8n16c", AT="16n", AZ="4c20n", BA="16n", BE="12n", BG="4a6n8c", BH="4a14c", BR="23n1a1c", BY="4c4n16c", CH="5n12c", CR="1z17n", CY="8n16c", CZ="20n", DE="18n", DK="14n", DO="4a20n",
+    EE="16n", EG="25n", ES="20n", FI="14n", FO="14n", FR="10n11c2n", GB="4a14n", GE="2c16n", GI="4a15c", GL="14n", GR="7n16c", GT="24c", HR="17n", HU="24n", IE="4c14n", IL="19n", IQ="4a15n", IS="22n", IT="1a10n12c",
+    JO="4a22n", KW="4a22c", KZ="3n13c", LB="4n20c", LC="4a24c", LI="5n12c", LT="16n", LU="3n13c", LV="4a13c", LY="21n", MC="10n11c2n", MD="20c", ME="18n", MK="3n10c2n", MR="23n", MT="4a5n18c", MU="4a19n1a", NL="4a10n",
+    NO="11n", PK="4c16n", PL="24n", PS="4c21n", PT="21n", QA="4a21c", RO="4a16c", RS="18n", SA="2n18c", SC="4a20n3a", SE="20n", SI="15n", SK="20n", SM="1a10n12c", TL="19n", TN="20n", TR="5n17c", UA="6n19c", VA="18n",
+    VG="4c16n", XK="16n",
 )
+_KINDS = {"n": "[0-9]", "a": "[A-Z]", "c": "[a-zA-Z0-9]", "z": "0"}
+_IBAN_WHOLE = "^(?:" + "|".join(k + "[0-9]{2}" + re.sub(r"([0-9]+)([nacz])", lambda m: f"{_KINDS[m[2]]}{{{m[1]}}}", f) for k, f in IBAN_FORMATS.items()) + ")$"
 
 
 def _iban(t: Column) -> Column:
+    """Check digits and the country's format; no verdict where only the upper-cased number has it."""
     plain = F.translate(t, "- ", "")
-    known = F.expr("map(" + ",".join(f"'{k}',{n}" for k, n in IBAN_LENGTHS.items()) + ")")
     up = F.upper(plain)
-    good = C.mod97(up) & (F.length(up) == F.try_element_at(known, F.substring(up, 1, 2)))
-    return F.when(~F.coalesce(good, F.lit(False)), False).when(plain == up, True)
+    good = C.mod97(up) & F.substring(up, 3, 2).between("02", "98")
+    return F.when(~F.coalesce(good, F.lit(False)) | ~up.rlike(_IBAN_WHOLE), False).when(plain.rlike(_IBAN_WHOLE), True)
+
+
+#: The day that rules against future dates go by, as yyyy-MM-dd; None: the day of the query.
+AS_OF: ContextVar[str | None] = ContextVar("as_of", default=None)
+
+
+def _this_year() -> Column:
+    day = AS_OF.get()
+    return F.year(F.current_date() if day is None else F.lit(day).cast("date"))
+
+
+def _region_code(t: Column) -> Column:
+    d = C.only(t)
+    return (F.length(d) == 12) & (F.substring(d, 1, 2).isin(*[str(n) for n in range(11, 27)], "28"))
+
+
+# Weights, alphabets and kinds of entity of the Singapore number.
+_UEN_A, _UEN_A_LETTERS = (10, 4, 9, 3, 8, 2, 7, 1), "XMKECAWLJDB"
+_UEN_B, _UEN_B_LETTERS = (10, 8, 6, 4, 9, 7, 5, 3, 1), "ZKCMDNERGWH"
+_UEN_C, _UEN_C_LETTERS = (4, 3, 5, 3, 10, 2, 2, 5, 7), "ABCDEFGHJKLMNPQRSTUVWX0123456789"
+_UEN_KINDS = "LP LL FC PF RF MQ MM NB CC CS MB FM GS DP CP NR CM CD MD HS VH CH MH CL XL CX HC RP TU TC FB FN PA PB SS MC SM GA GB".split()
+
+
+def _uen(t: Column) -> Column:
+    u = F.upper(t)
+    last = F.substr(u, F.length(u), F.lit(1))
+    letter = lambda letters, place: F.substr(F.lit(letters), (place % 11 + 1).cast("int"), F.lit(1))
+    place = lambda i: F.instr(F.lit(_UEN_C_LETTERS), F.substring(u, i + 1, 1)) - 1
+    total = sum((place(i) * w for i, w in enumerate(_UEN_C)), F.lit(0))
+    known = F.substring(u, 1, 9).rlike(f"^[{_UEN_C_LETTERS}]*$")
+    kind_c = F.substring(u, 1, 1).isin("T", "S", "R") & F.substring(u, 4, 2).isin(*_UEN_KINDS) & known & (letter(_UEN_C_LETTERS, F.pmod(total - 5, F.lit(11))) == last)
+    kind_a = letter(_UEN_A_LETTERS, C.weighted(u, _UEN_A)) == last
+    kind_b = (letter(_UEN_B_LETTERS, C.weighted(u, _UEN_B)) == last) & (F.substring(u, 1, 4).try_cast("int") <= _this_year())
+    return F.coalesce(F.when(F.length(u) == 9, kind_a).when(F.substring(u, 1, 1).rlike("[A-Z]"), kind_c).otherwise(kind_b), F.lit(False))
+
+
+def _za_company(t: Column) -> Column:
+    year = F.regexp_extract(F.upper(t), r"^(?:CK|K|T|W|B|M|NR|N)?(\d{4})/", 1).try_cast("int")
+    return F.coalesce(year.between(1800, _this_year()), F.lit(False))
+
+
+def _za_plate(t: Column) -> Column:
+    u = F.upper(F.translate(t, "- ", ""))
+    return (F.length(u) >= 5) & F.substr(u, F.length(u) - 1, F.lit(2)).isin(*"GP ZN WP EC NC FS LP MP NW".split()) & F.substr(u, F.lit(1), F.length(u) - 2).rlike("[A-Z]")
+
+
+# Districts of registration offices by state, as ranges.
+_IN_DISTRICTS = dict(
+    AN="1", AP="39-40", AR="1-17,19-20,22", AS="1-20,22-34", BR="1-11,19,21-22,24-34,37-39,43-46,50-53,55-56", CG="1-30", CH="1-4", DD="1-3", DN="9", DL="1-13", GA="1-12", GJ="1-39", HP="1-20,22-99", HR="1-20,22-99",
+    JH="1-20,22-24", JK="1-20,22", KA="1-20,22-71", KL="1-20,22-99", LA="1-2", LD="1-9", MH="1-20,22-51", ML="1-10", MN="1-7", MP="1-20,22-71", MZ="1-8", NL="1-10", OD="1-20,22-35", OR="1-20,22-31", PB="1-20,22-99",
+    PY="1-5", RJ="1-20,22-58", SK="1-8", TN="1-20,22-99", TR="1-8", TS="1-20,22-38", UK="1-20", UP="11-20,22-96", WB="1-20,22-98",
+)
+
+
+def _in_vehicle(t: Column) -> Column:
+    """True for a known district; else no verdict. Only Delhi and Gujarat write districts with one digit."""
+    u = F.upper(F.translate(t, "-: ", ""))
+    state, code = F.substring(u, 1, 2), F.regexp_extract(u, r"^[A-Z]{2}(\d{1,2})", 1)
+    number = code.try_cast("int")
+    within = F.lit(False)
+    for name, ranges in _IN_DISTRICTS.items():
+        spans = [r.split("-") for r in ranges.split(",")]
+        within = within | ((state == name) & reduce(lambda a, b: a | b, [number.between(int(r[0]), int(r[-1])) for r in spans]))
+    good = (F.length(u) >= 8) & within & ((F.length(code) == 2) | state.isin("DL", "GJ")) & F.substr(u, F.length(u) - 3, F.lit(4)).rlike("^[0-9]{4}$") & (F.substr(u, F.length(u) - 3, F.lit(4)) != "0000")
+    return F.when(F.coalesce(good, F.lit(False)), True)
 
 
 _TLD = "(?:com|edu|gov|int|mil|net|org|pro|red|tel|xxx|academy|agency|app|art|asia|bank|best|bike|bio|biz|blog|build|business|cafe|care|careers|center|chat|city|clinic|cloud|club|codes|company|consulting|cool|design|dev|digital|direct|earth|education|email|energy|events|expert|finance|fit|fun|fund|gallery|global|group|guide|health|help|host|house|info|ink|institute|international|land|law|legal|life|link|live|ltd|market|marketing|media|mobi|money|name|network|news|online|page|partners|photo|photos|pics|plus|press|pub|rentals|report|rest|review|reviews|run|sale|school|science|services|shop|site|social|software|solutions|space|store|studio|style|support|systems|team|tech|technology|tips|today|tools|top|tours|town|trade|training|travel|university|video|vip|vote|website|wiki|win|work|works|world|xyz|zone|[a-z]{2})"
@@ -273,7 +347,7 @@ _ISO = r"\d{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])T[0-2]\d:[0-5]\d"
 _ZONE = r"([+-][0-2]\d:[0-5]\d|Z)"
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
 _H, _P6 = "[0-9A-Fa-f]{1,4}", r"(?:/(?:12[0-8]|1[01]\d|[1-9]?\d))?"
-_LABEL = r"(?:\s*(?:#|no\.?|number|id)\s*:?\s*|\s*:\s*|\s+)"
+_LABEL = r"(?:\s{0,4}(?:#|no\.?|number|id)\s{0,4}:?\s{0,4}|\s{0,4}:\s{0,4}|\s{1,4})"  # a lookbehind has a greatest length, so four blanks at most
 _MBI_N, _MBI_A, _MBI_X = "[0-9]", "[ACDEFGHJKMNPQRTUVWXY]", "[0-9ACDEFGHJKMNPQRTUVWXY]"
 _EIN = "(?:0[1-6]|1[0-6]|2[0-7]|3[0-9]|4[0-8]|5[0-9]|6[0-8]|7[1-7]|8[0-8]|9[0-5]|9[89])"
 
@@ -283,26 +357,35 @@ def _w(words: str) -> tuple[str, ...]:
 
 
 GENERIC = (
-    Rule("CreditCard", "CREDIT_CARD", ((r"\b(?!1\d{12}(?!\d))((4\d{3})|(5[0-5]\d{2})|(6\d{3})|(1\d{3})|(3\d{3}))[- ]?(\d{3,4})[- ]?(\d{3,4})[- ]?(\d{3,5})\b", 0.3),), _w("credit,card,visa,mastercard,cc ,amex,discover,jcb,diners,maestro,instapayment"), check=_card, enabled=True),
+    Rule("CreditCard", "CREDIT_CARD", ((r"\b(?!1\d{12}(?!\d))((4\d{3})|(5[0-5]\d{2})|(6\d{3})|(1\d{3})|(3\d{3}))[- ]?(\d{3,4})[- ]?(\d{3,4})[- ]?(\d{3,5})\b", 0.3),), _w("credit,card,visa,mastercard,cc ,amex,discover,jcb,diners,maestro,instapayment"), check=_card, enabled=True, guard=r"(?U)\d"),
     Rule("Date", "DATE_TIME", (
         (rf"\b(?:({_ISO}:[0-5]\d\.\d+{_ZONE})|({_ISO}:[0-5]\d{_ZONE})|({_ISO}{_ZONE}))\b", 0.8),
         (rf"\b({_M}/{_D}/(\d{{4}}|\d{{2}}))\b", 0.6), (rf"\b({_D}/{_M}/(\d{{4}}|\d{{2}}))\b", 0.6), (rf"\b(\d{{4}}/{_M}/{_D})\b", 0.6), (rf"\b({_M}-{_D}-\d{{4}})\b", 0.6), (rf"\b({_D}-{_M}-\d{{4}})\b", 0.6), (rf"\b(\d{{4}}-{_M}-{_D})\b", 0.6),
         (rf"\b({_D}\.{_M}\.(\d{{4}}|\d{{2}}))\b", 0.6), (rf"\b({_D}-{_MONTHS}-(\d{{4}}|\d{{2}}))\b", 0.6), (rf"\b({_MONTHS}-(\d{{4}}|\d{{2}}))\b", 0.6), (rf"\b({_D}-{_MONTHS})\b", 0.6), (rf"\b({_M}/\d{{4}})\b", 0.2), (rf"\b({_M}/\d{{2}})\b", 0.1),
-    ), _w("date,birthday"), enabled=True),
-    Rule("Email", "EMAIL_ADDRESS", ((r"\b((([!#$%&'*+\-/=?^_`{|}~\w])|([!#$%&'*+\-/=?^_`{|}~\w][!#$%&'*+\-/=?^_`{|}~\.\w]{0,}[!#$%&'*+\-/=?^_`{|}~\w]))[@]\w+(?:-+\w+)*(?:\.\w+(?:-+\w+)*)+)\b", 0.5),), _w("email"), check=_email_ok, enabled=True),
-    Rule("Crypto", "CRYPTO", ((r"(bc1|[13])[a-zA-HJ-NP-Z0-9]{25,59}", 0.5),), _w("wallet,btc,bitcoin,crypto"), check=_wallet, enabled=True),
-    Rule("Iban", "IBAN_CODE", ((r"(?<![A-Z0-9])([A-Z]{2}[0-9]{2}(?:[ -]?[A-Z0-9]{4}){2,6})((?:[ -]?[A-Z0-9]{4})?)((?:[ -]?[A-Z0-9]{1,3})?)(?![A-Z0-9])", 0.5),), _w("iban,bank,transaction"), check=_iban, groups=3, enabled=True),
+    ), _w("date,birthday"), enabled=True, guard=r"(?U)\d"),
+    Rule("Email", "EMAIL_ADDRESS", ((r"\b((([!#$%&'*+\-/=?^_`{|}~\w])|([!#$%&'*+\-/=?^_`{|}~\w][!#$%&'*+\-/=?^_`{|}~\.\w]{0,}[!#$%&'*+\-/=?^_`{|}~\w]))[@]\w+(?:-+\w+)*(?:\.\w+(?:-+\w+)*)+)\b", 0.5),), _w("email"), check=_email_ok, enabled=True, guard="@"),
+    Rule("Crypto", "CRYPTO", ((r"(bc1|[13])[a-zA-HJ-NP-Z0-9]{25,59}", 0.5),), _w("wallet,btc,bitcoin,crypto"), check=_wallet, enabled=True, guard="(?i)bc1|[13]"),
+    Rule("Iban", "IBAN_CODE", ((r"(?<![A-Z0-9])([A-Z]{2}[0-9]{2}(?:[ -]?[A-Z0-9]{4}){2,6})((?:[ -]?[A-Z0-9]{4})?)((?:[ -]?[A-Z0-9]{1,3})?)(?![A-Z0-9])", 0.5),), _w("iban,bank,transaction"), check=_iban, groups=3, enabled=True, guard="[0-9]{2}"),
     Rule("Ip", "IP_ADDRESS", (
         (rf"(?<![\w:])::(?:ffff(?::0{{1,4}})?:)?(?:{_OCTET}\.){{3}}{_OCTET}{_P6}\b", 0.6),
         (rf"(?<![\w:])(?:(?:{_H}:){{1,5}}:(?:{_H}:){{0,4}}|(?:{_H}:){{6}})(?:{_OCTET}\.){{3}}{_OCTET}{_P6}\b", 0.6),
         (rf"\b{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}(?:/(?:[0-2]?\d|3[0-2]))?\b", 0.6),
         (rf"(?<![\w:])(?:(?:{_H}:){{7}}{_H}|(?:{_H}:){{1,7}}:|:(?::{_H}){{1,7}}|(?:{_H}:){{1,6}}:{_H}|(?:{_H}:){{1,5}}(?::{_H}){{1,2}}|(?:{_H}:){{1,4}}(?::{_H}){{1,3}}|(?:{_H}:){{1,3}}(?::{_H}){{1,4}}|(?:{_H}:){{1,2}}(?::{_H}){{1,5}}|{_H}:(?::{_H}){{1,6}}|:(?::{_H}){{1,6}})(?:%[0-9a-zA-Z]+)?{_P6}(?![\w:]|\.\d)", 0.6),
         (rf"(?<![\w:])::{_P6.replace('))?', '))?')}(?![\w:])", 0.1),
-    ), _w("ip,ipv4,ipv6"), reject=_ip_bad, enabled=True),
-    Rule("MacAddress", "MAC_ADDRESS", ((r"\b[0-9A-Fa-f]{2}([:-])(?:[0-9A-Fa-f]{2}\1){4}[0-9A-Fa-f]{2}\b", 0.6), (r"\b[0-9A-Fa-f]{4}\.[0-9A-Fa-f]{4}\.[0-9A-Fa-f]{4}\b", 0.6)), _w("mac,mac address,hardware address,physical address,ethernet"), reject=_mac_bad, enabled=True),
-    Rule("Phone", "PHONE_NUMBER", ((r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)", 0.4), (r"(?<![\w+.-])\(?[2-9]\d{2}\)?[ .-]\d{3}[ .-]\d{4}(?![\w-])", 0.4)), _w("phone,number,telephone,cell,cellphone,mobile,call"), enabled=True),
-    Rule("Url", "URL", ((rf"(?:https?://){_URL}", 0.6), (_URL, 0.5), (rf"[\"'](https?://{_URL})[\"']", 0.6), (rf"[\"']({_URL})[\"']", 0.5)), _w("url,website,link"), enabled=True),
-    Rule("Uuid", "UUID", ((r"\b[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}\b", 0.5),), _w("uuid,guid,unique identifier"), reject=_uuid_bad, enabled=True),
+    ), _w("ip,ipv4,ipv6"), reject=_ip_bad, enabled=True, guard="[0-9]\\.[0-9]|:"),
+    Rule("MacAddress", "MAC_ADDRESS", ((r"\b[0-9A-Fa-f]{2}([:-])(?:[0-9A-Fa-f]{2}\1){4}[0-9A-Fa-f]{2}\b", 0.6), (r"\b[0-9A-Fa-f]{4}\.[0-9A-Fa-f]{4}\.[0-9A-Fa-f]{4}\b", 0.6)), _w("mac,mac address,hardware address,physical address,ethernet"), reject=_mac_bad, enabled=True, guard="[0-9A-Fa-f]{2}[:.-]"),
+    Rule("Phone", "PHONE_NUMBER", tuple((p, 0.4) for p in (
+        r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)",  # any country code
+        r"(?<![\w+.-])\(?[2-9]\d{2}\)?[ .-]\d{3}[ .-]\d{4}(?![\w-])",  # US, CA
+        r"(?<![\w+.-])\(?0(?:20[ )]{0,2}[ -]?\d{4}[ -]?\d{4}|1\d{3}\)?[ -]?\d{6}|1\d{2}\)?[ -]\d{3}[ -]?\d{4}|7\d{3}[ -]?\d{6}|7\d{3}[ -]\d{3}[ -]\d{3})(?![\w-])",  # GB
+        r"(?<![\w+.-])\(?0[1-9]\d{1,4}\)?[ ]?[/-][ ]?\d{4,8}(?![\w-])",  # DE
+        r"(?<![\w+.-])0[1-9](?:[ .]\d{2}){4}(?![\w-])",  # FR
+        r"(?<![\w+.-])0(?:[23489]|5\d|7\d)-\d{3}-?\d{4}(?![\w-])",  # IL
+        r"(?<![\w+.-])[6-9]\d{4}[ -]\d{5}(?![\w-])",  # IN
+        r"(?<![\w+.-])\([1-9]\d\)[ ]?9?\d{4}-\d{4}(?![\w-])",  # BR
+    )), _w("phone,number,telephone,cell,cellphone,mobile,call"), enabled=True, guard=r"(?U)\d"),
+    Rule("Url", "URL", ((rf"(?:https?://){_URL}", 0.6), (_URL, 0.5), (rf"[\"'](https?://{_URL})[\"']", 0.6), (rf"[\"']({_URL})[\"']", 0.5)), _w("url,website,link"), enabled=True, guard="\\."),
+    Rule("Uuid", "UUID", ((r"\b[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}\b", 0.5),), _w("uuid,guid,unique identifier"), reject=_uuid_bad, enabled=True, guard="[0-9A-Fa-f]{8}-"),
 )
 
 US = tuple(Rule(country="us", **r) for r in (
@@ -311,11 +394,11 @@ US = tuple(Rule(country="us", **r) for r in (
     dict(name="UsBank", entity="US_BANK_NUMBER", patterns=((r"\b[0-9]{8,17}\b", 0.05),), context=_w("check,account,account#,acct,bank,save,debit"), enabled=True),
     dict(name="UsLicense", entity="US_DRIVER_LICENSE", patterns=((r"\b([A-Z][0-9]{3,6}|[A-Z][0-9]{5,9}|[A-Z][0-9]{6,8}|[A-Z][0-9]{4,8}|[A-Z][0-9]{9,11}|[A-Z]{1,2}[0-9]{5,6}|H[0-9]{8}|V[0-9]{6}|X[0-9]{8}|A-Z]{2}[0-9]{2,5}|[A-Z]{2}[0-9]{3,7}|[0-9]{2}[A-Z]{3}[0-9]{5,6}|[A-Z][0-9]{13,14}|[A-Z][0-9]{18}|[A-Z][0-9]{6}R|[A-Z][0-9]{9}|[A-Z][0-9]{1,12}|[0-9]{9}[A-Z]|[A-Z]{2}[0-9]{6}[A-Z]|[0-9]{8}[A-Z]{2}|[0-9]{3}[A-Z]{2}[0-9]{4}|[A-Z][0-9][A-Z][0-9][A-Z]|[0-9]{7,8}[A-Z])\b", 0.3), (r"\b([0-9]{6,14}|[0-9]{16})\b", 0.01)), context=_w("driver,license,permit,lic,identification,dls,cdls,lic#,driving"), enabled=True),
     dict(name="UsHealthInsuranceMemberId", entity="US_HEALTH_INSURANCE_MEMBER_ID", patterns=((r"\b(?=[A-Z0-9-]{6,20}\b)(?=[A-Z0-9-]*[A-Z])(?=[A-Z0-9-]*\d)[A-Z]{1,5}-?[A-Z0-9]{5,14}\b", 0.1),), context=_w("member,subscriber,insurance,policy")),
-    dict(name="UsPriorAuthorizationNumber", entity="US_PRIOR_AUTHORIZATION_NUMBER", patterns=((r"\bPA-?\d{6,12}\b", 0.1),), context=_w("authorization,auth,preauthorization,approval")),
-    dict(name="UsClaimNumber", entity="US_CLAIM_NUMBER", patterns=((r"\bCLM-?\d{6,15}\b", 0.1),), context=_w("claim,billing")),
-    dict(name="UsPrescriptionNumber", entity="US_PRESCRIPTION_NUMBER", patterns=((r"\bRX-?\d{6,12}\b", 0.1),), context=_w("prescription,pharmacy,medication")),
-    dict(name="UsReferralNumber", entity="US_REFERRAL_NUMBER", patterns=((r"\b(?:REF|INF)-?\d{6,12}\b", 0.1),), context=_w("referral,infusion,specialty,referring")),
-    dict(name="UsProviderTaxId", entity="US_PROVIDER_TAX_ID", patterns=((rf"\b{_EIN}-\d{{7}}\b", 0.1),), context=_w("tax,tin,ein,billing")),
+    dict(name="UsPriorAuthorizationNumber", entity="US_PRIOR_AUTHORIZATION_NUMBER", patterns=((rf"(?<=\b(?:prior\s{{1,4}}authorization|prior\s{{1,4}}auth|preauthorization|pre-auth|authorization){_LABEL})(?:PA-?)?\d{{6,12}}\b", 0.35), (r"\bPA-?\d{6,12}\b", 0.1)), context=_w("authorization,auth,preauthorization,approval")),
+    dict(name="UsClaimNumber", entity="US_CLAIM_NUMBER", patterns=((rf"(?<=\b(?:claim|medical\s{{1,4}}claim|healthcare\s{{1,4}}claim){_LABEL})(?:CLM-?)?\d{{6,15}}\b", 0.35), (r"\bCLM-?\d{6,15}\b", 0.1)), context=_w("claim,billing")),
+    dict(name="UsPrescriptionNumber", entity="US_PRESCRIPTION_NUMBER", patterns=((rf"(?<=\b(?:rx){_LABEL})(?:RX-?)?\d{{6,12}}\b", 0.6), (rf"(?<=\b(?:prescription){_LABEL})(?:RX-?)?\d{{6,12}}\b", 0.35), (r"\bRX-?\d{6,12}\b", 0.1)), context=_w("prescription,pharmacy,medication")),
+    dict(name="UsReferralNumber", entity="US_REFERRAL_NUMBER", patterns=((rf"(?<=\b(?:referral|infusion\s{{1,4}}referral){_LABEL})(?:(?:REF|INF)-?)?\d{{6,12}}\b", 0.35), (r"\b(?:REF|INF)-?\d{6,12}\b", 0.1)), context=_w("referral,infusion,specialty,referring")),
+    dict(name="UsProviderTaxId", entity="US_PROVIDER_TAX_ID", patterns=((rf"(?<=\b(?:(?:(?:billing|rendering|healthcare)\s{{1,4}}provider|provider\s{{1,4}}organization|provider)\s{{1,4}}(?:tax\s{{0,4}}(?:id|number|identification\s{{1,4}}number)|tin|ein)|billing\s{{1,4}}provider){_LABEL}){_EIN}-\d{{7}}\b", 0.35), (rf"\b{_EIN}-\d{{7}}\b", 0.1)), context=_w("tax,tin,ein,billing")),
     dict(name="UsItin", entity="US_ITIN", patterns=((r"\b9\d{2}[- ](5\d|6[0-5]|7\d|8[0-8]|9([0-2]|[4-9]))\d{4}\b|\b9\d{2}(5\d|6[0-5]|7\d|8[0-8]|9([0-2]|[4-9]))[- ]\d{4}\b", 0.05), (r"\b9\d{2}(5\d|6[0-5]|7\d|8[0-8]|9([0-2]|[4-9]))\d{4}\b", 0.3), (r"\b9\d{2}[- ](5\d|6[0-5]|7\d|8[0-8]|9([0-2]|[4-9]))[- ]\d{4}\b", 0.5)), context=_w("individual,taxpayer,itin,tax,payer,taxid,tin"), enabled=True),
     dict(name="UsMbi", entity="US_MBI", patterns=((rf"\b{_MBI_N}{_MBI_A}{_MBI_X}{_MBI_N}{_MBI_A}{_MBI_X}{_MBI_N}{_MBI_A}{_MBI_A}{_MBI_N}{_MBI_N}\b", 0.3), (rf"\b{_MBI_N}{_MBI_A}{_MBI_X}{_MBI_N}-{_MBI_A}{_MBI_X}{_MBI_N}-{_MBI_A}{_MBI_A}{_MBI_N}{_MBI_N}\b", 0.5)), context=_w("medicare,mbi,beneficiary,cms,medicaid,hic,hicn")),
     dict(name="UsNpi", entity="US_NPI", patterns=((r"\b[12]\d{9}\b", 0.1), (r"\b[12]\d{3}[ -]\d{3}[ -]\d{3}\b", 0.4)), context=_w("npi,national provider,provider,npi number,provider id,provider identifier,taxonomy"), check=_npi, reject=lambda t: F.substring(C.only(t), 1, 9).rlike(r"^(\d)\1*$")),
@@ -328,6 +411,10 @@ def _rule(country: str, language: str, name: str, entity: str, patterns, context
     return Rule(name, entity, tuple(patterns), _w(context), check, reject, language, country, enabled)
 
 
+#: South African numbers by the first two digits after the country or trunk prefix, in place of a numbering-plan library.
+_ZA_NUMBER = r"(?<![\w+])(?:(?:\+|00)27[ .-]?(?:\(0\)[ .-]?)?|\(?0)(?:{0})\)?[ .-]?[0-9]{{3}}[ .-]?[0-9]{{4}}(?!\w)"
+_ZA_PHONE_WORDS = "phone,number,telephone,cell,cellphone,mobile,call,cellular,handset,contact number,landline,tel,home number,work number,office number,sms,whatsapp"
+
 WORLD = (
     _rule("uk", "en", "Nhs", "UK_NHS", [(r"\b([0-9]{3})[- ]?([0-9]{3})[- ]?([0-9]{4})\b", 0.5)], "national health service,nhs,health services authority,health authority", _nhs, enabled=True),
     _rule("uk", "en", "UkNino", "UK_NINO", [(r"\b(?!bg|gb|nk|kn|nt|tn|zz|BG|GB|NK|KN|NT|TN|ZZ)([a-ceghj-pr-tw-zA-CEGHJ-PR-TW-Z]{1}[a-ceghj-npr-tw-zA-CEGHJ-NPR-TW-Z]{1}) ?([0-9]{2}) ?([0-9]{2}) ?([0-9]{2}) ?([a-dA-D]{1})\b", 0.5)], "national insurance,ni number,nino"),
@@ -357,6 +444,19 @@ WORLD = (
     _rule("za", "en", "ZaPassport", "ZA_PASSPORT", [(r"\b[ADMT]\d{8}\b", 0.2)], "passport,passport number,travel document,dha,south african passport,rsa passport", lambda t: F.upper(t).rlike(r"^[ADMT]\d{8}$")),
     _rule("za", "en", "ZaTrafficRegisterNumber", "ZA_TRAFFIC_REGISTER_NUMBER", [(r"\b\d{13}\b", 0.05)], "traffic register,traffic register number,trn,enatis,natis,vehicle register", lambda t: ~_za_id(t)),
     _rule("za", "en", "ZaVatNumber", "ZA_VAT_NUMBER", [(r"\b4\d{9}\b", 0.3)], "vat,vat number,vat registration,tax invoice,sars,value added tax", lambda t: t.rlike(r"^4\d{9}$")),
+    _rule("in", "en", "InVehicleRegistration", "IN_VEHICLE_REGISTRATION", [
+        (r"\b[A-Z]{1}(?!0000)[0-9]{4}\b", 0.01), (r"\b[A-Z]{2}(?!0000)\d{4}\b", 0.01), (r"\b(I)(?!00000)\d{5}\b", 0.01), (r"\b[A-Z]{3}(?!0000)\d{4}\b", 0.2), (r"\b\d{1,3}(CD|CC|UN)[1-9]{1}[0-9]{1,3}\b", 0.4),
+        (r"\b[A-Z]{2}\d{1}[A-Z]{1,3}(?!0000)\d{4}\b", 0.5), (r"\b[A-Z]{2}\d{2}[A-Z]{1,2}(?!0000)\d{4}\b", 0.5), (r"\b[2-9]{1}[1-9]{1}(BH)(?!0000)\d{4}[A-HJ-NP-Z]{2}\b", 0.85), (r"\b(?!00)\d{2}(A|B|C|D|E|F|H|K|P|R|X)\d{6}[A-Z]{1}\b", 0.85),
+    ], "RTO,vehicle,plate,registration", _in_vehicle),
+    _rule("kr", "ko", "KrDriverLicense", "KR_DRIVER_LICENSE", [(r"(?<!\d)(\d{2})[- ]?(\d{2})[- ]?(\d{6})[- ]?(\d{2})(?!\d)", 0.05)], "운전면허,운전면허번호,면허번호,Korean driver license,Korean driver's license", _region_code),
+    _rule("sg", "en", "SgUen", "SG_UEN", [(r"\b\d{8}[A-Z]\b|\b\d{9}[A-Z]\b|\b[TSR]\d{2}[A-Z]{2}\d{4}[A-Z]\b", 0.3)], "uen,unique entity number,business registration,ACRA", _uen),
+    _rule("za", "en", "ZaCompanyRegistration", "ZA_COMPANY_REGISTRATION", [(r"\b(?:19|20)\d{2}/\d{6}/\d{2}\b", 0.4), (r"\b(?:CK|K|T|W|B|M|N|NR)\d{4}/\d{6}\b", 0.3)], "cipc,company registration,registration number,close corporation,company reg,enterprise number", _za_company),
+    _rule("za", "en", "ZaDriverLicense", "ZA_DRIVER_LICENSE", [(r"\b\d{6,10}[A-Z0-9]{2,5}\b", 0.3)], "licence,license,driving licence,driving license,driver's licence,driver's license,drivers licence,drivers license,enatis,natis,licence number,license number", lambda t: F.length(t).between(10, 14) & F.upper(t).rlike(r"^\d{6,10}[A-Z0-9]{2,5}$") & F.upper(t).rlike("[A-Z]")),
+    _rule("za", "en", "ZaLicensePlate", "ZA_LICENSE_PLATE", [
+        (r"\b[A-Z]{2,4}\d{2,4}[A-Z]{0,4}(?:GP|ZN|WP|EC|NC|FS|LP|MP|NW)\b", 0.3), (r"\b[A-Z]{2}\s?\d{2}\s?[A-Z]{2}\s?(?:GP|ZN|WP|EC|NC|FS|LP|MP|NW)\b", 0.3), (r"\b[A-Z]{2,3}\s?\d{2,3}\s?(?:GP|ZN|WP|EC|NC|FS|LP|MP|NW)\b", 0.3), (r"\b\d{2,3}\s?[A-Z]{2,3}\s?EC\b", 0.3),
+    ], "licence plate,license plate,number plate,registration,vehicle registration,natis,enatis,plate number", _za_plate),
+    _rule("za", "en", "ZaMobileNumber", "ZA_MOBILE_NUMBER", [(_ZA_NUMBER.format("[67][0-9]|8[1-5]|8[89]"), 0.4)], _ZA_PHONE_WORDS),
+    _rule("za", "en", "ZaTelephoneNumber", "ZA_TELEPHONE_NUMBER", [(_ZA_NUMBER.format("[1-5][0-9]|80|86|87|9[0-9]"), 0.4)], _ZA_PHONE_WORDS),
     _rule("de", "de", "DeTaxId", "DE_TAX_ID", [(r"\b[1-9]\d{10}\b", 0.5)], "steueridentifikationsnummer,steuer-id,steuerid,steuerliche identifikationsnummer,steuerliche identifikation,persönliche identifikationsnummer,steuer identifikation,idnr,steuer-idnr,steuernummer,bzst", _tax_id),
     _rule("de", "de", "DeTaxNumber", "DE_TAX_NUMBER", [(r"\b(0[1-9]|1[0-6])\d{11}\b", 0.5), (r"(?<!\w)\d{3}/\d{3}/\d{5}(?!\w)", 0.4), (r"(?<!\w)\d{2,3}/\d{3,4}/\d{4,5}(?!\w)", 0.2)], "steuernummer,steuer-nr,steuer nr,st.-nr,st-nr,finanzamt,umsatzsteuer,einkommensteuer,körperschaftsteuer,gewerbesteuer,steuerveranlagung,steuerbescheid"),
     _rule("de", "de", "DeVatId", "DE_VAT_ID", [(r"\bDE\d{9}\b", 0.5), (r"\bDE[\s.\-]?\d{3}[\s.\-]?\d{3}[\s.\-]?\d{3}\b", 0.4)], "umsatzsteuer-identifikationsnummer,umsatzsteueridentifikationsnummer,ust-idnr,ust-id,ustidnr,umsatzsteuer-id,mehrwertsteuer,vat,vat-id,vat id,steueridentifikation,bzst,bundeszentralamt für steuern,finanzamt,invoice,rechnung", _vat_de),

@@ -40,26 +40,43 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """``array<struct<start,end,text>>`` of all non-overlapping matches, in code points.
+#: Matches placed by one fold: a fold copies what it has placed so far, so longer lists are placed block by block.
+PLACED = 64
+
+
+def matches(text: Column, pattern: str, guard: str | None = None) -> Column:
+    """``array<struct<start,end,text>>`` of all non-overlapping matches, in code points; empty matches are left out.
 
     The gaps between matches come from splitting by the same pattern, so lengths add up to offsets; texts without a
-    match are not split.
+    match are not split, and those that ``guard``, a cheap pattern, can't be found in are not searched.
     """
-    none = F.array().cast("array<struct<start:int,end:int,text:string>>")
+    place = "struct<start:int,end:int,text:string>"
+    none = F.array().cast(f"array<{place}>")
 
     def step(acc: Column, p: Column) -> Column:
         start = acc["at"] + F.length(p["g"])
         end = start + F.length(p["m"])
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), p["m"].alias("text")))).alias("out"))
 
+    fold = lambda pairs: F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step)
+
+    def moved(acc: Column, block: Column) -> Column:
+        out = F.transform(block["out"], lambda s: F.struct((s["start"] + acc["at"]).alias("start"), (s["end"] + acc["at"]).alias("end"), s["text"].alias("text")))
+        return F.struct((acc["at"] + block["at"]).alias("at"), F.concat(acc["out"], F.array(out)).alias("out"))
+
+    def blocks(pairs: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.size(pairs), F.lit(PLACED))
+        first = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{place}>>").alias("out"))
+        return F.flatten(F.aggregate(F.transform(firsts, lambda i: fold(F.slice(pairs, i, F.lit(PLACED)))), first, moved)["out"])
+
     def placed(found: Column) -> Column:
         gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
         pairs = F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("m"), g.alias("g")))
-        summed = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step)["out"]
+        summed = let(pairs, lambda p: F.when(F.size(p) <= PLACED, fold(p)["out"]).otherwise(blocks(p)))
         return F.when(F.size(found) > 0, F.filter(summed, lambda s: s["end"] > s["start"])).otherwise(none)
 
-    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return let(found if guard is None else F.when(text.rlike(guard), found).otherwise(F.array().cast("array<string>")), placed)
 
 
 def _score(rule: Rule, text: Column, base: Column) -> Column:
@@ -82,7 +99,7 @@ def _grouped(rule: Rule, pattern: str, base: Column, text: Column) -> Column:
 
 def scan(text: Column, rule: Rule) -> Column:
     """All spans of one rule with a score above 0, deduplicated as the rule's own results."""
-    found = [F.transform(matches(text, rule.flags + p), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text"), F.lit(float(base)).alias("base"))) for p, base in rule.patterns]
+    found = [F.transform(matches(text, rule.flags + p, rule.guard), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text"), F.lit(float(base)).alias("base"))) for p, base in rule.patterns]
     all_ = found[0] if len(found) == 1 else F.concat(*found)
     if rule.groups:
         pattern = rule.patterns[0][0]
