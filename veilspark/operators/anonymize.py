@@ -135,7 +135,10 @@ def _new_text(text: Column, entity: Column, operators: Mapping[str, Operator], d
 
 
 def _splice(text: Column, spans: Column, operators: Mapping[str, Operator], default: Operator | None, table: dict[str, Builder]) -> Column:
-    """``struct<text, items>``: spans in order of start are replaced, each end cut where the next span begins."""
+    """``struct<text, items>``: spans in order of start are replaced, each end cut where the next span begins. A span that
+    reaches beyond the text is an error."""
+    beyond = F.exists(spans, lambda s: (s["start"] > F.length(text)) | (s["end"] > F.length(text)) | (s["start"] < 0))
+    spans = F.when(beyond, F.filter(spans, lambda s: F.raise_error(F.concat(F.lit("a span reaches beyond its text of length "), F.length(text).cast("string"))).cast("boolean"))).otherwise(spans)
     placed = let(spans, lambda all_: F.transform(all_, lambda s, i: F.struct(s.alias("s"), F.coalesce(F.try_element_at(all_, i + 2)["start"], F.length(text)).alias("next"))))
 
     def step(acc: Column, p: Column) -> Column:

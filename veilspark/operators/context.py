@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,26 +26,50 @@ def tokens(text: Column, stopwords: Iterable[str] = STOPWORDS) -> Column:
     return F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), base(m).alias("text"), (m["text"].rlike(r"(?U)\w") & ~lower(m).isin(*stopwords)).alias("keyword")))
 
 
-def enhance(spans: Column, toks: Column, rules: Iterable[Rule], outer: Iterable[str] = (), mode: str = "substring", factor: float = FACTOR, floor: float = FLOOR, prefix: int = PREFIX, suffix: int = SUFFIX) -> Column:
-    """Raise scores by ``factor``, to ``floor`` at least and 1 at most, where a context word of the rule stands among the
-    keywords of the window: the span's token and up to ``prefix`` before, ``suffix`` + 1 from it on, and ``outer`` words."""
-    if mode not in ("substring", "whole_word"):
-        raise ValueError(f"unknown match mode {mode!r}")
-    more = F.array(*[F.lit(w.lower()) for w in outer]).cast("array<string>")
-    table = {r.name: [w.lower() for w in r.context] for r in rules if r.context}
-    if not table:
-        return spans
-    words = F.create_map(*[x for n, ws in table.items() for x in (F.lit(n), F.array(*[F.lit(w) for w in ws]))])
+@dataclass(frozen=True)
+class Enhancer:
+    """Raises scores by ``factor``, to ``floor`` at least and 1 at most, where a context word of the rule stands among the
+    keywords of the window: the span's token and up to ``prefix`` before, ``suffix`` + 1 from it on, and words given from
+    outside. ``mode``: a context word is part of a keyword (``substring``) or equals it (``whole_word``). Another strategy
+    is a subclass with its own ``enhance``."""
 
-    def boosted(s: Column) -> Column:
+    mode: str = "substring"
+    factor: float = FACTOR
+    floor: float = FLOOR
+    prefix: int = PREFIX
+    suffix: int = SUFFIX
+
+    def __post_init__(self) -> None:
+        if self.mode not in ("substring", "whole_word"):
+            raise ValueError(f"unknown match mode {self.mode!r}")
+
+    def word(self, s: Column, toks: Column, rules: Iterable[Rule], outer: Iterable[str] = ()) -> Column:
+        """The first context word of the span's rule that stands in its window, or null."""
+        table = {r.name: [w.lower() for w in r.context] for r in rules if r.context}
+        if not table:
+            return F.lit(None).cast("string")
+        words = F.create_map(*[x for n, ws in table.items() for x in (F.lit(n), F.array(*[F.lit(w) for w in ws]))])
+        more = F.array(*[F.lit(w.lower()) for w in outer]).cast("array<string>")
         back = F.filter(toks, lambda t: t["keyword"] & (t["start"] <= s["start"]))
-        near = F.slice(back, F.greatest(F.size(back) - prefix, F.lit(1)), F.lit(prefix + 1))
-        ahead = F.slice(F.filter(toks, lambda t: t["keyword"] & (t["end"] > s["start"])), F.lit(1), F.lit(suffix + 1))
+        near = F.slice(back, F.greatest(F.size(back) - self.prefix, F.lit(1)), F.lit(self.prefix + 1))
+        ahead = F.slice(F.filter(toks, lambda t: t["keyword"] & (t["end"] > s["start"])), F.lit(1), F.lit(self.suffix + 1))
         window = F.concat(F.transform(F.concat(near, ahead), lambda t: t["text"]), more)
         own = F.coalesce(F.try_element_at(words, s["recognizer"]), F.array().cast("array<string>"))
-        same = (lambda k, w: k == w) if mode == "whole_word" else (lambda k, w: F.contains(k, w))
-        hit = F.exists(own, lambda w: F.exists(window, lambda k: same(k, w)))
-        score = F.least(F.lit(1.0), F.greatest(s["score"] + factor, F.lit(floor)))
-        return span(s["entity_type"], s["start"], s["end"], F.when(hit, score).otherwise(s["score"]), s["recognizer"])
+        same = (lambda k, w: k == w) if self.mode == "whole_word" else (lambda k, w: F.contains(k, w))
+        return F.try_element_at(F.filter(own, lambda w: F.exists(window, lambda k: same(k, w))), F.lit(1))
+
+    def enhance(self, spans: Column, toks: Column, rules: Iterable[Rule], outer: Iterable[str] = ()) -> Column:
+        rules = list(rules)
+        if not any(r.context for r in rules):
+            return spans
+
+        def boosted(s: Column) -> Column:
+            score = F.least(F.lit(1.0), F.greatest(s["score"] + self.factor, F.lit(self.floor)))
+            return span(s["entity_type"], s["start"], s["end"], F.when(self.word(s, toks, rules, outer).isNotNull(), score).otherwise(s["score"]), s["recognizer"])
+
+        return F.when(F.size(spans) > 0, F.transform(spans, boosted)).otherwise(spans)
+
 
-    return F.transform(spans, boosted)
+def enhance(spans: Column, toks: Column, rules: Iterable[Rule], outer: Iterable[str] = (), **options) -> Column:
+    """``spans`` with the scores of an ``Enhancer`` of these options."""
+    return Enhancer(**options).enhance(spans, toks, rules, outer)

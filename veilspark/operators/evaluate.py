@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilspark.functions import checksums as C
+from veilspark.operators.anonymize import anonymize
+from veilspark.operators.scan import by_start, span
+
 SPAN_COLUMNS = ("doc_id", "label", "start", "end")
 
 
@@ -79,3 +83,69 @@ def greedy_counts(truth: DataFrame, found: DataFrame) -> DataFrame:
     both = truth.select(*SPAN_COLUMNS, F.lit(True).alias("truth")).unionByName(found.select(*SPAN_COLUMNS, F.lit(False).alias("truth")))
     each = both.groupBy("doc_id", "label").applyInPandas(match, "label string, tp long, fp long, fn long")
     return each.groupBy("label").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+
+
+def with_rates(counts: DataFrame, micro: str | None = "MICRO-AVERAGE") -> DataFrame:
+    """``counts(label, tp, fp, fn)`` with ``precision``, ``recall`` and ``f1``, and a row ``micro`` of all of them together.
+
+    A rate without a denominator is NaN, as printed reports have it; ``nanvl`` or a null suits a sink of JSON.
+    """
+    if micro is not None:
+        counts = counts.unionByName(counts.agg(F.lit(micro).alias("label"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn")]))
+    nan = F.lit(float("nan"))
+    rate = lambda a, b: F.when(b > 0, a / b).otherwise(nan)
+    p, r = rate(F.col("tp"), F.col("tp") + F.col("fp")), rate(F.col("tp"), F.col("tp") + F.col("fn"))
+    f1 = F.when(~F.isnan(p) & ~F.isnan(r) & (p + r > 0), 2 * p * r / (p + r)).otherwise(nan)
+    return counts.withColumns({"precision": p, "recall": r, "f1": f1})
+
+
+def split_reach(truth: DataFrame, found: DataFrame, accept: Mapping[str, Iterable[str]] | None = None, unmeasurable_is_spurious: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Truth spans whose label some prediction may stand for, and predicted spans whose label the truth has.
+
+    ``unmeasurable_is_spurious``: predictions with labels that the truth never has stay, and count as spurious.
+    """
+    pred = _mapped(found, accept) if accept else found.withColumn("accepts", F.array("label"))
+    reach = pred.select(F.explode("accepts").alias("label")).distinct()
+    inside = truth.join(F.broadcast(reach), "label", "left_semi")
+    if unmeasurable_is_spurious:
+        return inside, found
+    labels = truth.select("label").distinct()
+    known = pred.withColumn("accept", F.explode("accepts")).join(F.broadcast(labels.withColumnRenamed("label", "accept")), "accept", "left_semi").select(*SPAN_COLUMNS).distinct()
+    return inside, found.join(known, list(SPAN_COLUMNS), "left_semi")
+
+
+def compare(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``(metric, a, b, change)`` of two one-row frames of ``totals``."""
+    metrics = a.columns
+    long = lambda df, name: df.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias(name)) for m in metrics])).alias("r")).select("r.*")
+    return long(a, "a").join(F.broadcast(long(b, "b")), "metric").withColumn("change", F.round(F.col("b") - F.col("a"), 3))
+
+
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december", "jan", "feb", "mar", "apr", "jun", "jul", "aug", "sep", "sept", "oct", "nov", "dec")
+
+
+def miss_reason(label: Column, value: Column) -> Column:
+    """Why a labelled value was not found, as far as its text tells."""
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    plain = F.upper(F.regexp_replace(value, "[^0-9A-Za-z]", ""))
+    card_ok = (F.length(digits) >= 12) & C.luhn(digits)
+    iban_ok = (F.length(plain) >= 5) & F.coalesce(C.mod97(plain), F.lit(False))
+    return (
+        F.when((label == "CREDIT_CARD") & ~card_ok, "the number fails its check digit")
+        .when(label == "CREDIT_CARD", "no card pattern matches")
+        .when((label == "IBAN_CODE") & ~iban_ok, "the number fails its check digits")
+        .when(label == "IBAN_CODE", "the number isn't in its country's format")
+        .when((label == "DATE_TIME") & F.lower(value).rlike("(" + "|".join(MONTHS) + ")"), "a month in letters")
+        .when((label == "DATE_TIME") & ~value.rlike("[0-9]"), "no digit in it")
+        .when(label == "DATE_TIME", "no date pattern matches")
+        .when(label == "PHONE_NUMBER", "no phone pattern matches")
+        .when(label == "EMAIL_ADDRESS", "no known suffix, or malformed")
+        .when(label == "IP_ADDRESS", "no valid address")
+        .otherwise("no pattern matches")
+    )
+
+
+def desired(text: Column, truth: Column) -> Column:
+    """``text`` with every labelled span (``array<struct<entity_type,start_position,end_position>>``) replaced by its tag."""
+    spans = F.transform(F.coalesce(truth, F.array().cast("array<struct<entity_type:string,start_position:int,end_position:int>>")), lambda t: span(t["entity_type"], t["start_position"], t["end_position"], F.lit(1.0), F.lit("truth")))
+    return anonymize(F.coalesce(text, F.lit("")), by_start(spans))["text"]

@@ -38,6 +38,8 @@ class Rule:
     thresholds: tuple[tuple[str, float], ...] = ()
     #: A cheap pattern that every text with a match has a match of.
     guard: str | None = None
+    #: Sees all spans found in a text, and the text, before context raises scores; gives the spans that go on.
+    hook: Callable[[Column, Column], Column] | None = None
 
     def __post_init__(self) -> None:
         if not self.name or not self.entity or not self.patterns:

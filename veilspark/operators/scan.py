@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterable, Iterator, Mapping
 from contextlib import contextmanager
 
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 from veilspark.operators.rules import Rule
 
+log = logging.getLogger(__name__)
+
 
 @contextmanager
 def quiet() -> Iterator[None]:
@@ -238,11 +241,17 @@ def resolve(spans: Column, text: Column, strategy: str = "merge_similar_or_conta
 
 
 def language_of(rules: Iterable[Rule], language: str | None, entities: Iterable[str] | None, countries: Iterable[str] | None) -> list[Rule]:
-    """Rules of a language, of requested entities and countries; rules without a country always stay."""
+    """Rules of a language, of requested entities and countries; rules without a country always stay. Entities and
+    countries that no rule has are logged."""
     if isinstance(countries, str) or (countries is not None and any(not str(c).strip() for c in countries)):
         raise ValueError("countries must be a list of country codes")
-    wanted = None if entities is None else set(entities)
-    found = [r for r in rules if (language is None or r.language == language) and (not wanted or r.entity in wanted) and (countries is None or r.country is None or r.country in {c.lower() for c in countries})]
+    rules, wanted = list(rules), None if entities is None else set(entities)
+    codes = None if countries is None else {c.lower() for c in countries}
+    if unknown := (wanted or set()) - {r.entity for r in rules}:
+        log.warning("no rule finds %s", sorted(unknown))
+    if unseen := (codes or set()) - {r.country for r in rules}:
+        log.warning("no rule is of %s", sorted(unseen))
+    found = [r for r in rules if (language is None or r.language == language) and (not wanted or r.entity in wanted) and (codes is None or r.country is None or r.country in codes)]
     if not found:
         raise ValueError("no rule matches the language and entities asked for")
     return found

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,17 +11,32 @@ from pyspark.sql import types as T
 
 from veilspark.operators import anonymize as A
 from veilspark.operators import scan as S
-from veilspark.operators.context import enhance, tokens
-from veilspark.operators.rules import CATALOG, GENERIC, Rule
+from veilspark.operators.context import Enhancer
+from veilspark.operators.ner import NerConfig, engine_of, ner_spans
+from veilspark.operators.rules import AS_OF, CATALOG, GENERIC, Rule
 
 
 @dataclasses.dataclass(frozen=True)
 class Analyzer:
-    """Finds spans. ``profile`` is ``full`` (context, threshold, then dedupe) or ``regex_only`` (dedupe, then threshold)."""
+    """Finds spans. ``profile`` is ``full`` (context, threshold, then dedupe) or ``regex_only`` (dedupe, then threshold).
+
+    ``nlp`` names the engine that makes tokens and entities, ``ner`` says how its entities are read, ``enhancer`` how
+    context raises scores, and ``as_of`` the day (yyyy-MM-dd) that rules against future dates go by.
+    """
 
     rules: tuple[Rule, ...] = tuple(r for r in CATALOG if r.enabled)
     profile: str = "full"
     threshold: float = 0.0
+    nlp: str = "rules"
+    ner: NerConfig | None = None
+    enhancer: Enhancer = dataclasses.field(default_factory=Enhancer)
+    as_of: str | None = None
+
+    def __post_init__(self) -> None:
+        if self.profile not in ("full", "regex_only"):
+            raise ValueError(f"unknown profile {self.profile!r}")
+        if self.ner is not None and self.nlp == "no_op":
+            raise ValueError("an engine without entities can't serve entity recognition")
 
     @classmethod
     def regex_only(cls, threshold: float = 0.0) -> Analyzer:
@@ -31,6 +46,9 @@ class Analyzer:
     def supported_entities(self, language: str | None = None) -> list[str]:
         return sorted({r.entity for r in self.rules if language is None or r.language == language})
 
+    def supported_countries(self) -> list[str]:
+        return sorted({r.country for r in self.rules if r.country})
+
     def with_rules(self, *more: Rule) -> Analyzer:
         return dataclasses.replace(self, rules=(*self.rules, *more))
 
@@ -39,21 +57,45 @@ class Analyzer:
             raise ValueError(f"no rule {name!r}")
         return dataclasses.replace(self, rules=tuple(r for r in self.rules if r.name != name))
 
-    def spans(self, text: Column, language: str | None = "en", entities: Iterable[str] | None = None, countries: Iterable[str] | None = None, context: Iterable[str] = (), threshold: float | None = None, allow: list[str] | None = None, allow_mode: str = "exact", ad_hoc: Iterable[Rule] = (), ner: Column | None = None) -> Column:
-        """``array<span>`` of a text column; ``ner`` are spans that a model has found, if any."""
-        with S.quiet():
-            return self._spans(text, language, entities, countries, context, threshold, allow, allow_mode, ad_hoc, ner)
-
-    def _spans(self, text, language, entities, countries, context, threshold, allow, allow_mode, ad_hoc, ner) -> Column:
+    def spans(self, text: Column, language: str | None = "en", entities: Iterable[str] | None = None, countries: Iterable[str] | None = None, context: Iterable[str] = (), threshold: float | None = None, allow: list[str] | None = None, allow_mode: str = "exact", ad_hoc: Iterable[Rule] = (), ner: Column | None = None, tokens: Column | None = None) -> Column:
+        """``array<span>`` of a text column. ``ner`` are entities that a model has found (``ner.ENTITIES``) and ``tokens`` the
+        text's tokens, if they are known already."""
+        return self._steps(text, language, entities, countries, context, threshold, allow, allow_mode, ad_hoc, ner, tokens)[1]
+
+    def _steps(self, text, language="en", entities=None, countries=None, context=(), threshold=None, allow=None, allow_mode="exact", ad_hoc=(), ner=None, toks=None) -> tuple[Column, Column]:
+        """The spans as rules have found them, and what becomes of them."""
+        day = AS_OF.set(self.as_of)
+        try:
+            with S.quiet():
+                return self._built(text, language, entities, countries, context, threshold, allow, allow_mode, ad_hoc, ner, toks)
+        finally:
+            AS_OF.reset(day)
+
+    def _built(self, text, language, entities, countries, context, threshold, allow, allow_mode, ad_hoc, ner, toks) -> tuple[Column, Column]:
         rules = S.language_of((*self.rules, *ad_hoc), language, entities, countries)
         text = F.coalesce(text, F.lit(""))
-        parts = [S.scan(text, r) for r in rules] + ([F.coalesce(ner, F.array().cast(S.NO_SPANS))] if ner is not None else [])
+        engine = engine_of(self.nlp)
+        parts = [S.scan(text, r) for r in rules]
+        if ner is not None or engine.finds_entities:
+            parts.append(ner_spans(engine.entities(text) if ner is None else ner, self.ner, entities))
         found = F.concat(*parts)
         if self.profile == "regex_only":
-            return S.by_start(S.above(S.dedupe(found), self.threshold if threshold is None else threshold))
-        found = enhance(found, tokens(text), rules, context)
-        found = S.dedupe(S.above(found, self.threshold, rules, threshold))
-        return S.without(found, text, allow or [], allow_mode)
+            return found, S.by_start(S.above(S.dedupe(found), self.threshold if threshold is None else threshold))
+        for r in rules:
+            if r.hook is not None:
+                found = r.hook(found, text)
+        raised = self.enhancer.enhance(found, engine.tokens(text) if toks is None else toks, rules, context)
+        kept = S.dedupe(S.above(raised, self.threshold, rules, threshold))
+        return found, S.without(kept, text, allow or [], allow_mode)
+
+    def explain(self, text: Column, **options) -> Column:
+        """``array<struct<...>>``: the spans with their text, their score before context (``original_score``) and the word of
+        the context that raised it, if one did. The decision process that ``spans`` leaves out."""
+        found, kept = self._steps(text, **options)
+        rules = {r.name: r for r in (*self.rules, *options.get("ad_hoc", ()))}
+        text = F.coalesce(text, F.lit(""))
+        with S.quiet():
+            return F.transform(kept, lambda s: F.struct(*[s[k].alias(k) for k in ("entity_type", "start", "end", "score", "recognizer")], S.text_of(text, s).alias("text"), F.array_max(F.transform(F.filter(found, lambda f: (f["recognizer"] == s["recognizer"]) & (f["start"] == s["start"]) & (f["end"] == s["end"])), lambda f: f["score"])).alias("original_score"), self.enhancer.word(s, engine_of(self.nlp).tokens(text), list(rules.values()), options.get("context", ())).alias("context_word")))
 
     def analyze(self, df: DataFrame, text_col: str = "text", **options) -> DataFrame:
         return df.withColumn("spans", self.spans(F.col(text_col), **options))
@@ -73,26 +115,75 @@ def explode_spans(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return df.select(id_col, F.explode("spans").alias("s")).select(id_col, "s.*")
 
 
-def scrub_nested(df: DataFrame, analyzer: Analyzer, operators: Mapping[str, A.Operator] | None = None, skip: Iterable[str] = (), **options) -> DataFrame:
-    """Rewrite every string in columns, structs, arrays and maps; a field's name is context for its values. ``skip`` names
-    columns or dotted paths to leave alone. Other types pass unchanged."""
-    skip = set(skip)
+def _text(value: Column, kind: T.DataType) -> Column:
+    """Values in lists as their text: numbers and truth values too."""
+    if isinstance(kind, T.BooleanType):
+        return F.when(value, "True").when(~value, "False")
+    return value.cast("string")
+
+
+@dataclasses.dataclass(frozen=True)
+class _Part:
+    """How a value is rewritten, and how its text or its items are taken from what that makes (None: it has none)."""
+
+    make: Callable[[Column], Column]
+    pick: Callable[[Column, str], Column | None]
+
+
+def scrub_nested(df: DataFrame, analyzer: Analyzer, operators: Mapping[str, A.Operator] | None = None, skip: Iterable[str] = (), items_col: str | None = None, **options) -> DataFrame:
+    """Rewrite every string in columns, structs, arrays and maps, and every number or truth value in arrays (as text).
+
+    A field's name is context: alone for a single value, with the names above it for what stands in arrays, maps and
+    structs. ``skip`` names columns or dotted paths to leave alone; below a field, those that begin with its name count,
+    without that name and a dot. Other types pass unchanged. ``items_col``: a column to add, with the items of each rewritten string
+    in a struct shaped like the columns, as ``restore_nested`` takes it.
+    """
+
+    untouched = _Part(lambda v: v, lambda v, part: v if part == "text" else None)
+
+    def leaf(context: tuple[str, ...], kind: T.DataType) -> _Part:
+        def make(value: Column) -> Column:
+            text = _text(value, kind)
+            return F.when(value.isNotNull(), rewrite(text, analyzer.spans(text, context=context, **options), operators, analyzer.profile))
+
+        return _Part(make, lambda v, part: v[part])
 
-    def walk(value: Column, kind: T.DataType, path: str, inner: tuple[str, ...]) -> Column:
-        if path in skip:
-            return value
+    def named(kind: T.DataType, name: str, skip: frozenset[str], above: tuple[str, ...]) -> _Part:
+        """A column or a field: a single value has its own name alone for context."""
+        if name in skip:
+            return untouched
         if isinstance(kind, T.StringType):
-            return F.when(value.isNotNull(), rewrite(value, analyzer.spans(value, context=inner, **options), operators, analyzer.profile)["text"])
+            return leaf((name,), kind)
+        return within(kind, frozenset(s.replace(f"{name}.", "") for s in skip if s.startswith(name)), (*above, name))
+
+    def within(kind: T.DataType, skip: frozenset[str], above: tuple[str, ...]) -> _Part:
+        """What stands in an array, a map or a struct, or is one."""
+        if isinstance(kind, T.StringType):
+            return leaf(above, kind)
         if isinstance(kind, T.ArrayType):
-            return F.transform(value, lambda v: walk(v, kind.elementType, path, inner))
+            one = leaf(above, kind.elementType) if isinstance(kind.elementType, T.BooleanType | T.NumericType) else within(kind.elementType, skip, above)
+            return untouched if one is untouched else _Part(lambda v: F.transform(v, one.make), lambda v, part: F.transform(v, lambda x: one.pick(x, part)))
         if isinstance(kind, T.MapType):
-            return F.transform_values(value, lambda k, v: walk(v, kind.valueType, path, inner))
+            one = within(kind.valueType, skip, above)
+            return untouched if one is untouched else _Part(lambda v: F.transform_values(v, lambda k, x: one.make(x)), lambda v, part: F.transform_values(v, lambda k, x: one.pick(x, part)))
         if isinstance(kind, T.StructType):
-            fields = [walk(value[f.name], f.dataType, f"{path}.{f.name}", (*inner, f.name)).alias(f.name) for f in kind.fields]
-            return F.when(value.isNotNull(), F.struct(*fields))
-        return value
-
-    return df.select(*[walk(F.col(f"`{f.name}`"), f.dataType, f.name, (f.name,)).alias(f.name) for f in df.schema.fields])
+            fields = {f.name: named(f.dataType, f.name, skip, above) for f in kind.fields}
+            told = {n: p for n, p in fields.items() if p is not untouched}
+            if not told:
+                return untouched
+            return _Part(
+                lambda v: F.when(v.isNotNull(), F.struct(*[p.make(v[n]).alias(n) for n, p in fields.items()])),
+                lambda v, part: F.when(v.isNotNull(), F.struct(*[p.pick(v[n], part).alias(n) for n, p in (fields if part == "text" else told).items()])),
+            )
+        return untouched
+
+    parts = {f.name: named(f.dataType, f.name, frozenset(skip), ()) for f in df.schema.fields}
+    # made once and then taken apart: text and items must agree on what a random vector or salt has given
+    made = df.select(*[p.make(F.col(f"`{n}`")).alias(n) for n, p in parts.items()])
+    texts = [p.pick(F.col(f"`{n}`"), "text").alias(n) for n, p in parts.items()]
+    if items_col is None:
+        return made.select(*texts)
+    return made.select(*texts, F.struct(*[p.pick(F.col(f"`{n}`"), "items").alias(n) for n, p in parts.items() if p is not untouched]).alias(items_col))
 
 
 def restore_nested(df: DataFrame, items_col: str, operators: Mapping[str, A.Operator]) -> DataFrame:
