@@ -222,10 +222,11 @@ def trim_overlaps(spans: Column) -> Column:
     def step(acc: Column, s: Column) -> Column:
         last = F.try_element_at(acc, F.lit(-1))
         clash = last.isNotNull() & (last["end"] > s["start"])
-        moved = span(s["entity_type"], last["end"], F.greatest(s["end"], last["end"]), s["score"], s["recognizer"])
+        moved = span(s["entity_type"], last["end"], s["end"], s["score"], s["recognizer"])
         cut = span(last["entity_type"], last["start"], s["start"], last["score"], last["recognizer"])
         first = F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
-        return F.when(~clash, F.concat(acc, F.array(s))).when(last["score"] >= s["score"], F.concat(acc, F.array(moved))).otherwise(F.concat(first, F.array(cut), F.array(s)))
+        gone = (last["score"] >= s["score"]) & (last["end"] > s["end"])  # nothing of it would be left
+        return F.when(~clash, F.concat(acc, F.array(s))).when(gone, acc).when(last["score"] >= s["score"], F.concat(acc, F.array(moved))).otherwise(F.concat(first, F.array(cut), F.array(s)))
 
     return F.filter(F.aggregate(by_start(spans), none, step), lambda s: s["start"] <= s["end"])
 

@@ -60,45 +60,60 @@ class Analyzer:
     def spans(self, text: Column, language: str | None = "en", entities: Iterable[str] | None = None, countries: Iterable[str] | None = None, context: Iterable[str] = (), threshold: float | None = None, allow: list[str] | None = None, allow_mode: str = "exact", ad_hoc: Iterable[Rule] = (), ner: Column | None = None, tokens: Column | None = None) -> Column:
         """``array<span>`` of a text column. ``ner`` are entities that a model has found (``ner.ENTITIES``) and ``tokens`` the
         text's tokens, if they are known already."""
-        return self._steps(text, language, entities, countries, context, threshold, allow, allow_mode, ad_hoc, ner, tokens)[1]
+        options = dict(language=language, entities=entities, countries=countries, context=context, threshold=threshold, allow=allow, allow_mode=allow_mode, ad_hoc=ad_hoc, ner=ner)
+        toks = engine_of(self.nlp).tokens(F.coalesce(text, F.lit(""))) if tokens is None else tokens
+        return self._settled(text, self._found(text, **options), toks, **options)
 
-    def _steps(self, text, language="en", entities=None, countries=None, context=(), threshold=None, allow=None, allow_mode="exact", ad_hoc=(), ner=None, toks=None) -> tuple[Column, Column]:
-        """The spans as rules have found them, and what becomes of them."""
+    def _rules(self, language="en", entities=None, countries=None, ad_hoc=(), **_) -> list[Rule]:
+        return S.language_of((*self.rules, *ad_hoc), language, entities, countries)
+
+    def _found(self, text: Column, ner: Column | None = None, entities: Iterable[str] | None = None, **options) -> Column:
+        """The spans as rules and a model find them."""
         day = AS_OF.set(self.as_of)
         try:
             with S.quiet():
-                return self._built(text, language, entities, countries, context, threshold, allow, allow_mode, ad_hoc, ner, toks)
+                text, engine = F.coalesce(text, F.lit("")), engine_of(self.nlp)
+                parts = [S.scan(text, r) for r in self._rules(entities=entities, **options)]
+                if ner is not None or engine.finds_entities:
+                    parts.append(ner_spans(engine.entities(text) if ner is None else ner, self.ner, entities))
+                return F.concat(*parts)
         finally:
             AS_OF.reset(day)
 
-    def _built(self, text, language, entities, countries, context, threshold, allow, allow_mode, ad_hoc, ner, toks) -> tuple[Column, Column]:
-        rules = S.language_of((*self.rules, *ad_hoc), language, entities, countries)
-        text = F.coalesce(text, F.lit(""))
-        engine = engine_of(self.nlp)
-        parts = [S.scan(text, r) for r in rules]
-        if ner is not None or engine.finds_entities:
-            parts.append(ner_spans(engine.entities(text) if ner is None else ner, self.ner, entities))
-        found = F.concat(*parts)
-        if self.profile == "regex_only":
-            return found, S.by_start(S.above(S.dedupe(found), self.threshold if threshold is None else threshold))
-        for r in rules:
-            if r.hook is not None:
-                found = r.hook(found, text)
-        raised = self.enhancer.enhance(found, engine.tokens(text) if toks is None else toks, rules, context)
-        kept = S.dedupe(S.above(raised, self.threshold, rules, threshold))
-        return found, S.without(kept, text, allow or [], allow_mode)
-
-    def explain(self, text: Column, **options) -> Column:
-        """``array<struct<...>>``: the spans with their text, their score before context (``original_score``) and the word of
-        the context that raised it, if one did. The decision process that ``spans`` leaves out."""
-        found, kept = self._steps(text, **options)
-        rules = {r.name: r for r in (*self.rules, *options.get("ad_hoc", ()))}
-        text = F.coalesce(text, F.lit(""))
+    def _settled(self, text: Column, found: Column, toks: Column, context: Iterable[str] = (), threshold: float | None = None, allow: list[str] | None = None, allow_mode: str = "exact", **options) -> Column:
+        """What becomes of the spans found."""
         with S.quiet():
-            return F.transform(kept, lambda s: F.struct(*[s[k].alias(k) for k in ("entity_type", "start", "end", "score", "recognizer")], S.text_of(text, s).alias("text"), F.array_max(F.transform(F.filter(found, lambda f: (f["recognizer"] == s["recognizer"]) & (f["start"] == s["start"]) & (f["end"] == s["end"])), lambda f: f["score"])).alias("original_score"), self.enhancer.word(s, engine_of(self.nlp).tokens(text), list(rules.values()), options.get("context", ())).alias("context_word")))
+            text, rules = F.coalesce(text, F.lit("")), self._rules(**options)
+            if self.profile == "regex_only":
+                return S.by_start(S.above(S.dedupe(found), self.threshold if threshold is None else threshold))
+            for r in rules:
+                if r.hook is not None:
+                    found = r.hook(found, text)
+            raised = self.enhancer.enhance(found, toks, rules, context)
+            return S.without(S.dedupe(S.above(raised, self.threshold, rules, threshold)), text, allow or [], allow_mode)
+
+    def explain(self, df: DataFrame, text_col: str = "text", **options) -> DataFrame:
+        """``df`` with a column ``explained``: the spans with their text, their score before context (``original_score``) and
+        the word of the context that raised it, if one did. This is the decision process that ``spans`` leaves out."""
+        found, toks = "veil_found", "veil_tokens"
+        text = F.coalesce(F.col(text_col), F.lit(""))
+        wide = df.withColumn(found, self._found(text, **options)).withColumn(toks, engine_of(self.nlp).tokens(text))
+        wide = wide.withColumn("explained", self._settled(text, F.col(found), F.col(toks), **options))
+        rules = self._rules(**options)
+        same = lambda f, s: (f["recognizer"] == s["recognizer"]) & (f["start"] == s["start"]) & (f["end"] == s["end"])
+        with S.quiet():
+            told = F.transform("explained", lambda s: F.struct(*[s[k].alias(k) for k in ("entity_type", "start", "end", "score", "recognizer")], S.text_of(text, s).alias("text"), F.array_max(F.transform(F.filter(found, lambda f: same(f, s)), lambda f: f["score"])).alias("original_score"), self.enhancer.word(s, F.col(toks), rules, options.get("context", ())).alias("context_word")))
+        return wide.withColumn("explained", told).drop(found, toks)
 
     def analyze(self, df: DataFrame, text_col: str = "text", **options) -> DataFrame:
-        return df.withColumn("spans", self.spans(F.col(text_col), **options))
+        """``df`` with a column ``spans``. In the full profile what rules find and the text's tokens are columns of their
+        own on the way, which keeps expressions small; no rows move."""
+        if self.profile == "regex_only":
+            return df.withColumn("spans", self.spans(F.col(text_col), **options))
+        found, toks = "veil_found", "veil_tokens"
+        text = F.col(text_col)
+        wide = df.withColumn(found, self._found(text, **options)).withColumn(toks, options.get("tokens") if options.get("tokens") is not None else engine_of(self.nlp).tokens(F.coalesce(text, F.lit(""))))
+        return wide.withColumn("spans", self._settled(text, F.col(found), F.col(toks), **options)).drop(found, toks)
 
 
 def rewrite(text: Column, spans: Column, operators: Mapping[str, A.Operator] | None = None, profile: str = "full", strategy: str = "merge_similar_or_contained") -> Column:

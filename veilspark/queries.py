@@ -11,6 +11,7 @@ from veilspark.functions import checksums as C
 from veilspark.operators import chunk, evaluate, scan
 from veilspark.operators.anonymize import Operator, anonymize, deanonymize
 from veilspark.operators.rules import CATALOG
+from veilspark import span_queries
 from veilspark.plans.engine import Analyzer, explode_spans, rewrite
 
 RULES = {r.name: r for r in CATALOG}
@@ -207,3 +208,38 @@ SELECT doc_id, i // 48 AS chunk, len(t[i + 1:i + 64]) AS n_tokens, md5(array_to_
     "entity_counts_by_lang": f"SELECT lang, 'IP_ADDRESS' AS entity_type, cast(sum(len(regexp_extract_all(text, '{_IP4}'))) AS bigint) AS n FROM documents GROUP BY lang HAVING n > 0",
     "recall_by_label": f"SELECT 'US_SSN' AS label, count(*) FILTER (ok) AS found, count(*) FILTER (NOT ok) AS missed, count(*) AS total, round(count(*) FILTER (ok) / count(*), 3) AS recall FROM ({_SSN_SQL})",
 }
+
+QUERIES |= span_queries.QUERIES
+ORACLES |= span_queries.ORACLES
+
+_VERHOEFF = [[(j + k) % 5 if j < 5 and k < 5 else 5 + (j + k) % 5 if j < 5 else 5 + (j - k) % 5 if k < 5 else (j - k) % 5 for k in range(10)] for j in range(10)]
+_TURN = [1, 5, 7, 6, 2, 8, 3, 0, 9, 4]
+
+
+def _verhoeff_sql() -> str:
+    """One digit a step, from the last; each turned as often as its place says."""
+    turns = [list(range(10))]
+    for _ in range(7):
+        turns.append([_TURN[x] for x in turns[-1]])
+    sql = f"SELECT o_orderkey, d, 0 AS c FROM ({_NUMBER})"
+    for i in range(11):
+        sql = f"SELECT o_orderkey, d, {[x for row in _VERHOEFF for x in row]}[c * 10 + {turns[i % 8]}[d[{11 - i}] + 1] + 1] AS c FROM ({sql})"
+    return f"SELECT o_orderkey, c = 0 AS valid FROM ({sql})"
+
+
+def _product_sql() -> str:
+    sql = f"SELECT o_orderkey, d, 10 AS p FROM ({_NUMBER})"
+    for i in range(10):
+        sql = f"SELECT o_orderkey, d, (CASE WHEN (p + d[{i + 1}]) % 10 = 0 THEN 10 ELSE (p + d[{i + 1}]) % 10 END) * 2 % 11 AS p FROM ({sql})"
+    return f"SELECT o_orderkey, (11 - p) % 10 = d[11] AS valid FROM ({sql})"
+
+
+ORACLES |= {
+    "scan_card": _scan_sql(_DOCS, span_queries._CARD, "1.0", f"NOT regexp_matches(t, '^1[0-9]{{12}}$') AND (SELECT {span_queries._LUHN} FROM (SELECT regexp_replace(t, '[- ]', '', 'g') AS c))"),
+    "scan_date": _scan_sql(DERIVED, r"\b\d{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])\b", "0.6"),
+    "scan_ssn": f"SELECT doc_id, 4::BIGINT AS start, 15::BIGINT AS end_, 0.5::DOUBLE AS score FROM ({_SSN_SQL}) WHERE ok",
+    "checksum_verhoeff": _verhoeff_sql(),
+    "checksum_iso7064": _product_sql(),
+    "mask_documents": span_queries.MASKED_SQL,
+    "precision_by_label": f"SELECT 'US_SSN' AS label, count(*) AS hit, 0::BIGINT AS spurious, count(*) AS total, 1.0::DOUBLE AS \"precision\" FROM ({_SSN_SQL}) WHERE ok",
+}
