@@ -90,6 +90,10 @@ def test_trie(tmp_path):
     total = np.bincount(of, weights=n, minlength=len(nodes))
     p = lm.probability(trie.below(of, after))
     assert np.abs(np.log2(p) - np.log2((n - lm.DISCOUNT) / total[of])).max() <= 1 / 12 + 1e-9
+    wanted = np.arange(0, 3000, 7)
+    asked = [(of, after), (of[wanted], after[wanted]), (np.where(of % 3 == 0, -1, of), after), (of[:0], after[:0]), (of[:-1], after[:-1] + np.uint64(1))]
+    for (place, key), got in zip(asked, trie.below_all(asked), strict=True):
+        assert (got == trie.below(place, key)).all()
     assert (trie.below((of + 1) % len(nodes), after) == 0).all() and (trie.below(np.full(3, -1), after[:3]) == 0).all()
 
 

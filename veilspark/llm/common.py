@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 LEAST_BITS, MOST_BITS = 1 << 22, 1 << 28
 _ROW_BITS = 32768
 #: Keys with more rows than this, and than a share of all rows, are joined by broadcast: HUBS of them at most.
-HUB_ROWS, HUBS = 1000, 20_000
+HUB_ROWS, HUBS = 256, 20_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,14 +30,27 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return the table that reads it: lineage ends here and survives lost executors."""
+def cut(df: DataFrame, tag: str, scratch: list[str] | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and return the table that reads it: lineage ends here and survives lost executors.
+
+    ``scratch`` gets the path of a table that is no longer needed once what is made of it has been written as well.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/veilspark/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if scratch is not None:
+        scratch.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, scratch: list[str]) -> None:
+    """Delete the tables at these paths, and forget the paths."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while scratch:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def quoted(name: str) -> str:
     """A column's name as it must be written in an expression, also where it holds dots or backticks."""
     return "`" + name.replace("`", "``") + "`"
@@ -129,7 +142,8 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
     Alternating large-star and small-star rounds until nothing moves. Neighbours are combined before each shuffle, and
     the edges of hubs meet their minimum by broadcast.
     """
-    e = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), tag)
+    spark, scratch, old = edges.sparkSession, [], []
+    e = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), tag, scratch)
 
     def lowest(own: DataFrame, both: DataFrame, total: int) -> DataFrame:
         """``own(u, v)`` with ``m``, the smallest neighbour of ``u`` in ``both`` or itself."""
@@ -138,12 +152,13 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
 
     now, before = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head(), None
     while now != before:
-        before = now
+        before, old, scratch = now, scratch, []
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = lowest(both.filter("v > u"), both, 2 * now[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         small = lowest(large, large, 2 * now[0]).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("p"))
-        e = cut(small.select("p.u", "p.v").filter("u <> v").distinct(), tag)
+        e = cut(small.select("p.u", "p.v").filter("u <> v").distinct(), tag, scratch)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
+        remove(spark, old)
     ends = e.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(e.select(F.col("v").alias("node"), F.col("v").alias("comp")))
     return ends.groupBy("node").agg(F.min("comp").alias("comp"))
 

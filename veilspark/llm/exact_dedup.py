@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import bitmap_bits, bitmap_of, col, cut, drop_rows, keyed_rows, meet, with_hit
+from veilspark.llm.common import bitmap_bits, bitmap_of, col, cut, drop_rows, keyed_rows, meet, remove, with_hit
 
 PREFIX_CHARS = 64
 
@@ -33,11 +33,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key = F.xxhash64(F.length("norm"), F.substring("norm", 1, PREFIX_CHARS))
     levels = base.select(F.length("norm").alias("n"), F.xxhash64(F.substring("norm", 1, PREFIX_CHARS)).alias("ph"), key.alias("key"))
     alive = levels.groupBy("n", "ph").agg(F.count("*").alias("c"), F.first("key").alias("key")).filter("c > 1").select("key")
-    alive = cut(alive, "alive")
+    scratch: list[str] = []
+    alive = cut(alive, "alive", scratch)
     bits = bitmap_bits(alive.count())
     flagged = with_hit(base.withColumn("key", key), bitmap_of(alive, F.col("key"), bits), F.col("key"), "alive", bits)
     full = F.sha2(F.col("norm"), 256)
     hashed = cut(flagged.select("doc_id", "alive", (full if digest_all else F.when(F.col("alive"), full)).alias("text_sha256")), "exact")
+    remove(docs.sparkSession, scratch)
     seen = hashed.filter("alive")
     groups = seen.groupBy(F.col("text_sha256").alias("of")).agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1")
     cols = [

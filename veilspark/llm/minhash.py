@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from veilspark.llm import words
-from veilspark.llm.common import bitmap_bits, bitmap_of, col, components, cut, drop_rows, keyed_rows, meet, tidy, with_hit
+from veilspark.llm.common import bitmap_bits, bitmap_of, col, components, cut, drop_rows, keyed_rows, meet, remove, tidy, with_hit
 
 SHINGLE, BANDS, ROWS = 5, 40, 5
 #: A pair is verified when its sketches agree in at least this share of coordinates: six standard deviations
@@ -161,14 +161,14 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(v) for v in (node, comp, np.full(len(x), len(x), np.int64), x)], ["node", "comp", "n", "shingle"])
 
 
-def _prefix_pairs(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _prefix_pairs(mixed: DataFrame, sets: DataFrame, percent: int, scratch: list[str]) -> DataFrame:
     """Pairs of ``mixed(node, comp)`` in different components that share a shingle of their prefixes."""
-    rows = cut(sets.join(mixed, "node").select("node", "comp", "shingles").mapInArrow(tidy(_exploded), "node long, comp long, n long, shingle long"), "shingles")
+    rows = cut(sets.join(mixed, "node").select("node", "comp", "shingles").mapInArrow(tidy(_exploded), "node long, comp long, n long, shingle long"), "shingles", scratch)
     often = rows.groupBy("shingle").agg(F.count("*").alias("often"))
     order = Window.partitionBy("node").orderBy("often", "shingle")
     prefix = rows.join(often, "shingle").withColumn("place", F.row_number().over(order))
     prefix = prefix.filter(f"often > 1 and place <= n - ceil(n * {percent} / 100) + 1").select("shingle", "node", "comp", "n", (F.col("n") - F.col("place") + 1).alias("rest"))
-    prefix = cut(prefix, "prefix")
+    prefix = cut(prefix, "prefix", scratch)
     right = prefix.select("shingle", F.col("node").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"), F.col("rest").alias("rest_b"))
     left = prefix.select("shingle", F.col("node").alias("a"), F.col("comp").alias("comp_a"), F.col("n").alias("n_a"), F.col("rest").alias("rest_a"))
     sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
@@ -177,7 +177,7 @@ def _prefix_pairs(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return left.join(right, "shingle").filter((F.col("comp_a") < F.col("comp_b")) & sizes & enough).select("a", "b")
 
 
-def _verified(pairs: DataFrame, cand: DataFrame, sets: DataFrame, percent: int, tag: str) -> DataFrame:
+def _verified(pairs: DataFrame, cand: DataFrame, sets: DataFrame, percent: int, tag: str, scratch: list[str]) -> DataFrame:
     """The links among ``pairs(a, b)``: sizes and sketch agreement first, then the sets of what is left."""
     side_a = cand.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
     side_b = cand.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
@@ -187,7 +187,7 @@ def _verified(pairs: DataFrame, cand: DataFrame, sets: DataFrame, percent: int,
     set_a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
     set_b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
     both = likely.join(set_b, "b").join(set_a, "a").select("a", "b", "set_a", "set_b")
-    return cut(both.mapInArrow(tidy(_linked(percent)), "a long, b long"), tag)
+    return cut(both.mapInArrow(tidy(_linked(percent)), "a long, b long"), tag, scratch)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, width: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -207,30 +207,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = real.groupBy("set_key").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("copies"))
     classes = cut(first.select("set_key", "copies", F.col("first.doc_id").alias("rep"), F.col("first.row").alias("row"), F.monotonically_increasing_id().alias("node")), "classes")
     reps = real.select("row", "n_shingles", "band_keys", "sig").join(classes.select("row", "node"), "row")
+    scratch: list[str] = []
     by_band = reps.select("node", F.explode("band_keys").alias("bucket"))
     crowded = by_band.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("size")).filter("lo < hi").select("bucket", "size")
-    members = cut(by_band.join(crowded, "bucket").distinct(), "buckets")
+    members = cut(by_band.join(crowded, "bucket").distinct(), "buckets", scratch)
 
-    company = cut(members.groupBy("node").agg(F.sum("size").alias("company")), "company")
-    members = cut(members.select("bucket", "node").join(company, "node"), "members")
+    company = cut(members.groupBy("node").agg(F.sum("size").alias("company")), "company", scratch)
+    members = cut(members.select("bucket", "node").join(company, "node"), "members", scratch)
     wanted = cut(classes.join(company.select("node"), "node", "left_semi").select("node", "set_key", "rep"), "wanted")
-    cand = cut(reps.join(wanted.select("node"), "node", "left_semi").select("node", F.col("n_shingles").alias("n"), "sig"), "sigs")
+    cand = cut(reps.join(wanted.select("node"), "node", "left_semi").select("node", F.col("n_shingles").alias("n"), "sig"), "sigs", scratch)
     bits = bitmap_bits(wanted.count())
     again = with_hit(source, bitmap_of(wanted, F.xxhash64("rep"), bits), F.xxhash64("doc_id"), "hit", bits).filter("hit").select("text")
-    sets = cut(again.mapInArrow(tidy(_sets(width)), "set_key binary, shingles binary").join(wanted.select("node", "set_key"), "set_key").select("node", "shingles").dropDuplicates(["node"]), "sets")
+    sets = cut(again.mapInArrow(tidy(_sets(width)), "set_key binary, shingles binary").join(wanted.select("node", "set_key"), "set_key").select("node", "shingles").dropDuplicates(["node"]), "sets", scratch)
 
-    def labelled(links: DataFrame, step: str) -> DataFrame:
-        return cut(wanted.select("node").join(components(links, f"comp-{step}"), "node", "left").select("node", F.coalesce("comp", "node").alias("comp")), f"labels-{step}")
+    def labelled(links: DataFrame, step: str, made: list[str] | None = None) -> DataFrame:
+        return cut(wanted.select("node").join(components(links, f"comp-{step}"), "node", "left").select("node", F.coalesce("comp", "node").alias("comp")), f"labels-{step}", made)
 
     central = F.max_by("node", F.struct("company", "node")).alias("central")
     anchors = members.groupBy("bucket").agg(F.min("node").alias("low"), central)
     pairs = members.join(anchors, "bucket").select(F.col("node").alias("b"), F.explode(F.array("low", "central")).alias("a")).filter("a <> b")
-    links = _verified(pairs, cand, sets, percent, "links-anchors")
-    known = members.join(labelled(links, "anchors"), "node").select("bucket", "node", "comp")
+    links = _verified(pairs, cand, sets, percent, "links-anchors", scratch)
+    known = members.join(labelled(links, "anchors", scratch), "node").select("bucket", "node", "comp")
     split = known.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("bucket")
-    mixed = cut(known.join(split, "bucket", "left_semi").select("node", "comp").distinct(), "mixed")
-    links = links.unionByName(_verified(_prefix_pairs(mixed, sets, percent), cand, sets, percent, "links-rest"))
+    mixed = cut(known.join(split, "bucket", "left_semi").select("node", "comp").distinct(), "mixed", scratch)
+    links = links.unionByName(_verified(_prefix_pairs(mixed, sets, percent, scratch), cand, sets, percent, "links-rest", scratch))
     labels = labelled(links, "rest").join(wanted, "node")
+    remove(docs.sparkSession, scratch)
 
     lowest = labels.groupBy("comp").agg(F.min("rep").alias("component"), F.count("*").alias("n")).filter("n > 1").select("comp", "component")
     # a class that stands for itself only, and is no copy, needs no look-up

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm import words
-from veilspark.llm.common import col, cut, fresh, release, tidy
+from veilspark.llm.common import col, cut, fresh, release, remove, tidy
 
 #: Documents whose features train the scorer at most, chosen by a hash of their id and text.
 SAMPLE = 4096
@@ -216,13 +216,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     total = max(1, docs.count())
     text = F.coalesce(col(text_col).cast("string"), F.lit(""))
     draw = F.pmod(F.xxhash64(F.lit("sample"), col(id_col).cast("string"), text), F.lit(1 << 32))
-    table = cut(docs.select(F.lit(0), text, draw).mapInArrow(tidy(_label(min(1.0, 1.25 * sample / total))), "code long, draw long, spots binary, values binary"), "votes")
+    table = cut(docs.select(F.lit(0), text, draw).mapInArrow(tidy(_label(min(1.0, 1.25 * sample / total))), "code long, draw long, spots binary, values binary"), "votes", scratch := [])
     counts = table.groupBy("code").count().orderBy("code").toPandas()
     codes, n = counts["code"].to_numpy(np.int64), counts["count"].to_numpy(float)
     if not len(codes):
         return None, np.zeros((len(HEURISTICS), 2, 3))
     post, votes = fit_labels(codes, n)
     rows = table.filter("spots is not null").orderBy("draw", "code").limit(sample).toArrow()
+    remove(docs.sparkSession, scratch)
     if not rows.num_rows:
         return None, votes
     spots, values = (np.frombuffer(b"".join(rows[c].to_pylist()), kind) for c, kind in (("spots", "<u2"), ("values", "<f2")))
