@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veilspark.functions import checksums as C
 from veilspark.operators.anonymize import anonymize
-from veilspark.operators.scan import by_start, span
+from veilspark.operators.scan import NO_SPANS, by_start, span
 
 SPAN_COLUMNS = ("doc_id", "label", "start", "end")
 
@@ -146,6 +146,7 @@ def miss_reason(label: Column, value: Column) -> Column:
 
 
 def desired(text: Column, truth: Column) -> Column:
-    """``text`` with every labelled span (``array<struct<entity_type,start_position,end_position>>``) replaced by its tag."""
-    spans = F.transform(F.coalesce(truth, F.array().cast("array<struct<entity_type:string,start_position:int,end_position:int>>")), lambda t: span(t["entity_type"], t["start_position"], t["end_position"], F.lit(1.0), F.lit("truth")))
+    """``text`` with every labelled span (an array of ``entity_type``, ``start_position``, ``end_position``) replaced by its tag."""
+    spans = F.transform(truth, lambda t: span(t["entity_type"], t["start_position"], t["end_position"], F.lit(1.0), F.lit("truth")))
+    spans = F.coalesce(spans, F.array().cast(NO_SPANS))
     return anonymize(F.coalesce(text, F.lit("")), by_start(spans))["text"]

@@ -6,7 +6,7 @@ import logging
 from collections.abc import Iterable, Iterator, Mapping
 from contextlib import contextmanager
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.operators.rules import Rule
@@ -29,6 +29,19 @@ def quiet() -> Iterator[None]:
     finally:
         utils._enable_debugging_cache = before
 
+
+@contextmanager
+def deep(df: DataFrame, iterations: int = 1000) -> Iterator[None]:
+    """Let the analyzer take as many rounds as long chains of functions on arrays need, one for each link."""
+    conf, key = df.sparkSession.conf, "spark.sql.analyzer.maxIterations"
+    before = conf.get(key)
+    conf.set(key, str(max(iterations, int(before))))
+    try:
+        yield
+    finally:
+        conf.set(key, before)
+
+
 SPAN = "struct<entity_type:string,start:int,end:int,score:double,recognizer:string>"
 NO_SPANS = f"array<{SPAN}>"
 

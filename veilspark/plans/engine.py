@@ -97,8 +97,9 @@ class Analyzer:
         the word of the context that raised it, if one did. This is the decision process that ``spans`` leaves out."""
         found, toks = "veil_found", "veil_tokens"
         text = F.coalesce(F.col(text_col), F.lit(""))
-        wide = df.withColumn(found, self._found(text, **options)).withColumn(toks, engine_of(self.nlp).tokens(text))
-        wide = wide.withColumn("explained", self._settled(text, F.col(found), F.col(toks), **options))
+        with S.deep(df):
+            wide = df.withColumn(found, self._found(text, **options)).withColumn(toks, engine_of(self.nlp).tokens(text))
+            wide = wide.withColumn("explained", self._settled(text, F.col(found), F.col(toks), **options))
         rules = self._rules(**options)
         same = lambda f, s: (f["recognizer"] == s["recognizer"]) & (f["start"] == s["start"]) & (f["end"] == s["end"])
         with S.quiet():
@@ -108,6 +109,10 @@ class Analyzer:
     def analyze(self, df: DataFrame, text_col: str = "text", **options) -> DataFrame:
         """``df`` with a column ``spans``. In the full profile what rules find and the text's tokens are columns of their
         own on the way, which keeps expressions small; no rows move."""
+        with S.deep(df):
+            return self._analyzed(df, text_col, **options)
+
+    def _analyzed(self, df: DataFrame, text_col: str, **options) -> DataFrame:
         if self.profile == "regex_only":
             return df.withColumn("spans", self.spans(F.col(text_col), **options))
         found, toks = "veil_found", "veil_tokens"
@@ -194,7 +199,8 @@ def scrub_nested(df: DataFrame, analyzer: Analyzer, operators: Mapping[str, A.Op
 
     parts = {f.name: named(f.dataType, f.name, frozenset(skip), ()) for f in df.schema.fields}
     # made once and then taken apart: text and items must agree on what a random vector or salt has given
-    made = df.select(*[p.make(F.col(f"`{n}`")).alias(n) for n, p in parts.items()])
+    with S.deep(df):
+        made = df.select(*[p.make(F.col(f"`{n}`")).alias(n) for n, p in parts.items()])
     texts = [p.pick(F.col(f"`{n}`"), "text").alias(n) for n, p in parts.items()]
     if items_col is None:
         return made.select(*texts)
@@ -225,5 +231,5 @@ def restore_nested(df: DataFrame, items_col: str, operators: Mapping[str, A.Oper
     known = {f.name: f.dataType for f in kinds.fields}
     own = [f for f in df.schema.fields if f.name != items_col]
     back = [walk(F.col(f"`{f.name}`"), f.dataType, F.col(f"`{items_col}`")[f.name], known[f.name]).alias(f.name) if f.name in known else F.col(f"`{f.name}`") for f in own]
-    with S.quiet():
+    with S.quiet(), S.deep(df):
         return df.select(*back)
