@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.operators.scan import NO_SPANS, let
+from veilspark.operators.scan import NO_SPANS, let, matches
 
 CHUNKS = "array<struct<text:string,start:int,end:int>>"
 
@@ -58,22 +58,17 @@ def by_tokens(text: Column, size: int = 256, overlap: int = 32, token: str = r"\
     _checked(size, overlap)
     text = F.coalesce(text, F.lit(""))
 
-    def pieces(pairs: Column) -> Column:
-        n = F.size(pairs)
-        joined = lambda start, count: F.array_join(F.transform(F.slice(pairs, start, count), lambda p: F.concat(p["gap"], p["token"])), "")
+    def pieces(found: Column) -> Column:
+        n = F.size(found)
 
         def piece(i: Column) -> Column:
-            gap = F.length(F.try_element_at(pairs, i + 1)["gap"])
-            before = F.length(joined(F.lit(1), i)) + gap
-            return let(F.substr(joined(i + 1, F.lit(size)), gap + 1), lambda t: F.struct(t.alias("text"), before.alias("start"), (before + F.length(t)).alias("end")))
+            first, last = F.element_at(found, i + 1)["start"], F.element_at(found, F.least(i + size, n))["end"]
+            return _piece(text, first, last)
 
         starts = F.sequence(F.lit(0), F.greatest(n - overlap - 1, F.lit(0)), F.lit(size - overlap))
         return F.when(n > 0, F.transform(starts, piece)).otherwise(F.array().cast(CHUNKS))
 
-    found = F.regexp_extract_all(text, F.lit(token), F.lit(0))
-    pair = lambda m, g: F.struct(m.alias("token"), g.alias("gap"))
-    pairs = let(found, lambda f: F.zip_with(f, F.slice(F.split(text, token, -1), F.lit(1), F.size(f)), pair))
-    return let(pairs, pieces)
+    return let(matches(text, token), pieces)
 
 
 CHUNKERS: dict[str, Callable[..., Column]] = {"character": by_characters, "token": by_tokens}

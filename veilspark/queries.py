@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilspark import span_queries
 from veilspark.functions import checksums as C
 from veilspark.operators import chunk, evaluate, scan
 from veilspark.operators.anonymize import Operator, anonymize, deanonymize
 from veilspark.operators.rules import CATALOG
-from veilspark import span_queries
 from veilspark.plans.engine import Analyzer, explode_spans, rewrite
+from veilspark.sources.spread import spread
 
 RULES = {r.name: r for r in CATALOG}
 
@@ -27,7 +28,7 @@ FROM (SELECT c_custkey, lpad(cast((c_custkey * 7919 + 31) % 1000000000 AS string
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))
 
 
 def _derived(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ from veilspark.operators.anonymize import Operator
 from veilspark.operators.rules import CATALOG
 from veilspark.plans.engine import Analyzer, restore_nested, rewrite, scrub_nested
 from veilspark.sources import labelled
+from veilspark.sources.spread import spread
 from veilspark.streaming import counts
 
 RULES = {r.name: r for r in CATALOG}
@@ -80,7 +81,7 @@ def analyze_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def analyze_documents_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full profile over whole documents: how many spans of certain kinds each has, and a score each."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     kinds = ["EMAIL_ADDRESS", "CREDIT_CARD", "IP_ADDRESS"]
     spans = Analyzer(threshold=0.6).analyze(docs, entities=kinds).select("doc_id", F.explode("spans").alias("s"))
     return spans.groupBy("doc_id", F.col("s.entity_type").alias("entity_type")).agg(F.count("*").alias("n"), F.round(F.max("s.score"), 3).alias("score"))
