@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark import span_queries
+from veilspark import catalog_queries, span_queries
 from veilspark.functions import checksums as C
 from veilspark.operators import chunk, evaluate, scan
 from veilspark.operators.anonymize import Operator, anonymize, deanonymize
@@ -210,8 +210,8 @@ SELECT doc_id, i // 48 AS chunk, len(t[i + 1:i + 64]) AS n_tokens, md5(array_to_
     "recall_by_label": f"SELECT 'US_SSN' AS label, count(*) FILTER (ok) AS found, count(*) FILTER (NOT ok) AS missed, count(*) AS total, round(count(*) FILTER (ok) / count(*), 3) AS recall FROM ({_SSN_SQL})",
 }
 
-QUERIES |= span_queries.QUERIES
-ORACLES |= span_queries.ORACLES
+QUERIES |= span_queries.QUERIES | catalog_queries.QUERIES
+ORACLES |= span_queries.ORACLES | catalog_queries.ORACLES
 
 _VERHOEFF = [[(j + k) % 5 if j < 5 and k < 5 else 5 + (j + k) % 5 if j < 5 else 5 + (j - k) % 5 if k < 5 else (j - k) % 5 for k in range(10)] for j in range(10)]
 _TURN = [1, 5, 7, 6, 2, 8, 3, 0, 9, 4]
