@@ -6,6 +6,7 @@ import dataclasses
 import hashlib
 import json
 import logging
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -161,6 +162,18 @@ def test_reasons_for_misses(spark):
     assert [r.g for r in out] == [r.w for r in out]
 
 
+def test_surrogates_keep_the_shape(spark):
+    out = spark.createDataFrame([("AB-12 é x9",), ("AB-12 é x9",), ("AB-12 é x8",)], "text string").select(A.surrogate(Operator("surrogate", {"key": "k"}), F.col("text"), F.lit("A")).alias("a"), A.surrogate(Operator("surrogate"), F.col("text"), F.lit("A")).alias("b")).collect()
+    assert out[0] == out[1] and out[0].a != out[2].a and out[0].a != out[0].b
+    assert all(re.fullmatch(r"[A-Z]{2}-\d{2} é [a-z]\d", r.a) for r in out)
+
+
+def test_traces(spark):
+    df = spark.createDataFrame([(1, "my ssn is 523-45-6788")], "doc_id long, text string")
+    line = labelled.trace_lines(Analyzer((RULES["UsSsn"],)).explain(df), F.lit("r1")).head().value
+    assert line.startswith("[r1][trace] [{") and json.loads(line[len("[r1][trace] ") :])[0]["context_word"] == "ssn"
+
+
 def test_rates_without_a_denominator(spark):
     counts = spark.createDataFrame([("A", 1, 0, 0), ("B", 0, 0, 2)], "label string, tp long, fp long, fn long")
     got = {r.label: r for r in evaluate.with_rates(counts).collect()}

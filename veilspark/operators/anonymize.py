@@ -99,8 +99,22 @@ def custom(op: Operator, text: Column, entity: Column) -> Column:
     return call(text).cast("string")
 
 
+def surrogate(op: Operator, text: Column, entity: Column) -> Column:
+    """A value of the same shape, without a service: each letter and digit becomes another one, the same for the same text,
+    entity type and ``key``. Other signs stay. An offline stand-in that knows nothing of what names or places look like."""
+    key = F.lit(str(op.params.get("key", "")))
+    seed = F.sha2(F.concat_ws("\0", key, entity, text), 512)
+
+    def moved(c: Column, i: Column) -> Column:
+        step = F.conv(F.substr(seed, i * 2 % 126 + 1, F.lit(2)), 16, 10).cast("int")
+        turn = lambda first, n: F.char((F.ascii(c) - first + step) % n + first)
+        return F.when(c.between("0", "9"), turn(48, 10)).when(c.between("a", "z"), turn(97, 26)).when(c.between("A", "Z"), turn(65, 26)).otherwise(c)
+
+    return F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), moved), "")
+
+
 Builder = Callable[[Operator, Column, Column], Column]
-FORWARD: dict[str, Builder] = {"replace": replace, "redact": redact, "mask": mask, "hash": hash_, "encrypt": encrypt, "keep": keep, "custom": custom}
+FORWARD: dict[str, Builder] = {"replace": replace, "redact": redact, "mask": mask, "hash": hash_, "encrypt": encrypt, "keep": keep, "custom": custom, "surrogate": surrogate}
 BACK: dict[str, Builder] = {"decrypt": decrypt, "deanonymize_keep": keep}
 
 

@@ -172,6 +172,11 @@ def write_text_report(df: DataFrame, path: str, id_col: str = "doc_id") -> None:
     report_lines(df, id_col).select("value").write.mode("overwrite").text(path)
 
 
+def trace_lines(df: DataFrame, request: Column, id_col: str = "doc_id") -> DataFrame:
+    """``(doc_id, value)``: a line of the decision process for each record of ``Analyzer.explain``, named by its request."""
+    return df.select(id_col, F.concat(F.lit("["), request.cast("string"), F.lit("][trace] "), F.to_json("explained")).alias("value"))
+
+
 def cases(df: DataFrame, each: int = 3, id_col: str = "doc_id") -> DataFrame:
     """``(entity_type, doc_id, start, end, score, matched_text)``: up to ``each`` examples of every entity, those of the smallest ids."""
     found = df.select(F.col(id_col).alias("doc_id"), F.explode(F.transform("spans", lambda s: F.struct(s.alias("s"), text_of(F.col("text"), s).alias("matched_text")))).alias("p"))
