@@ -73,6 +73,24 @@ def test_minhash_links_chains_and_crowds(spark):
     assert [out[i].component_id for i in range(60)] == root
 
 
+def test_minhash_recall_at_the_threshold(spark):
+    """Pairs around 0.75, in a crowd that shares a passage: links found, of those that full sets say."""
+    rng = np.random.default_rng(11)
+    shared = [f"s{k}" for k in range(30)]
+    texts = []
+    for i in range(150):
+        w = [f"p{i}_{k}" for k in range(170)] + shared
+        texts.append(" ".join(w))
+        cut_ = int(rng.integers(24, 34))  # similarity (196 - cut) / (196 + cut)
+        texts.append(" ".join(w[: len(w) - cut_] + [f"q{i}_{k}" for k in range(cut_)]))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(196)} for t in texts]
+    alike = [100 * len(sets[i] & sets[i + 1]) >= 75 * len(sets[i] | sets[i + 1]) for i in range(0, 300, 2)]
+    out = _by_id(minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    found = [out[i + 1].component_id == i for i in range(0, 300, 2)]
+    assert 50 <= sum(alike) < 100 and not any(f and not a for f, a in zip(found, alike, strict=True))
+    assert sum(found) >= 0.99 * sum(alike)
+
+
 def test_bpe_like_the_library(docs, none):
     tokenizers = pytest.importorskip("tokenizers")
     lib = tokenizers.Tokenizer.from_file(tokenizer_path())
