@@ -185,6 +185,20 @@ def test_embeddings_are_compared_in_full_when_no_graph_passes(spark, monkeypatch
     assert out[1].component_id == 0 and all(out[i].component_id == 50 for i in range(50, 60))
 
 
+def test_embeddings_lists_grow_when_saturated(spark, monkeypatch):
+    """The first audit is made to fail: lists that are full of links get twice the length, and the result is the same."""
+    rng = np.random.default_rng(12)
+    x = np.concatenate([[_at(rng, v, 0.98) for _ in range(25)] for v in rng.standard_normal((4, 24))] + [rng.standard_normal((60, 24))])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = unit @ unit.T >= 0.9
+    sizes, audit, graph = [], embed.audit, embed.neighbour_graph
+    monkeypatch.setattr(embed, "neighbour_graph", lambda vectors, n, cosine, k, *a: sizes.append(k) or graph(vectors, n, cosine, k, *a))
+    monkeypatch.setattr(embed, "audit", lambda *a: audit(*a) if len(sizes) > 1 else 0.0)
+    out = _by_id(embed.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")), "vec_id")
+    assert sizes == [embed.K, 2 * embed.K]
+    assert [out[i].n_links for i in range(len(x))] == (link.sum(axis=1) - 1).tolist()
+
+
 def test_embeddings_audit_counts_vectors_not_links(spark):
     rng = np.random.default_rng(9)
     crowd = rng.standard_normal(32)

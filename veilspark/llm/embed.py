@@ -8,11 +8,12 @@ its neighbours and those that hold it as one, in bounded groups. Pairs at the th
 Equal vectors become one class before anything is compared: a class is its smallest id and a weight, so copies cost one
 row and can't fill the lists of their neighbours. Links are counted by weight.
 
-A list that is full of links is saturated. It is enlarged without listing pairs: all saturated members are hashed by sign
-again, and where groups hold several components, members of different ones are compared in blocks (a link with a vector
-that isn't saturated stands in that one's list). Components with a link between them are put together, and then all members of what belongs together are compared in blocks of BLOCK in double precision. Blocks emit counts and
+A list that is full of links is saturated. What it can't hold is found without listing pairs: all saturated members are
+hashed by sign again, and where groups hold several components, members of different ones are compared in blocks (a link
+with a vector that isn't saturated stands in that one's list). Components with a link between them are put together, and then all members of what belongs together are compared in blocks of BLOCK in double precision. Blocks emit counts and
 linked components, never pairs. An audit compares a bounded number of vectors with all rows; when fewer than LEAST_RECALL
-of their links were found, or of the vectors of any size of group all of whose links were found, the graph is refined from twice as many further hash tables and audited again. If the graph of
+of their links were found, or of the vectors of any size of group all of whose links were found, the graph is refined from
+twice as many further hash tables, with lists of twice the length where any is saturated, and audited again. If the graph of
 MOST times the tables still falls short, all vectors are compared with each other in blocks, which leaves nothing out.
 """
 
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import col, components, cut, tidy
+from veilspark.llm.common import col, components, cut, remove, tidy
 
 K, GROUP, BLOCK, AUDITED, LEAST_RECALL, ROUNDS, MOST = 8, 256, 1024, 64, 0.99, 2, 8
 
@@ -143,8 +144,8 @@ def _met(pairs: DataFrame, vectors: DataFrame, k: int, least: float, limit: int)
     return members.select("members").mapInArrow(tidy(_best(k, least)), _LIST)
 
 
-def _merged(lists: DataFrame, k: int, tag: str) -> DataFrame:
-    return cut(lists.groupBy("vec_id").agg(F.collect_list(F.struct("near", "sims")).alias("parts")).mapInArrow(_merge(k), _LIST), tag)
+def _merged(lists: DataFrame, k: int, tag: str, scratch: list[str]) -> DataFrame:
+    return cut(lists.groupBy("vec_id").agg(F.collect_list(F.struct("near", "sims")).alias("parts")).mapInArrow(tidy(_merge(k)), _LIST), tag, scratch)
 
 
 def _full(graph: DataFrame, cosine: float, k: int) -> DataFrame:
@@ -152,10 +153,10 @@ def _full(graph: DataFrame, cosine: float, k: int) -> DataFrame:
     return graph.filter((F.size("sims") >= k) & (F.element_at("sims", F.lit(-1)) >= cosine - 1e-5)).select("vec_id")
 
 
-def _rest(codes: DataFrame, vectors: DataFrame, graph: DataFrame, cosine: float, k: int) -> DataFrame | None:
+def _rest(codes: DataFrame, vectors: DataFrame, graph: DataFrame, cosine: float, k: int, scratch: list[str]) -> DataFrame | None:
     """What ``_met`` leaves out of the groups it splits: members whose lists aren't full against the whole of their groups, in blocks."""
     large = codes.join(codes.groupBy("place").agg(F.count("*").alias("size")).filter(F.col("size") > GROUP), "place")
-    flagged = cut(large.join(_full(graph, cosine, k).withColumn("full", F.lit(True)), "vec_id", "left").select("place", "vec_id", "size", F.col("full").isNull().alias("open")), "large")
+    flagged = cut(large.join(_full(graph, cosine, k).withColumn("full", F.lit(True)), "vec_id", "left").select("place", "vec_id", "size", F.col("full").isNull().alias("open")), "large", scratch)
     sizes = flagged.groupBy("place").agg(F.ceil(F.count_if("open") / BLOCK).cast("int").alias("lefts"), F.ceil(F.count("*") / BLOCK).cast("int").alias("rights")).filter("lefts > 0")
     if sizes.isEmpty():
         return None
@@ -177,18 +178,24 @@ def _tables(n: int, cosine: float, more: int) -> tuple[int, int]:
 def neighbour_graph(vectors: DataFrame, n: int, cosine: float, k: int = K, rounds: int = ROUNDS, more: int = 1, before: DataFrame | None = None) -> DataFrame:
     """``(vec_id, near, sims)``: about the ``k`` nearest of each of ``n`` unit vectors ``(vec_id, x)``. ``before``: a graph to start from besides."""
     bits, tables = _tables(n, cosine, more)
-    codes = cut(vectors.mapInArrow(_codes(bits, tables, more), "vec_id long, bucket long"), "codes").withColumnRenamed("bucket", "place")
+    spark, scratch, old = vectors.sparkSession, [], []
+    codes = cut(vectors.mapInArrow(tidy(_codes(bits, tables, more)), "vec_id long, bucket long"), "codes", old).withColumnRenamed("bucket", "place")
     first = _met(codes, vectors, k, cosine - 0.4, GROUP)
-    graph = _merged(first if before is None else first.unionByName(before), k, "graph")
-    rest = _rest(codes, vectors, graph, cosine, k)
+    graph = _merged(first if before is None else first.unionByName(before), k, "graph", scratch)
+    rest = _rest(codes, vectors, graph, cosine, k, old)
     if rest is not None:
-        graph = _merged(graph.unionByName(rest), k, "graph")
+        old += scratch
+        scratch = []
+        graph = _merged(graph.unionByName(rest), k, "graph", scratch)
+    remove(spark, old)
     for _ in range(rounds):
         links = graph.select("vec_id", F.explode("near").alias("near"))
         pairs = links.select(F.col("vec_id").alias("place"), F.col("near").alias("vec_id")).union(links.select(F.col("near").alias("place"), "vec_id")).union(graph.select(F.col("vec_id").alias("place"), "vec_id")).distinct()
-        fresh = _merged(graph.select("vec_id", "near", "sims").unionByName(_met(pairs, vectors, k, cosine - 0.4, 64)), k, "graph")
+        old, scratch = scratch, []
+        fresh = _merged(graph.select("vec_id", "near", "sims").unionByName(_met(pairs, vectors, k, cosine - 0.4, 64)), k, "graph", scratch)
         moved, total = graph.select(F.xxhash64("vec_id", F.array_sort("near")).alias("h")).join(fresh.select(F.xxhash64("vec_id", F.array_sort("near")).alias("h")), "h", "left_semi").count(), fresh.count()
         graph = fresh
+        remove(spark, old)
         if moved >= 0.99 * total:
             break
     return graph
@@ -247,7 +254,7 @@ def _across(full: DataFrame, vectors: DataFrame, n: int, cosine: float, more: in
     """Pairs of components ``(a, b)`` of which two of the ``n`` members ``full(node, comp)`` share a sign hash and a link."""
     own = cut(vectors.join(full.select(F.col("node").alias("vec_id"), "comp"), "vec_id").select("vec_id", "x", "comp"), "full-vectors")
     bits, tables = _tables(n, cosine, more)
-    codes = cut(own.select("vec_id", "x").mapInArrow(_codes(bits, tables, MOST + more), "vec_id long, bucket long").withColumnRenamed("bucket", "place"), "full-codes")
+    codes = cut(own.select("vec_id", "x").mapInArrow(tidy(_codes(bits, tables, MOST + more)), "vec_id long, bucket long").withColumnRenamed("bucket", "place"), "full-codes")
     named = codes.join(own.select("vec_id", "comp"), "vec_id")
     mixed = named.groupBy("place").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("place", "blocks")
     placed = codes.join(mixed, "place").withColumn("block", F.pmod(F.xxhash64("vec_id", "place"), F.col("blocks")).cast("int")).join(own, "vec_id")
@@ -320,7 +327,7 @@ def audit(vectors: DataFrame, found: DataFrame, cosine: float, size: int = AUDIT
         some += [(t["vec_id"], bytes(t["x"]), t["got"], r["n"] / len(taken)) for t in taken]
     if not some:
         return 1.0
-    true = {r["vec_id"]: r["n"] for r in vectors.mapInArrow(_compare([s[:2] for s in some], cosine), "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("n")).collect()}
+    true = {r["vec_id"]: r["n"] for r in vectors.mapInArrow(tidy(_compare([s[:2] for s in some], cosine)), "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("n")).collect()}
     whole: dict[int, list[float]] = {}
     links = [0.0, 0.0]
     for i, _, got, stands in some:
@@ -357,6 +364,8 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vec_col: str = "em
             found = _exact(vectors, graph, cosine)
             break
         more *= 2
+        if not _full(graph, cosine, k).isEmpty():
+            k *= 2
         graph = neighbour_graph(vectors, n, cosine, k, rounds, more, graph)
         found = _settled(vectors, graph, cosine, k, more)
     by_class = classes.join(found.withColumnRenamed("vec_id", "rep"), "rep", "left")
