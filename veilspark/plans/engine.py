@@ -95,7 +95,7 @@ class Analyzer:
     def explain(self, df: DataFrame, text_col: str = "text", **options) -> DataFrame:
         """``df`` with a column ``explained``: the spans with their text, their score before context (``original_score``) and
         the word of the context that raised it, if one did. This is the decision process that ``spans`` leaves out."""
-        found, toks = "veil_found", "veil_tokens"
+        found, toks = _free(df, "veil_found", "veil_tokens")
         text = F.coalesce(F.col(text_col), F.lit(""))
         with S.deep(df):
             wide = df.withColumn(found, self._found(text, **options)).withColumn(toks, engine_of(self.nlp).tokens(text))
@@ -115,12 +115,22 @@ class Analyzer:
     def _analyzed(self, df: DataFrame, text_col: str, **options) -> DataFrame:
         if self.profile == "regex_only":
             return df.withColumn("spans", self.spans(F.col(text_col), **options))
-        found, toks = "veil_found", "veil_tokens"
+        found, toks = _free(df, "veil_found", "veil_tokens")
         text = F.col(text_col)
         wide = df.withColumn(found, self._found(text, **options)).withColumn(toks, options.get("tokens") if options.get("tokens") is not None else engine_of(self.nlp).tokens(F.coalesce(text, F.lit(""))))
         return wide.withColumn("spans", self._settled(text, F.col(found), F.col(toks), **options)).drop(found, toks)
 
 
+def _free(df: DataFrame, *names: str) -> list[str]:
+    """``names`` with underscores behind those that ``df`` has."""
+    out = []
+    for name in names:
+        while name in df.columns:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def rewrite(text: Column, spans: Column, operators: Mapping[str, A.Operator] | None = None, profile: str = "full", strategy: str = "merge_similar_or_contained") -> Column:
     """``struct<text, items>`` after conflicts between spans are settled the profile's way."""
     text = F.coalesce(text, F.lit(""))

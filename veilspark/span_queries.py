@@ -293,7 +293,9 @@ def evaluate_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     truth, found = _truth_and_found(spark, sf_dir)
     a, b = evaluate.split_reach(truth, found)
     _, c = evaluate.split_reach(truth, found, unmeasurable_is_spurious=True)
-    return a.agg(F.count("*").alias("reachable")).crossJoin(b.agg(F.count("*").alias("measurable"))).crossJoin(c.agg(F.count("*").alias("predicted")))
+    names = ("reachable", "measurable", "predicted")
+    each = [df.agg(F.count("*").alias("n")).select(*[F.when(F.lit(name == other), F.col("n")).alias(other) for other in names]) for name, df in zip(names, (a, b, c), strict=True)]
+    return each[0].unionByName(each[1]).unionByName(each[2]).agg(*[F.sum(n).alias(n) for n in names])
 
 
 def architecture_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
