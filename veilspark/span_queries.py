@@ -131,7 +131,7 @@ def context_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of a number under several enhancers, words given from outside, and none."""
     df = _made(spark, sf_dir, NOTES).withColumn("ref", F.concat(F.lit("ref "), F.col("k")))
     rule = (RULES["UsSsn"],)
-    score = lambda text, **o: F.round(F.try_element_at(Analyzer(rule, **{k: v for k, v in o.items() if k == "enhancer"}).spans(F.col(text), context=o.get("context", ())), F.lit(1))["score"], 3)
+    score = lambda text, **o: F.coalesce(F.round(F.try_element_at(Analyzer(rule, **{k: v for k, v in o.items() if k == "enhancer"}).spans(F.col(text), context=o.get("context", ())), F.lit(1))["score"], 3), F.lit(-1.0))
     strict = dataclasses.replace(FULL.enhancer, mode="whole_word", factor=0.1, floor=0.2)
     none = dataclasses.replace(FULL.enhancer, prefix=0)
     return df.select("doc_id", score("text").alias("usual"), score("text", enhancer=strict).alias("whole_word"), score("text", enhancer=none).alias("no_window"), score("ref").alias("without"), score("ref", context=("ssn",)).alias("given"))
@@ -373,7 +373,7 @@ ORACLES: dict[str, str] = {
     "anonymize_custom_function": f"""SELECT doc_id, {_notes("(CASE WHEN ok THEN reverse(k) ELSE k END)", "ip")} AS reversed, {_notes("(CASE WHEN ok THEN '<US_SSN>' ELSE k END)", "'ip_address=' || cast(length(ip) AS varchar)")} AS spelled, cast(1 + cast(ok AS int) AS bigint) AS n_items FROM ({_PLACES})""",
     "deanonymize_keep": f"""SELECT doc_id, {_notes("k", "'<IP_ADDRESS>'")} AS text FROM ({_PLACES})""",
     "explain_context": f"SELECT doc_id, 'US_SSN' AS entity_type, k AS matched, 0.5::DOUBLE AS original_score, 0.85::DOUBLE AS score, 'social' AS context_word FROM ({_PLACES}) WHERE ok UNION ALL SELECT doc_id, 'IP_ADDRESS', ip, 0.6::DOUBLE, 0.6::DOUBLE, '-' FROM ({_PLACES})",
-    "context_modes": f"SELECT doc_id, CASE WHEN ok THEN 0.85::DOUBLE END AS usual, CASE WHEN ok THEN 0.6::DOUBLE END AS whole_word, CASE WHEN ok THEN 0.5::DOUBLE END AS no_window, CASE WHEN ok THEN 0.5::DOUBLE END AS without, CASE WHEN ok THEN 0.85::DOUBLE END AS given FROM ({_PLACES})",
+    "context_modes": f"SELECT doc_id, CASE WHEN ok THEN 0.85::DOUBLE ELSE -1.0::DOUBLE END AS usual, CASE WHEN ok THEN 0.6::DOUBLE ELSE -1.0::DOUBLE END AS whole_word, CASE WHEN ok THEN 0.5::DOUBLE ELSE -1.0::DOUBLE END AS no_window, CASE WHEN ok THEN 0.5::DOUBLE ELSE -1.0::DOUBLE END AS without, CASE WHEN ok THEN 0.85::DOUBLE ELSE -1.0::DOUBLE END AS given FROM ({_PLACES})",
     "score_thresholds": f"SELECT doc_id, count(*) FILTER (r >= CASE t WHEN 'A' THEN 0.5 ELSE 0.3 END) AS own, count(*) FILTER (r >= 0.7) AS request, count(*) FILTER (r >= 0.2) AS engine FROM ({SPANS}) GROUP BY doc_id",
     "deny_list_scan": _COLOUR_SQL.replace("<which>", "lower(w) IN ('red', 'blue')"),
     "allow_list_exact": _COLOUR_SQL.replace("<which>", "w = 'red'"),
