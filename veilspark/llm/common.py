@@ -123,17 +123,20 @@ def drop_rows(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
 def meet(rows: DataFrame, key: str, table: DataFrame, of: str, n: str, total: int, how: str = "inner") -> DataFrame:
     """``rows`` joined to the one row of ``table`` whose ``of`` is their ``key``; ``n`` tells how many rows that is, of ``total`` in all.
 
-    Keys of many rows, HUBS of them at most, are met by broadcast, so that no task gets all rows of one.
+    Keys of many rows, HUBS of them at most, are met by broadcast; in the join of the others their rows have no key, but
+    each a number of its own, so that no task gets all rows of one.
     """
     least = max(HUB_ROWS, total // HUBS)
     if total <= least:
         return rows.join(table, col(key) == col(of), how)
-    own, other = [col(c) for c in rows.columns], table.columns
+    other, hot_of = table.columns, f"hot_{of}"
+    dealt, zero = fresh([*rows.columns, *other], "dealt", "zero")
     hot = table.filter(col(n) > least).toDF(*[f"hot_{c}" for c in other])
-    flagged = rows.join(F.broadcast(hot), col(key) == col(f"hot_{of}"), "left")
-    near = flagged.filter(col(f"hot_{of}").isNotNull()).select(*own, *[col(f"hot_{c}").alias(c) for c in other])
-    far = flagged.filter(col(f"hot_{of}").isNull()).select(*own).join(table.filter(col(n) <= least), col(key) == col(of), how)
-    return near.unionByName(far)
+    flagged = rows.join(F.broadcast(hot), col(key) == col(hot_of), "left")
+    spread = F.when(col(hot_of).isNull(), 0).otherwise(F.pmod(F.xxhash64(*map(col, rows.columns)), F.lit(1 << 20)) + 1)
+    met = flagged.withColumn(dealt, spread).join(table.withColumn(zero, F.pmod(col(n), F.lit(1)).cast("long")), (F.when(col(hot_of).isNull(), col(key)) == col(of)) & (col(dealt) == col(zero)), "left")
+    told = met.select(*map(col, rows.columns), *[F.coalesce(col(f"hot_{c}"), col(c)).alias(c) for c in other])
+    return told if how == "left" else told.filter(col(of).isNotNull())
 
 
 def components(edges: DataFrame, tag: str) -> DataFrame:
