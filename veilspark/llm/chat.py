@@ -11,18 +11,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import cut
-
+from veilspark.llm.common import col, cut
 
 
 def _turn(role_col: str, text_col: str) -> tuple[Column, Column]:
-    return F.coalesce(F.col(role_col).cast("string"), F.lit("unknown")), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return F.coalesce(col(role_col).cast("string"), F.lit("unknown")), F.coalesce(col(text_col).cast("string"), F.lit(""))
 
 
 def snapshots(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """Return ``(conv_id, n_turns, last, rolling)``: rolling hashes of each conversation's turns in order."""
     role, text = _turn(role_col, text_col)
-    hashed = turns.select(F.col(conv_col).alias("conv_id"), F.struct(F.col(turn_col).alias("turn"), F.md5(F.concat(F.md5(role), F.md5(text))).alias("h")).alias("t"))
+    hashed = turns.select(col(conv_col).alias("conv_id"), F.struct(col(turn_col).alias("turn"), F.md5(F.concat(F.md5(role), F.md5(text))).alias("h")).alias("t"))
     # an identical row given twice is one turn; collect_set does that before the shuffle as well
     each = hashed.groupBy("conv_id").agg(F.array_sort(F.collect_set("t")).alias("ts"))
     empty = F.array().cast("array<string>")
@@ -44,12 +43,12 @@ def render(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
 
     A turn is ``<|role|>``, its text and ``<|end|>``, each but the text on its own line. A null role is ``unknown``, a
     null text empty; a null turn number comes first, and turns that share a number follow by role, then text hash. Rows
-    that repeat a turn exactly count once. Rows with a null conversation form one. Other columns are not read; an empty
-    table gives an empty result.
+    that repeat a turn exactly count once. Rows with a null conversation form one. Texts of any length are rendered whole.
+    Other columns are not read, so they may have any names; an empty table gives an empty result.
     """
     role, text = _turn(role_col, text_col)
     stay = cut(maximal(turns, conv_col, turn_col, role_col, text_col), "maximal")
-    rows = turns.select(F.col(conv_col).alias("turn_conv"), F.struct(F.col(turn_col).alias("turn"), F.md5(F.concat(F.md5(role), F.md5(text))).alias("h"), role.alias("role"), text.alias("text")).alias("t"))
+    rows = turns.select(col(conv_col).alias("turn_conv"), F.struct(col(turn_col).alias("turn"), F.md5(F.concat(F.md5(role), F.md5(text))).alias("h"), role.alias("role"), text.alias("text")).alias("t"))
     kept = rows.join(stay, F.col("turn_conv").eqNullSafe(F.col("conv_id")))
     parts = F.transform(F.array_sort(F.collect_set("t")), lambda t: F.concat(F.lit("<|"), t["role"], F.lit("|>\n"), t["text"], F.lit("\n<|end|>\n")))
     return kept.groupBy("conv_id").agg(F.first("n_turns").cast("long").alias("n_turns"), F.first("copies").alias("copies"), F.array_join(parts, "").alias("rendered"))
