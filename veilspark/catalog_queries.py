@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from veilspark.operators import scan
 from veilspark.operators.rules import CATALOG
+from veilspark.sources.spread import spread
 
 RULES = {r.name: r for r in CATALOG}
 _N = "SELECT c_custkey AS doc_id, c_custkey AS c, lpad(cast((c_custkey * 7919 + 31) % 1000000000 AS string), 9, '0') AS n FROM customer"
@@ -89,7 +90,7 @@ NUMBERS: tuple[tuple[str, str, str], ...] = (
 def scan_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The spans of NUMBERS' rules, each in a text of its own."""
     columns = ", ".join(f"'ref ' || {value} || ' end' AS t{k}" for k, (_, value, _) in enumerate(NUMBERS))
-    made = spark.sql(f"SELECT doc_id, {columns} FROM ({_N.replace('FROM customer', 'FROM {customer}')}) x", customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
+    made = spark.sql(f"SELECT doc_id, {columns} FROM ({_N.replace('FROM customer', 'FROM {customer}')}) x", customer=spread(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")))
 
     def of(k: int, name: str) -> Column:
         told = lambda s: F.struct(F.lit(name).alias("rule"), s["start"].cast("long").alias("start"), s["end"].cast("long").alias("end_"), s["score"].alias("score"))
@@ -97,7 +98,7 @@ def scan_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     with scan.quiet():
         found = F.concat(*[of(k, name) for k, (name, _, _) in enumerate(NUMBERS)])
-        return made.select("doc_id", F.explode(found).alias("s")).select("doc_id", "s.*")
+        return scan.exploded(made, found, "doc_id").select("doc_id", "s.*")
 
 
 QUERIES = {"scan_catalog": scan_catalog}

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veilspark.functions.once import let
+
 
 def only(text: Column, keep: str = "0-9") -> Column:
     return F.regexp_replace(text, f"[^{keep}]", "")
@@ -19,7 +21,7 @@ def digit(text: Column, i: int) -> Column:
 
 def weighted(text: Column, weights: Sequence[int], start: int = 0) -> Column:
     """Sum of the digits from ``start`` times ``weights``."""
-    return reduce(lambda a, b: a + b, [digit(text, start + i) * w for i, w in enumerate(weights)])
+    return let(text, lambda t: reduce(lambda a, b: a + b, [digit(t, start + i) * w for i, w in enumerate(weights)]))
 
 
 def luhn(text: Column) -> Column:
@@ -96,7 +98,7 @@ def base58check(text: Column, most: int = 72) -> Column:
     """Whether the last four bytes are those of the double SHA-256 of the rest, for texts of at most ``most`` characters.
 
     The number is kept in limbs of 40 bits, lowest first, so each step of the base conversion fits a long."""
-    limbs = F.array_repeat(F.lit(0).cast("long"), -(-most * 6 // 40))
+    limbs = F.array_repeat(F.lit(0).cast("long"), F.ceil(F.length(text) * 6 / 40).cast("int"))
 
     def add(limbs: Column, c: Column) -> Column:
         def carry(acc: Column, limb: Column) -> Column:
@@ -109,8 +111,12 @@ def base58check(text: Column, most: int = 72) -> Column:
     number = F.aggregate(F.aggregate(_chars(text), limbs, add), F.lit(""), lambda s, limb: F.concat(F.lpad(F.hex(limb), 10, "0"), s))
     zeros = F.regexp_replace(F.regexp_extract(text, "^1*", 0), "1", "00")
     data = F.concat(zeros, F.regexp_replace(number, "^(00)+", ""))
-    body = F.unhex(F.substr(data, F.lit(1), F.length(data) - 8))
-    good = F.upper(F.substring(F.sha2(F.unhex(F.sha2(body, 256)), 256), 1, 8)) == F.right(data, F.lit(8))
+
+    def sealed(data: Column) -> Column:
+        body = F.unhex(F.substr(data, F.lit(1), F.length(data) - 8))
+        return F.upper(F.substring(F.sha2(F.unhex(F.sha2(body, 256)), 256), 1, 8)) == F.right(data, F.lit(8))
+
+    good = let(data, sealed)
     return F.when(text.rlike(f"^[{BASE58}]{{6,{most}}}$"), F.coalesce(good, F.lit(False))).otherwise(False)
 
 

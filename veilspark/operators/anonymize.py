@@ -8,7 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veilspark.operators.scan import let, text_of
+from veilspark.functions.once import let
+from veilspark.operators.scan import text_of
 
 ITEM = "struct<start:int,end:int,entity_type:string,text:string,operator:string,score:double>"
 
@@ -150,18 +151,25 @@ def _new_text(text: Column, entity: Column, operators: Mapping[str, Operator], d
 
 def _splice(text: Column, spans: Column, operators: Mapping[str, Operator], default: Operator | None, table: dict[str, Builder]) -> Column:
     """``struct<text, items>``: spans in order of start are replaced, each end cut where the next span begins. A span that
-    reaches beyond the text is an error."""
-    beyond = F.exists(spans, lambda s: (s["start"] > F.length(text)) | (s["end"] > F.length(text)) | (s["start"] < 0))
-    spans = F.when(beyond, F.filter(spans, lambda s: F.raise_error(F.concat(F.lit("a span reaches beyond its text of length "), F.length(text).cast("string"))).cast("boolean"))).otherwise(spans)
-    placed = let(spans, lambda all_: F.transform(all_, lambda s, i: F.struct(s.alias("s"), F.coalesce(F.try_element_at(all_, i + 2)["start"], F.length(text)).alias("next"))))
+    reaches beyond the text is an error. The spans, and each new text, are computed once."""
+
+    def within(given: Column) -> Column:
+        beyond = F.exists(given, lambda s: (s["start"] > F.length(text)) | (s["end"] > F.length(text)) | (s["start"] < 0))
+        return F.when(beyond, F.filter(given, lambda s: F.raise_error(F.concat(F.lit("a span reaches beyond its text of length "), F.length(text).cast("string"))).cast("boolean"))).otherwise(given)
+
+    placed = let(let(spans, within), lambda all_: F.transform(all_, lambda s, i: F.struct(s.alias("s"), F.coalesce(F.try_element_at(all_, i + 2)["start"], F.length(text)).alias("next"))))
 
     def step(acc: Column, p: Column) -> Column:
         s = p["s"]
         new, name = _new_text(text_of(text, s), s["entity_type"], operators, default, table)
         before = F.substr(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        start = F.length(acc["text"]) + F.length(before)
-        item = F.struct(start.alias("start"), (start + F.length(new)).alias("end"), s["entity_type"].alias("entity_type"), new.alias("text"), name.alias("operator"), s["score"].alias("score"))
-        return F.struct(F.concat(acc["text"], before, new).alias("text"), F.least(s["end"], p["next"]).alias("at"), F.concat(acc["items"], F.array(item)).alias("items"))
+
+        def put(made: Column) -> Column:
+            start = F.length(acc["text"]) + F.length(made["before"])
+            item = F.struct(start.alias("start"), (start + F.length(made["new"])).alias("end"), s["entity_type"].alias("entity_type"), made["new"].alias("text"), name.alias("operator"), s["score"].alias("score"))
+            return F.struct(F.concat(acc["text"], made["before"], made["new"]).alias("text"), F.least(s["end"], p["next"]).alias("at"), F.concat(acc["items"], F.array(item)).alias("items"))
+
+        return let(F.struct(before.alias("before"), new.alias("new")), put)
 
     first = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"), F.array().cast(f"array<{ITEM}>").alias("items"))
     return let(F.aggregate(placed, first, step), lambda done: F.struct(F.concat(done["text"], F.substr(text, done["at"] + 1)).alias("text"), F.reverse(done["items"]).alias("items")))
@@ -174,7 +182,7 @@ def anonymize(text: Column, spans: Column, operators: Mapping[str, Operator] | N
 
 def deanonymize(text: Column, items: Column, operators: Mapping[str, Operator]) -> Column:
     """The way back, at the offsets of the items of an anonymized text; entities without an operator stay."""
-    ordered = F.array_sort(items)
+    ordered = F.sort_array(items)
     return _splice(text, ordered, operators, None, BACK)
 
 

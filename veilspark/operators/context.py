@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veilspark.functions.once import let
 from veilspark.operators.rules import Rule
 from veilspark.operators.scan import matches, span
 
@@ -20,10 +21,12 @@ def tokens(text: Column, stopwords: Iterable[str] = STOPWORDS) -> Column:
     """``array<struct<start,end,text,keyword>>``: words and single other signs; a keyword is a lower-cased word that is no
     stopword. Plural endings are cut, in place of a lemmatizer."""
     found = matches(text, r"(?U)\w+(?:[@.:/'-]\w+)*|[^\w\s]")
-    lower = lambda m: F.lower(m["text"])
-    lemma = lambda m: F.when(lower(m).rlike("[^s]s$") & (F.length(m["text"]) > 3), F.expr("null").cast("string")).otherwise(lower(m))
-    base = lambda m: F.coalesce(lemma(m), F.substr(lower(m), F.lit(1), F.length(m["text"]) - 1))
-    return F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), base(m).alias("text"), (m["text"].rlike(r"(?U)\w") & ~lower(m).isin(*stopwords)).alias("keyword")))
+
+    def token(m: Column, low: Column) -> Column:
+        base = F.when(low.rlike("[^s]s$") & (F.length(m["text"]) > 3), F.substr(low, F.lit(1), F.length(m["text"]) - 1)).otherwise(low)
+        return F.struct(m["start"].alias("start"), m["end"].alias("end"), base.alias("text"), (m["text"].rlike(r"(?U)\w") & ~low.isin(*stopwords)).alias("keyword"))
+
+    return F.transform(found, lambda m: let(F.lower(m["text"]), lambda low: token(m, low)))
 
 
 @dataclass(frozen=True)
@@ -56,18 +59,19 @@ class Enhancer:
         window = F.concat(F.transform(F.concat(near, ahead), lambda t: t["text"]), more)
         own = F.coalesce(F.try_element_at(words, s["recognizer"]), F.array().cast("array<string>"))
         same = (lambda k, w: k == w) if self.mode == "whole_word" else (lambda k, w: F.contains(k, w))
-        return F.try_element_at(F.filter(own, lambda w: F.exists(window, lambda k: same(k, w))), F.lit(1))
+        return let(window, lambda near_: F.try_element_at(F.filter(own, lambda w: F.exists(near_, lambda k: same(k, w))), F.lit(1)))
 
     def enhance(self, spans: Column, toks: Column, rules: Iterable[Rule], outer: Iterable[str] = ()) -> Column:
         rules = list(rules)
         if not any(r.context for r in rules):
             return spans
 
-        def boosted(s: Column) -> Column:
+        def boosted(s: Column, once: Column) -> Column:
             score = F.least(F.lit(1.0), F.greatest(s["score"] + self.factor, F.lit(self.floor)))
-            return span(s["entity_type"], s["start"], s["end"], F.when(self.word(s, toks, rules, outer).isNotNull(), score).otherwise(s["score"]), s["recognizer"])
+            return span(s["entity_type"], s["start"], s["end"], F.when(self.word(s, once, rules, outer).isNotNull(), score).otherwise(s["score"]), s["recognizer"])
 
-        return F.transform(spans, boosted)
+        # tokens are made once, and only for texts with spans
+        return let(spans, lambda found: F.when(F.size(found) > 0, let(toks, lambda once: F.transform(found, lambda s: boosted(s, once)))).otherwise(found))
 
 
 def enhance(spans: Column, toks: Column, rules: Iterable[Rule], outer: Iterable[str] = (), **options) -> Column:

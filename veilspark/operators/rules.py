@@ -17,6 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veilspark.functions import checksums as C
+from veilspark.functions.once import let
 
 Check = Callable[[Column], Column]
 
@@ -36,8 +37,8 @@ class Rule:
     groups: int = 0
     flags: str = "(?ismU)"
     thresholds: tuple[tuple[str, float], ...] = ()
-    #: A cheap pattern that every text with a match has a match of.
-    guard: str | None = None
+    #: A cheap pattern that every text with a match has a match of, or one for each pattern.
+    guard: str | tuple[str | None, ...] | None = None
     #: Sees all spans found in a text, and the text, before context raises scores; gives the spans that go on.
     hook: Callable[[Column, Column], Column] | None = None
 
@@ -46,6 +47,12 @@ class Rule:
             raise ValueError("a rule needs a name, an entity and patterns")
         if any(not 0 <= s <= 1 for _, s in self.patterns):
             raise ValueError(f"{self.name}: scores lie between 0 and 1")
+        if isinstance(self.guard, tuple) and len(self.guard) != len(self.patterns):
+            raise ValueError(f"{self.name}: a guard for each pattern, or one for all")
+
+    @property
+    def guards(self) -> tuple[str | None, ...]:
+        return self.guard if isinstance(self.guard, tuple) else (self.guard,) * len(self.patterns)
 
 
 def _digits_ok(weights: list[int], mod: int, start: int = 0) -> Check:
@@ -69,9 +76,8 @@ def _wallet(t: Column) -> Column:
 
 
 def _ssn_bad(t: Column) -> Column:
-    d = C.only(t)
     kinds = F.size(F.array_distinct(F.filter(F.split(t, ""), lambda c: c.isin(".", "-", " "))))
-    return (kinds > 1) | _all_same(t) | (F.substring(d, 4, 2) == "00") | (F.substring(d, 6, 4) == "0000") | F.substring(d, 1, 3).isin("000", "666") | d.isin("123456789", "987654320", "078051120")
+    return (kinds > 1) | _all_same(t) | let(C.only(t), lambda d: (F.substring(d, 4, 2) == "00") | (F.substring(d, 6, 4) == "0000") | F.substring(d, 1, 3).isin("000", "666") | d.isin("123456789", "987654320", "078051120"))
 
 
 def _aadhaar(t: Column) -> Column:
@@ -374,7 +380,7 @@ GENERIC = (
         (rf"\b{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}(?:/(?:[0-2]?\d|3[0-2]))?\b", 0.6),
         (rf"(?<![\w:])(?:(?:{_H}:){{7}}{_H}|(?:{_H}:){{1,7}}:|:(?::{_H}){{1,7}}|(?:{_H}:){{1,6}}:{_H}|(?:{_H}:){{1,5}}(?::{_H}){{1,2}}|(?:{_H}:){{1,4}}(?::{_H}){{1,3}}|(?:{_H}:){{1,3}}(?::{_H}){{1,4}}|(?:{_H}:){{1,2}}(?::{_H}){{1,5}}|{_H}:(?::{_H}){{1,6}}|:(?::{_H}){{1,6}})(?:%[0-9a-zA-Z]+)?{_P6}(?![\w:]|\.\d)", 0.6),
         (rf"(?<![\w:])::{_P6.replace('))?', '))?')}(?![\w:])", 0.1),
-    ), _w("ip,ipv4,ipv6"), reject=_ip_bad, enabled=True, guard="[0-9]\\.[0-9]|:"),
+    ), _w("ip,ipv4,ipv6"), reject=_ip_bad, enabled=True, guard=(":", ":", "[0-9]\\.[0-9]", ":", ":")),
     Rule("MacAddress", "MAC_ADDRESS", ((r"\b[0-9A-Fa-f]{2}([:-])(?:[0-9A-Fa-f]{2}\1){4}[0-9A-Fa-f]{2}\b", 0.6), (r"\b[0-9A-Fa-f]{4}\.[0-9A-Fa-f]{4}\.[0-9A-Fa-f]{4}\b", 0.6)), _w("mac,mac address,hardware address,physical address,ethernet"), reject=_mac_bad, enabled=True, guard="[0-9A-Fa-f]{2}[:.-]"),
     Rule("Phone", "PHONE_NUMBER", tuple((p, 0.4) for p in (
         r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)",  # any country code

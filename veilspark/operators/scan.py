@@ -9,6 +9,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilspark.functions.once import let
 from veilspark.operators.rules import Rule
 
 log = logging.getLogger(__name__)
@@ -51,11 +52,14 @@ def span(entity: Column | str, start: Column, end: Column, score: Column, recogn
     return F.struct(text(entity).cast("string").alias("entity_type"), start.cast("int").alias("start"), end.cast("int").alias("end"), score.cast("double").alias("score"), text(recognizer).cast("string").alias("recognizer"))
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once and written once in the plan."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+def exploded(df: DataFrame, values: Column | str, *keep: Column | str, name: str = "s") -> DataFrame:
+    """One row for each element of an array without nulls. From a plain explode the optimizer infers a filter on the array's
+    size, which it moves below the column that makes the array, so that the whole scan is computed twice and more."""
+    return df.select(*keep, F.explode_outer(values).alias(name)).filter(F.col(name).isNotNull())
 
 
+#: Stands for a match while gaps are taken. Texts that hold it are split by the pattern.
+MARK = "\x01"
 #: Matches placed by one fold: a fold copies what it has placed so far, so longer lists are placed block by block.
 PLACED = 64
 
@@ -63,8 +67,8 @@ PLACED = 64
 def matches(text: Column, pattern: str, guard: str | None = None) -> Column:
     """``array<struct<start,end,text>>`` of all non-overlapping matches, in code points; empty matches are left out.
 
-    The gaps between matches come from splitting by the same pattern, so lengths add up to offsets; texts without a
-    match are not split, and those that ``guard``, a cheap pattern, can't be found in are not searched.
+    The gaps between matches are what is left when the same pattern's matches are taken out, so lengths add up to offsets.
+    Splitting by one sign is cheap; splitting by a pattern compiles it for each text. Texts without a match are not split, and those that ``guard``, a cheap pattern, can't be found in are not searched.
     """
     place = "struct<start:int,end:int,text:string>"
     none = F.array().cast(f"array<{place}>")
@@ -86,7 +90,8 @@ def matches(text: Column, pattern: str, guard: str | None = None) -> Column:
         return F.flatten(F.aggregate(F.transform(firsts, lambda i: fold(F.slice(pairs, i, F.lit(PLACED)))), first, moved)["out"])
 
     def placed(found: Column) -> Column:
-        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+        cut = F.when(F.contains(text, F.lit(MARK)), F.split(text, pattern, -1)).otherwise(F.split(F.regexp_replace(text, pattern, MARK), MARK, -1))
+        gaps = F.slice(cut, F.lit(1), F.size(found))
         pairs = F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("m"), g.alias("g")))
         summed = let(pairs, lambda p: F.when(F.size(p) <= PLACED, fold(p)["out"]).otherwise(blocks(p)))
         return F.when(F.size(found) > 0, F.filter(summed, lambda s: s["end"] > s["start"])).otherwise(none)
@@ -98,8 +103,7 @@ def matches(text: Column, pattern: str, guard: str | None = None) -> Column:
 def _score(rule: Rule, text: Column, base: Column) -> Column:
     score = base
     if rule.check is not None:
-        valid = rule.check(text)
-        score = F.when(valid, 1.0).when(~valid, 0.0).otherwise(score)
+        score = let(rule.check(text), lambda valid: F.when(valid, 1.0).when(~valid, 0.0).otherwise(base))
     if rule.reject is not None:
         score = F.when(rule.reject(text), 0.0).otherwise(score)
     return score
@@ -115,7 +119,7 @@ def _grouped(rule: Rule, pattern: str, base: Column, text: Column) -> Column:
 
 def scan(text: Column, rule: Rule) -> Column:
     """All spans of one rule with a score above 0, deduplicated as the rule's own results."""
-    found = [F.transform(matches(text, rule.flags + p, rule.guard), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text"), F.lit(float(base)).alias("base"))) for p, base in rule.patterns]
+    found = [F.transform(matches(text, rule.flags + p, guard), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text"), F.lit(float(base)).alias("base"))) for (p, base), guard in zip(rule.patterns, rule.guards, strict=True)]
     all_ = found[0] if len(found) == 1 else F.concat(*found)
     if rule.groups:
         pattern = rule.patterns[0][0]
@@ -130,12 +134,12 @@ def scan(text: Column, rule: Rule) -> Column:
 def by_rank(spans: Column) -> Column:
     """By score from the highest, then start, then length from the longest."""
     key = F.transform(spans, lambda s: F.struct((-s["score"]).alias("a"), s["start"].alias("b"), (s["start"] - s["end"]).alias("c"), s["entity_type"].alias("d"), s.alias("s")))
-    return F.transform(F.array_sort(key), lambda k: k["s"])
+    return F.transform(F.sort_array(key), lambda k: k["s"])
 
 
 def by_start(spans: Column) -> Column:
     key = F.transform(spans, lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b"), (-s["score"]).alias("c"), s["entity_type"].alias("d"), s.alias("s")))
-    return F.transform(F.array_sort(key), lambda k: k["s"])
+    return F.transform(F.sort_array(key), lambda k: k["s"])
 
 
 def dedupe(spans: Column) -> Column:
@@ -189,7 +193,7 @@ def simple_conflicts(spans: Column) -> Column:
     """Highest score wins, then the longer span; result by start."""
     key = F.transform(spans, lambda s: F.struct((-s["score"]).alias("a"), (s["start"] - s["end"]).alias("b"), s["start"].alias("c"), s["entity_type"].alias("d"), s.alias("s")))
     none = F.array().cast(NO_SPANS)
-    kept = F.aggregate(F.transform(F.array_sort(key), lambda k: k["s"]), none, lambda acc, s: F.when(F.exists(acc, lambda k: overlap(k, s) > 0), acc).otherwise(F.concat(acc, F.array(s))))
+    kept = F.aggregate(F.transform(F.sort_array(key), lambda k: k["s"]), none, lambda acc, s: F.when(F.exists(acc, lambda k: overlap(k, s) > 0), acc).otherwise(F.concat(acc, F.array(s))))
     return by_start(kept)
 
 
@@ -211,7 +215,7 @@ def drop_contained(spans: Column) -> Column:
     worse = lambda x, y: F.when(
         (x["s"]["start"] == y["s"]["start"]) & (x["s"]["end"] == y["s"]["end"]), (x["s"]["score"] < y["s"]["score"]) | ((x["s"]["score"] == y["s"]["score"]) & (x["i"] > y["i"]))
     ).otherwise((y["s"]["start"] <= x["s"]["start"]) & (y["s"]["end"] >= x["s"]["end"]))
-    return F.transform(F.filter(numbered, lambda x: ~F.exists(numbered, lambda y: (x["i"] != y["i"]) & worse(x, y))), lambda x: x["s"])
+    return let(numbered, lambda all_: F.transform(F.filter(all_, lambda x: ~F.exists(all_, lambda y: (x["i"] != y["i"]) & worse(x, y))), lambda x: x["s"]))
 
 
 def merge_spaces(spans: Column, text: Column) -> Column:

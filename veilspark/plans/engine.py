@@ -98,7 +98,7 @@ class Analyzer:
         found, toks = _free(df, "veil_found", "veil_tokens")
         text = F.coalesce(F.col(text_col), F.lit(""))
         with S.deep(df):
-            wide = df.withColumn(found, self._found(text, **options)).withColumn(toks, engine_of(self.nlp).tokens(text))
+            wide = df.withColumn(found, self._found(text, **options)).withColumn(toks, F.when(F.size(found) > 0, engine_of(self.nlp).tokens(text)))
             wide = wide.withColumn("explained", self._settled(text, F.col(found), F.col(toks), **options))
         rules = self._rules(**options)
         same = lambda f, s: (f["recognizer"] == s["recognizer"]) & (f["start"] == s["start"]) & (f["end"] == s["end"])
@@ -107,18 +107,18 @@ class Analyzer:
         return wide.withColumn("explained", told).drop(found, toks)
 
     def analyze(self, df: DataFrame, text_col: str = "text", **options) -> DataFrame:
-        """``df`` with a column ``spans``. In the full profile what rules find and the text's tokens are columns of their
-        own on the way, which keeps expressions small; no rows move."""
+        """``df`` with a column ``spans``. In the full profile what rules find is a column of its own on the way, which keeps
+        expressions small; no rows move."""
         with S.deep(df):
             return self._analyzed(df, text_col, **options)
 
     def _analyzed(self, df: DataFrame, text_col: str, **options) -> DataFrame:
         if self.profile == "regex_only":
             return df.withColumn("spans", self.spans(F.col(text_col), **options))
-        found, toks = _free(df, "veil_found", "veil_tokens")
+        (found,) = _free(df, "veil_found")
         text = F.col(text_col)
-        wide = df.withColumn(found, self._found(text, **options)).withColumn(toks, options.get("tokens") if options.get("tokens") is not None else engine_of(self.nlp).tokens(F.coalesce(text, F.lit(""))))
-        return wide.withColumn("spans", self._settled(text, F.col(found), F.col(toks), **options)).drop(found, toks)
+        toks = options.get("tokens") if options.get("tokens") is not None else engine_of(self.nlp).tokens(F.coalesce(text, F.lit("")))
+        return df.withColumn(found, self._found(text, **options)).withColumn("spans", self._settled(text, F.col(found), toks, **options)).drop(found)
 
 
 def _free(df: DataFrame, *names: str) -> list[str]:
@@ -142,7 +142,7 @@ def rewrite(text: Column, spans: Column, operators: Mapping[str, A.Operator] | N
 
 def explode_spans(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The span table of an analyzed frame."""
-    return df.select(id_col, F.explode("spans").alias("s")).select(id_col, "s.*")
+    return S.exploded(df, "spans", id_col).select(id_col, "s.*")
 
 
 def _text(value: Column, kind: T.DataType) -> Column:

@@ -42,12 +42,12 @@ SELECT c_custkey AS doc_id, a, b, 'a ' || a || ', ' || b || ' end' AS text FROM
 
 
 def _made(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    return spark.sql(sql.replace("FROM customer", "FROM {customer}"), customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
+    return spark.sql(sql.replace("FROM customer", "FROM {customer}"), customer=spread(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")))
 
 
 def _told(df: DataFrame, spans: Column) -> DataFrame:
     """One row a span, in columns that both engines have."""
-    flat = df.select("doc_id", F.explode(spans).alias("s"))
+    flat = scan.exploded(df, spans, "doc_id")
     return flat.select("doc_id", F.col("s.entity_type").alias("entity_type"), F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end_"), F.round("s.score", 3).alias("score"))
 
 
@@ -83,7 +83,7 @@ def analyze_documents_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full profile over whole documents: how many spans of certain kinds each has, and a score each."""
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     kinds = ["EMAIL_ADDRESS", "CREDIT_CARD", "IP_ADDRESS"]
-    spans = Analyzer(threshold=0.6).analyze(docs, entities=kinds).select("doc_id", F.explode("spans").alias("s"))
+    spans = scan.exploded(Analyzer(threshold=0.6).analyze(docs, entities=kinds), "spans", "doc_id")
     return spans.groupBy("doc_id", F.col("s.entity_type").alias("entity_type")).agg(F.count("*").alias("n"), F.round(F.max("s.score"), 3).alias("score"))
 
 
@@ -123,7 +123,7 @@ def deanonymize_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def explain_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The decision process: scores before and after context, and the word that raised them."""
-    df = FULL.explain(_made(spark, sf_dir, NOTES)).select("doc_id", F.explode("explained").alias("s"))
+    df = scan.exploded(FULL.explain(_made(spark, sf_dir, NOTES)), "explained", "doc_id")
     return df.select("doc_id", F.col("s.entity_type").alias("entity_type"), F.col("s.text").alias("matched"), F.round("s.original_score", 3).alias("original_score"), F.round("s.score", 3).alias("score"), F.coalesce("s.context_word", F.lit("-")).alias("context_word"))
 
 
@@ -223,7 +223,7 @@ def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ip = lambda n: F.concat(F.lit("60.70.80."), (F.lit(50) + F.col("event_id") % n).cast("string"))
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events = spread(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id"))
     who = F.struct(F.concat(F.lit("seen at "), ip(90)).alias("note"), F.col("user_id").alias("n"))
     return events.select(F.col("event_id").alias("doc_id"), F.concat(F.lit("from "), ip(100)).alias("note"), F.array(ip(80), F.lit("none"), F.lit(None)).alias("tags"), who.alias("who"), F.create_map(F.lit("k"), ip(70)).alias("props"), ip(60).alias("raw"))
 
