@@ -1,14 +1,14 @@
-"""Scoring found spans against labelled ones: overlap joins, counters and rates."""
+"""Scoring found spans against labelled ones: overlaps, counters and rates."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.functions import checksums as C
+from veilspark.functions.once import let
 from veilspark.operators.anonymize import anonymize
 from veilspark.operators.scan import NO_SPANS, by_start, span
 
@@ -24,15 +24,29 @@ def _mapped(spans: DataFrame, accept: Mapping[str, Iterable[str]]) -> DataFrame:
 def hits(truth: DataFrame, found: DataFrame, accept: Mapping[str, Iterable[str]] | None = None) -> tuple[DataFrame, DataFrame]:
     """Truth spans with ``found`` and predicted spans with ``hit``: whether any span of an accepted label overlaps.
 
-    Both are semi-joins on the document and label with a range condition, so a match is never counted twice.
+    One overlaps a span if, of those that start before its end, the one that reaches farthest ends after its start. So both
+    sides are met in one shuffle by document and label and one sort each: they are computed once, and a document with very
+    many spans makes no pairs.
     """
-    pred = (_mapped(found, accept) if accept else found.withColumn("accepts", F.array("label"))).withColumn("pid", F.xxhash64(*SPAN_COLUMNS))
-    each = pred.select(F.col("doc_id").alias("p_doc"), F.explode("accepts").alias("p_label"), F.col("start").alias("p_start"), F.col("end").alias("p_end"), "pid")
-    on = (F.col("doc_id") == F.col("p_doc")) & (F.col("label") == F.col("p_label")) & (F.col("start") < F.col("p_end")) & (F.col("p_start") < F.col("end"))
-    got = truth.join(each, on, "left_semi").withColumn("found", F.lit(True)).unionByName(truth.join(each, on, "left_anti").withColumn("found", F.lit(False)))
-    good = each.join(truth, on, "left_semi").select("pid").distinct()
-    scored = pred.join(good.withColumn("good", F.lit(True)), "pid", "left").select(*SPAN_COLUMNS, F.coalesce("good", F.lit(False)).alias("hit"))
-    return got, scored
+    if accept:
+        named = _mapped(found, accept).select("doc_id", F.posexplode_outer("accepts").alias("veil_nth", "veil_label"), "label", "start", "end")
+    else:
+        named = found.select("doc_id", F.lit(0).alias("veil_nth"), F.col("label").alias("veil_label"), "label", "start", "end")
+    both = truth.withColumns({"veil_truth": F.lit(True), "veil_label": F.col("label"), "veil_nth": F.lit(0)}).unionByName(named.withColumn("veil_truth", F.lit(False)), allowMissingColumns=True)
+    by_key, real = Window.partitionBy("doc_id", "veil_label"), F.col("doc_id").isNotNull() & F.col("veil_label").isNotNull()
+
+    def met(side: Column, first: Column) -> Column:
+        """Whether a span of ``side`` overlaps one of the other side; of equal places those of ``side`` come first."""
+        upto = by_key.orderBy(F.when(side, F.col("end")).otherwise(F.col("start")), first).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return real & F.coalesce(F.max(F.when(~side & F.col("start").isNotNull(), F.col("end"))).over(upto) > F.col("start"), F.lit(False))
+
+    is_truth = F.col("veil_truth")
+    got = both.withColumn("found", met(is_truth, is_truth.desc())).filter(is_truth).select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in truth.schema.fields], "found")
+    scored = both.withColumn("hit", met(~is_truth, is_truth.asc())).filter(~is_truth)
+    if accept:  # a prediction again for each time it stands there, whatever the number of labels it may stand for
+        each = scored.groupBy(*SPAN_COLUMNS).agg(F.max("hit").alias("hit"), F.count_if(F.coalesce("veil_nth", F.lit(0)) == 0).cast("int").alias("veil_n"))
+        scored = each.withColumn("veil_n", F.explode(F.sequence(F.lit(1), "veil_n")))
+    return got, scored.select(*[F.col(c).cast(found.schema[c].dataType) for c in SPAN_COLUMNS], "hit")
 
 
 def recall_by_label(got: DataFrame) -> DataFrame:
@@ -69,20 +83,19 @@ def documents_cleaned(got: DataFrame) -> DataFrame:
 def greedy_counts(truth: DataFrame, found: DataFrame) -> DataFrame:
     """``(label, tp, fp, fn)``: each prediction in order of start claims the first free overlapping truth of its label."""
 
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        free = list(pdf[pdf["truth"]].sort_values(["start", "end"])[["start", "end"]].itertuples(index=False))
-        n, tp = len(free), 0
-        guesses = pdf[~pdf["truth"]].sort_values(["start", "end"])[["start", "end"]]
-        for a, b in guesses.itertuples(index=False):
-            spot = next((i for i, (s, e) in enumerate(free) if s < b and a < e), None)
-            if spot is not None:
-                free.pop(spot)
-                tp += 1
-        return pd.DataFrame({"label": [pdf["label"].iloc[0]], "tp": [tp], "fp": [len(guesses) - tp], "fn": [n - tp]})
-
+    place = F.struct("start", "end")
     both = truth.select(*SPAN_COLUMNS, F.lit(True).alias("truth")).unionByName(found.select(*SPAN_COLUMNS, F.lit(False).alias("truth")))
-    each = both.groupBy("doc_id", "label").applyInPandas(match, "label string, tp long, fp long, fn long")
-    return each.groupBy("label").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+    each = both.groupBy("doc_id", "label").agg(F.sort_array(F.collect_list(F.when(F.col("truth"), place))).alias("real"), F.sort_array(F.collect_list(F.when(~F.col("truth"), place))).alias("guesses"))
+    numbered = F.transform("real", lambda t, i: F.struct(t["start"].alias("start"), t["end"].alias("end"), i.alias("i")))
+
+    def claim(acc: Column, g: Column) -> Column:
+        spot = F.try_element_at(F.filter(acc["free"], lambda t: (t["start"] < g["end"]) & (g["start"] < t["end"])), F.lit(1))["i"]
+        return let(spot, lambda i: F.when(i.isNull(), acc).otherwise(F.struct(F.filter(acc["free"], lambda t: t["i"] != i).alias("free"), (acc["tp"] + 1).alias("tp"))))
+
+    first = F.struct(numbered.alias("free"), F.lit(0).cast("long").alias("tp"))
+    tp = F.aggregate("guesses", first, claim, lambda acc: acc["tp"])
+    counts = each.select("label", F.size("real").alias("n"), F.size("guesses").alias("m"), tp.alias("tp"))
+    return counts.groupBy("label").agg(F.sum("tp").alias("tp"), F.sum(F.col("m") - F.col("tp")).alias("fp"), F.sum(F.col("n") - F.col("tp")).alias("fn"))
 
 
 def with_rates(counts: DataFrame, micro: str | None = "MICRO-AVERAGE") -> DataFrame:
