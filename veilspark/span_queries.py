@@ -166,7 +166,7 @@ def allow_list_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def languages_and_countries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules of another language and of named countries only, from rules that are off by default."""
-    df = _made(spark, sf_dir, "SELECT c_custkey AS doc_id, 'Die PLZ ' || cast(10000 + c_custkey AS string) || ' im Ort' AS text FROM customer")
+    df = _made(spark, sf_dir, "SELECT c_custkey AS doc_id, 'Die PLZ ' || cast(10000 + c_custkey % 80000 AS string) || ' im Ort' AS text FROM customer")
     return _told(df, Analyzer(CATALOG).spans(F.col("text"), language="de", countries=["de"], entities=["DE_PLZ", "DE_TAX_ID"]))
 
 
