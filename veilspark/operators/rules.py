@@ -383,7 +383,8 @@ GENERIC = (
     ), _w("ip,ipv4,ipv6"), reject=_ip_bad, enabled=True, guard=(":", ":", "[0-9]\\.[0-9]", ":", ":")),
     Rule("MacAddress", "MAC_ADDRESS", ((r"\b[0-9A-Fa-f]{2}([:-])(?:[0-9A-Fa-f]{2}\1){4}[0-9A-Fa-f]{2}\b", 0.6), (r"\b[0-9A-Fa-f]{4}\.[0-9A-Fa-f]{4}\.[0-9A-Fa-f]{4}\b", 0.6)), _w("mac,mac address,hardware address,physical address,ethernet"), reject=_mac_bad, enabled=True, guard="[0-9A-Fa-f]{2}[:.-]"),
     Rule("Phone", "PHONE_NUMBER", tuple((p, 0.4) for p in (
-        r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)",  # any country code
+        # any country code; that of North America has ten digits behind it, and no number runs on into an address
+        rf"(?<![\w+])\+(?:1[ .-]?(?:\(\d{{3}}\)|\d{{3}})[ .-]?\d{{3}}[ .-]?\d{{4}}|\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)[ .-]?)?\d{{1,4}}(?:(?: (?!(?:{_OCTET}\.){{3}}{_OCTET}\b)|[.-]?)\d{{2,4}}){{1,4}})(?!\w)",
         r"(?<![\w+.-])\(?[2-9]\d{2}\)?[ .-]\d{3}[ .-]\d{4}(?![\w-])",  # US, CA
         r"(?<![\w+.-])\(?0(?:20[ )]{0,2}[ -]?\d{4}[ -]?\d{4}|1\d{3}\)?[ -]?\d{6}|1\d{2}\)?[ -]\d{3}[ -]?\d{4}|7\d{3}[ -]?\d{6}|7\d{3}[ -]\d{3}[ -]\d{3})(?![\w-])",  # GB
         r"(?<![\w+.-])\(?0[1-9]\d{1,4}\)?[ ]?[/-][ ]?\d{4,8}(?![\w-])",  # DE
