@@ -1,4 +1,4 @@
-"""What made queries slow on larger tables or different from their SQL: each case failed before it was mended."""
+"""What made queries slow on larger tables or different from their SQL, and what the mending must not change."""
 
 from __future__ import annotations
 
